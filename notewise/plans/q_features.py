@@ -1 +1,26 @@
-"""Queries (filled in below)."""
+"""Encoder queries: text -> vector per note, rows-only checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notewise.operators import features as fe
+from notewise.plans.catalog import query
+from notewise.sources.tables import document_notes
+
+
+@query("embed_text")
+def q_embed_text(spark, sf):
+    """Hashed TF-IDF (256 dims, L2-normalised) of every whole cleaned note."""
+    out = fe.hashed_tfidf(document_notes(spark, sf), dim=256)
+    return out.select("note_id", "encoder", F.size("embedding").alias("dims"))
+
+
+@query("embed_all")
+def q_embed_all(spark, sf):
+    """Every built-in encoder over the same notes, one table keyed by
+    (note_id, encoder)."""
+    docs = document_notes(spark, sf)
+    out = fe.embed_all(docs, [lambda d: fe.hashed_tfidf(d, dim=256),
+                              lambda d: fe.word2vec(d, dim=64)])
+    return out.select("note_id", "encoder", F.size("embedding").alias("dims"))

@@ -1 +1,100 @@
-"""Queries (filled in below)."""
+"""Model queries. Rows-only checks: scores depend on the
+fitted model, not on an SQL-expressible formula.
+
+Fixture: ``embeddings`` (64-wide vectors, y = (label = 0)). Fitted models are
+cached per (data, recipe, learner) so queries sharing a model fit it once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notewise.operators import metrics as me
+from notewise.operators import models as mo
+from notewise.plans import recipes as rc
+from notewise.plans.catalog import query
+from notewise.sources.tables import table
+
+N_FEATURES = 64
+
+
+def _data(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("note_id"), (F.col("label") == 0).cast("int").alias("y"),
+                    "embedding")
+
+
+def _model(spark, sf, gen, learner):
+    recipe = rc.RECIPES[gen]
+    prepared = rc.prepare(_data(spark, sf), recipe)
+    model = rc.fit(prepared, recipe, learner, N_FEATURES, cache_key=(sf, gen, learner))
+    return model, mo.with_features(prepared)
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf):
+    """Boosted trees, recipe v2 (stratified split, class weight, 100 rounds):
+    test rows with their class-1 probability."""
+    model, feats = _model(spark, sf, "v2", "gbt")
+    return mo.predict_score(model, feats.where(F.col("split") == "test")).select("note_id", "y", "score")
+
+
+@query("train_mlp")
+def q_train_mlp(spark, sf):
+    """Feed-forward network 64-256-64-2, recipe v2 (positives replicated by
+    the class weight): test rows with their class-1 probability."""
+    model, feats = _model(spark, sf, "v2", "mlp")
+    return mo.predict_score(model, feats.where(F.col("split") == "test")).select("note_id", "y", "score")
+
+
+@query("early_stopping")
+def q_early_stopping(spark, sf):
+    """Recipe v5 boosted trees stopped on the validation split: number of
+    trees kept and validation ROC-AUC."""
+    model, feats = _model(spark, sf, "v5", "gbt")
+    scored = mo.predict_score(model, feats.where(F.col("split") == "val"))
+    auc = me.roc_auc(me.pr_curve(scored))
+    return auc.select(F.lit(model.getNumTrees).alias("n_trees"), "roc_auc")
+
+
+@query("predict_score")
+def q_predict_score(spark, sf):
+    """Class-1 probability of every row from the v1 boosted-tree model."""
+    model, feats = _model(spark, sf, "v1", "gbt")
+    return mo.predict_score(model, feats).select("note_id", "split", "score")
+
+
+@query("predict_class")
+def q_predict_class(spark, sf):
+    """The v1 model's own hard decision for every row."""
+    model, feats = _model(spark, sf, "v1", "gbt")
+    return mo.predict_class(model, feats).select("note_id", "split", "pred")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """Top-20 features of the v2 boosted trees by impurity importance."""
+    model, _ = _model(spark, sf, "v2", "gbt")
+    return mo.feature_importance(model, spark, 20)
+
+
+@query("attribution_summary")
+def q_attribution_summary(spark, sf):
+    """Mean |path attribution| per feature over the test rows, top 20."""
+    model, feats = _model(spark, sf, "v2", "gbt")
+    contrib = mo.path_attribution(model, feats.where(F.col("split") == "test"))
+    return mo.attribution_summary(contrib, 20)
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """Drop in test ROC-AUC per permuted feature, for every feature."""
+    model, feats = _model(spark, sf, "v2", "gbt")
+    return mo.permutation_importance(model, feats.where(F.col("split") == "test"), N_FEATURES)
+
+
+@query("experiment_grid")
+def q_experiment_grid(spark, sf):
+    """Metrics of every recipe (v1-v5) x learner (boosted trees, MLP) on the
+    fixture encoder, as one long table."""
+    return rc.experiment_grid(_data(spark, sf), "fixture", N_FEATURES, cache_tag=sf)
