@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from notewise.functions.numeric import hash_unit
 from notewise.functions.text import contains_any
 from notewise.operators.ranking import hash_rank_cutoffs, tier_column
+from notewise.session import materialize
 
 
 def subject_flags(notes: DataFrame, keywords: Iterable[str], text_col: str = "text",
@@ -53,6 +54,8 @@ def cohort_match_bounded(rows: DataFrame, predicate: Column, chunk_size: int, k:
     first = (rows.where(predicate)
                  .groupBy(subject_col)
                  .agg(F.min(F.floor(F.col(order_col) / F.lit(chunk_size))).cast("bigint").alias("first_chunk")))
+    # One row per matched subject, read by two steps: scan the events once.
+    first = materialize(first)
     # Rank subjects by (first_chunk, subject); the k-th one fixes the stop chunk.
     ranked = first.select(F.col(subject_col), F.col("first_chunk"))
     stop = _kth_smallest(ranked, "first_chunk", subject_col, k).scalar()
@@ -90,7 +93,10 @@ def cohort_subjects(flags: DataFrame, prevalence: float, seed=42,
                     subject_col: str = "subject_id") -> DataFrame:
     """COH-4 + union: matched subjects (y = 1) plus an exact seeded sample of
     the pool (y = 0) sized by :func:`cohort_size`. ``flags`` comes from
-    :func:`subject_flags`."""
+    :func:`subject_flags`; it is checkpointed once (one row per subject), so
+    the text scan behind it is not repeated by the size, cutoff and final
+    steps."""
+    flags = materialize(flags)
     pool = flags.where(F.col("matched") == 0).select(subject_col)
     n_neg = cohort_size_table(flags, prevalence).select("neg_taken").scalar()
     cut = hash_rank_cutoffs(pool, subject_col, [], lambda n: [F.least(n_neg, n)], seed=seed)

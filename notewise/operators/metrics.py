@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import apply_threshold, f1_exact, f1_smoothed, safe_div
 from notewise.operators.ranking import running_totals
+from notewise.session import materialize
 
 REPORT_CLASSES = ("0", "1", "accuracy", "macro avg", "weighted avg")
 
@@ -89,7 +90,9 @@ def pr_curve(scored: DataFrame, score: str = "score", y: str = "y",
     threshold`` counts as positive), plus tp, fp, the counts at the score and
     the smoothed F1 ``2pr / (p + r + 1e-8)``. The end point (precision 1,
     recall 0) has no threshold and is not a row."""
-    g = score_groups(scored, score, y, group_cols)
+    # Distinct scores are read by four steps (range, bucket sums, windows,
+    # totals): checkpoint them so the scoring behind them runs once.
+    g = materialize(score_groups(scored, score, y, group_cols))
     k = running_totals(g, score, ["dp", "dn"], group_cols, descending=True,
                        n_buckets=n_buckets, prefix="cum_", bounded_groups=bounded_groups)
     if group_cols:

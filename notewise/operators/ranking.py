@@ -25,16 +25,6 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_unit
 
-_ALL = "_nw_all"
-
-
-def _with_group_key(df: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """With no strata, add a constant key so joins stay equi-joins on a key."""
-    if strata:
-        return df, list(strata)
-    return df.withColumn(_ALL, F.lit(0)), [_ALL]
-
-
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
@@ -45,51 +35,47 @@ def hash_rank_cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
     """Cutoffs for the k smallest ``(hash(seed:unit), unit)`` per stratum.
 
     ``units`` must hold each unit once per stratum. ``ks(n)`` maps the
-    stratum size column ``n`` to a list of k expressions (one per cutoff;
-    they may use windows over the per-stratum table, e.g. ``min(n) over ()``).
-    Returns one row per stratum with ``n`` and, for each cutoff j, ``k{j}``,
-    ``h{j}``, ``u{j}``.
+    stratum size column ``n`` to a list of k expressions, each at most n (one
+    per cutoff; they may use windows over the bucket table, e.g.
+    ``min(n) over ()``). Returns one row per stratum that has a nonempty cut,
+    with ``_n`` and, for each cutoff j, ``_k{j}``, ``_h{j}``, ``_u{j}``;
+    missing strata or fields mean "k = 0" (nothing inside the cut).
     """
-    u, keys = _with_group_key(units, strata)
+    keys = list(strata)
     h = hash_unit(seed, F.col(unit_col))
-    u = u.select(*keys, F.col(unit_col).alias("_u"), h.alias("_h"))
+    u = units.select(*keys, F.col(unit_col).alias("_u"), h.alias("_h"))
     u = u.withColumn("_b", F.shiftright(F.col("_h"), 32 - bits))
 
-    # (stratum, bucket) counts: at most 2^bits rows per stratum.
+    # (stratum, bucket) counts: at most 2^bits rows per stratum. Stratum size
+    # and the k's are windows over this small table, so no join is needed.
     cnt = u.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w_cum = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cnt = (cnt.withColumn("_cum", F.sum("_c").over(w_cum))
               .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
-
-    per_stratum = cnt.select(*keys, "_n").distinct()
     k_exprs = ks(F.col("_n"))
-    per_stratum = per_stratum.select(
-        *keys, "_n", *[F.floor(k).cast("bigint").alias(f"_k{j}") for j, k in enumerate(k_exprs)])
+    cnt = cnt.select(*keys, "_b", "_c", "_cum", "_n",
+                     *[F.floor(k).cast("bigint").alias(f"_k{j}") for j, k in enumerate(k_exprs)])
 
     # For each cutoff j: the bucket holding the k-th unit and its rank inside it.
-    bounds = []
+    bound = None
     for j in range(len(k_exprs)):
-        bj = (cnt.join(per_stratum.select(*keys, f"_k{j}"), keys)
-                 .where((F.col("_cum") - F.col("_c") < F.col(f"_k{j}"))
-                        & (F.col(f"_k{j}") <= F.col("_cum")))
-                 .select(*keys, F.lit(j).alias("_j"), "_b",
-                         (F.col(f"_k{j}") - (F.col("_cum") - F.col("_c"))).alias("_r")))
-        bounds.append(bj)
-    bound = bounds[0]
-    for bj in bounds[1:]:
-        bound = bound.unionByName(bj)
+        kj = F.col(f"_k{j}")
+        bj = (cnt.where((F.col("_cum") - F.col("_c") < kj) & (kj <= F.col("_cum")))
+                 .select(*keys, F.lit(j).alias("_j"), "_b", (kj - (F.col("_cum") - F.col("_c"))).alias("_r"),
+                         "_n", kj.alias("_k")))
+        bound = bj if bound is None else bound.unionByName(bj)
 
     # Rank only the units of boundary buckets (about n / 2^bits per stratum).
     edge = u.join(_maybe_broadcast(bound, bounded_strata), keys + ["_b"])
     w_edge = Window.partitionBy(*keys, "_j").orderBy("_h", "_u")
     edge = (edge.withColumn("_rn", F.row_number().over(w_edge))
-                .where(F.col("_rn") == F.col("_r"))
-                .select(*keys, "_j", "_h", "_u"))
-    wide = edge.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_j") == j, F.col("_h"))).alias(f"_h{j}") for j in range(len(k_exprs))],
-        *[F.max(F.when(F.col("_j") == j, F.col("_u"))).alias(f"_u{j}") for j in range(len(k_exprs))])
-    out = per_stratum.join(wide, keys, "left")
-    return out
+                .where(F.col("_rn") == F.col("_r")))
+    n = len(k_exprs)
+    return edge.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[F.max(F.when(F.col("_j") == j, F.col("_k"))).alias(f"_k{j}") for j in range(n)],
+        *[F.max(F.when(F.col("_j") == j, F.col("_h"))).alias(f"_h{j}") for j in range(n)],
+        *[F.max(F.when(F.col("_j") == j, F.col("_u"))).alias(f"_u{j}") for j in range(n)])
 
 
 def tier_column(h: Column, unit: Column, n_cutoffs: int, get=F.col) -> Column:
@@ -99,7 +85,7 @@ def tier_column(h: Column, unit: Column, n_cutoffs: int, get=F.col) -> Column:
     for j in range(n_cutoffs):
         k, n = get(f"_k{j}"), get("_n")
         hj, uj = get(f"_h{j}"), get(f"_u{j}")
-        within = (k >= n) | ((k > 0) & ((h < hj) | ((h == hj) & (unit <= uj))))
+        within = F.coalesce((k >= n) | ((k > 0) & ((h < hj) | ((h == hj) & (unit <= uj)))), F.lit(False))
         beyond = F.when(within, 0).otherwise(1)
         total = beyond if total is None else total + beyond
     return total
@@ -116,7 +102,7 @@ def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Seq
     """
     h = hash_unit(seed, F.col(unit_col))
     if not strata:
-        fields = [c for c in cutoffs.columns if c.startswith("_") and c != _ALL]
+        fields = [c for c in cutoffs.columns if c.startswith("_")]
         s = cutoffs.select(F.struct(*fields).alias("s")).scalar()
         return rows.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs, lambda f: s[f]))
     joined = rows.join(_maybe_broadcast(cutoffs, bounded_strata), list(strata), "left")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_fraction, hash_unit, interpolate_vector
 from notewise.operators.sampling import exact_sample
+from notewise.session import materialize
 
 NEIGHBOR_SCHEMA = "i long, j long, distance double"
 
@@ -90,8 +91,8 @@ def smote_oversample(df: DataFrame, id_col: str = "note_id", vec_col: str = "emb
     hash-derived gap u in [0, 1): ``x + u * (nn - x)``.
     Returns (i, copy, j, u, embedding) for the synthetic rows only.
     """
-    mino = df.where(F.col(label_col) == minority).select(
-        F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
+    mino = materialize(df.where(F.col(label_col) == minority).select(
+        F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")))
     counts = df.agg(F.struct(
         F.sum(F.when(F.col(label_col) == minority, 1).otherwise(0)).cast("long").alias("n_min"),
         F.sum(F.when(F.col(label_col) != minority, 1).otherwise(0)).cast("long").alias("n_maj"))).scalar()

@@ -23,6 +23,7 @@ from notewise.operators import models as mo
 from notewise.operators import sampling as sa
 from notewise.operators.features import class_weight_column
 from notewise.operators.smote import smote_balance
+from notewise.session import materialize
 
 # The learner settings of each generation (library names
 # mapped to Spark ML: learning_rate -> step_size, n_estimators -> max_iter,
@@ -77,7 +78,7 @@ def prepare(data: DataFrame, recipe: dict, seed: int = 42) -> DataFrame:
             s.where(F.col("split") != "train").withColumn("embedding", F.col("embedding").cast("array<double>")))
     elif rs == "undersample_train":
         s = sa.undersample_majority(s, "note_id", "y", seed=seed + 1, split_col="split")
-    return s
+    return materialize(s)
 
 
 def fit(prepared: DataFrame, recipe: dict, learner: str, n_features: int, cache_key=None):

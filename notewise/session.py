@@ -68,3 +68,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/notewise-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder (reliable
+    checkpoint, eager) and return a DataFrame over the written copy.
+
+    Used for small intermediate tables that several later steps read (per
+    subject flags, distinct scores, minority vectors), so the expensive scan
+    behind them runs once, and a lost executor re-reads the checkpoint
+    instead of recomputing the scan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
