@@ -46,14 +46,21 @@ def clean_text(col) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(col)), "[^a-z]+", " "))
 
 
-def tokenize(col) -> Column:
-    """Whitespace split without the empty token Spark's ``split('')`` yields."""
-    return F.filter(F.split(_c(col), r"\s+"), lambda w: w != F.lit(""))
+def tokenize(col, cleaned: bool = False) -> Column:
+    """Whitespace split without the empty token Spark's ``split('')`` yields.
 
+    ``cleaned=True`` is for output of :func:`clean_text`, whose words are
+    separated by single spaces with none at the ends: a plain split, no
+    regex and no lambda, with '' mapped to an empty array."""
+    c = _c(col)
+    if cleaned:
+        return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    return F.filter(F.split(c, r"\s+"), lambda w: w != F.lit(""))
 
-def word_length(col) -> Column:
+
+def word_length(col, cleaned: bool = False) -> Column:
     """Number of whitespace-separated words (0 for empty or null text)."""
-    return F.coalesce(F.size(tokenize(col)), F.lit(0))
+    return F.coalesce(F.size(tokenize(col, cleaned)), F.lit(0))
 
 
 def remove_stopwords(tokens, stopwords: Iterable[str]) -> Column:

@@ -12,7 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewise.functions.text import clean_text, remove_stopwords, tokenize, word_length
+from notewise.functions.text import clean_text, word_length
+from notewise.session import materialize
 
 
 def distinct_subjects(df: DataFrame, subject_col: str = "subject_id") -> DataFrame:
@@ -86,10 +87,14 @@ def words(df: DataFrame, text_col: str = "text", stopwords: Iterable[str] | None
           cleaned: bool = False) -> DataFrame:
     """One row per word occurrence after cleaning and stop-word removal."""
     txt = F.col(text_col) if cleaned else clean_text(text_col)
-    toks = tokenize(txt)
+    # Cleaned text: single spaces, no edges -> plain split; the filter after
+    # the explode is whole-stage codegen'd and the stop list an InSet lookup.
+    w = F.col("word")
+    keep = w != F.lit("")
     if stopwords is not None:
-        toks = remove_stopwords(toks, stopwords)
-    return df.where(F.col(text_col).isNotNull()).select(F.explode(toks).alias("word"))
+        keep = keep & ~w.isin(list(stopwords))
+    return (df.where(F.col(text_col).isNotNull())
+              .select(F.explode(F.split(txt, " ")).alias("word")).where(keep))
 
 
 def word_count(df: DataFrame, text_col: str = "text", stopwords: Iterable[str] | None = None,
@@ -118,14 +123,18 @@ def length_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     numpy draws it. For integer values the bin index is exact integer
     arithmetic. Empty bins are listed with count 0."""
     spark = df.sparkSession
-    x = F.col(col).cast("bigint")
-    lo = df.agg(F.min(x)).scalar()
-    hi = df.agg(F.max(x)).scalar()
+    # One pass over the input: counts per distinct value (a small table for
+    # lengths and counts), checkpointed; range and bins come from it.
+    per_value = materialize(df.where(F.col(col).isNotNull())
+                              .groupBy(F.col(col).cast("bigint").alias("x"))
+                              .agg(F.count(F.lit(1)).alias("n")))
+    x = F.col("x")
+    rng = per_value.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = rng["lo"], rng["hi"]
     span = hi - lo
     idx = F.when(span > 0, F.least(F.floor((x - lo) * F.lit(bins) / span), F.lit(bins - 1))) \
            .otherwise(F.lit(bins // 2))
-    counts = df.where(x.isNotNull()).groupBy(idx.cast("bigint").alias("bin")) \
-               .agg(F.count(F.lit(1)).alias("count"))
+    counts = per_value.groupBy(idx.cast("bigint").alias("bin")).agg(F.sum("n").alias("count"))
     # Edges: with a single value numpy widens the range to [v - 0.5, v + 0.5].
     lo_e = F.when(span > 0, lo.cast("double")).otherwise(lo - 0.5)
     width = F.when(span > 0, span.cast("double") / bins).otherwise(F.lit(1.0) / bins)

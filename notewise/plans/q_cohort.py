@@ -140,5 +140,5 @@ def q_label_cohort(spark, sf):
     out = co.case_control_cohort(_notes(spark, sf), KEYWORDS, PREVALENCE, SEED)
     out = out.withColumn("clean_text", clean_text("text"))
     return out.select("subject_id", "note_id", "clean_text",
-                      word_length("clean_text").cast("bigint").alias("n_words"),
+                      word_length("clean_text", cleaned=True).cast("bigint").alias("n_words"),
                       F.col("y").cast("int").alias("y"))

@@ -55,7 +55,7 @@ def q_write_embeddings(spark, sf):
 def q_write_notes(spark, sf):
     """Cleaned corpus written as Parquet to a new path, read back."""
     d = document_notes(spark, sf).select("note_id", clean_text("text").alias("clean_text"))
-    d = d.withColumn("n_words", word_length("clean_text").cast("bigint"))
+    d = d.withColumn("n_words", word_length("clean_text", cleaned=True).cast("bigint"))
     return io.write_table(d, name="notes")
 
 

@@ -54,7 +54,7 @@ def _round_describe(df):
        f"(SELECT CAST(COUNT(*) AS DOUBLE) AS x FROM conversations GROUP BY conv_id)")
 def q_describe_numeric(spark, sf):
     """pandas-style describe of note length in words and of notes per subject."""
-    lengths = document_notes(spark, sf).select(word_length(clean_text("text")).alias("n_words"))
+    lengths = document_notes(spark, sf).select(word_length(clean_text("text"), cleaned=True).alias("n_words"))
     a = pr.describe_numeric(lengths, "n_words").withColumn("what", F.lit("note_words"))
     per = pr.notes_per_subject(conversation_notes(spark, sf))
     b = pr.describe_numeric(per, "n_notes").withColumn("what", F.lit("notes_per_subject"))
@@ -129,7 +129,7 @@ SELECT r.range AS bin,
 FROM range(50) r CROSS JOIN m LEFT JOIN c ON c.bin = r.range""")
 def q_length_histogram(spark, sf):
     """50 equal-width bins of note length in words (empty bins included)."""
-    lengths = document_notes(spark, sf).select(word_length(clean_text("text")).alias("n_words"))
+    lengths = document_notes(spark, sf).select(word_length(clean_text("text"), cleaned=True).alias("n_words"))
     h = pr.length_histogram(lengths, "n_words", 50)
     return h.select("bin", F.round("lo_edge", 6).alias("lo_edge"), F.round("hi_edge", 6).alias("hi_edge"),
                     "count")

@@ -58,7 +58,7 @@ def q_cast_text(spark, sf):
        f"SELECT doc_id AS note_id, CAST(len({tokens_sql(clean_sql('text'))}) AS BIGINT) AS n_tokens, "
        f"array_to_string({tokens_sql(clean_sql('text'))}, '|') AS tokens FROM documents")
 def q_tokenize(spark, sf):
-    toks = tx.tokenize(tx.clean_text("text"))
+    toks = tx.tokenize(tx.clean_text("text"), cleaned=True)
     return _docs(spark, sf).select("note_id", F.size(toks).cast("bigint").alias("n_tokens"),
                                    F.array_join(toks, "|").alias("tokens"))
 
@@ -67,7 +67,7 @@ def q_tokenize(spark, sf):
        f"SELECT doc_id AS note_id, CAST(len({tokens_sql(clean_sql('text'))}) AS BIGINT) AS n_words FROM documents")
 def q_word_length(spark, sf):
     return _docs(spark, sf).select(
-        "note_id", tx.word_length(tx.clean_text("text")).cast("bigint").alias("n_words"))
+        "note_id", tx.word_length(tx.clean_text("text"), cleaned=True).cast("bigint").alias("n_words"))
 
 
 def _kept_sql(stop_sql):
@@ -78,7 +78,7 @@ def _kept_sql(stop_sql):
 
 @query("remove_stopwords", _kept_sql(ENGLISH_SQL))
 def q_remove_stopwords(spark, sf):
-    kept = tx.remove_stopwords(tx.tokenize(tx.clean_text("text")), sw.ENGLISH_STOPWORDS)
+    kept = tx.remove_stopwords(tx.tokenize(tx.clean_text("text"), cleaned=True), sw.ENGLISH_STOPWORDS)
     return _docs(spark, sf).select("note_id", F.size(kept).cast("bigint").alias("n_kept"),
                                    F.array_join(kept, " ").alias("kept"))
 
@@ -86,7 +86,7 @@ def q_remove_stopwords(spark, sf):
 @query("extend_stopwords", _kept_sql(CLINICAL_SQL))
 def q_extend_stopwords(spark, sf):
     """English list plus the 17 domain words, applied to every note."""
-    kept = tx.remove_stopwords(tx.tokenize(tx.clean_text("text")), sw.CLINICAL_STOPWORDS)
+    kept = tx.remove_stopwords(tx.tokenize(tx.clean_text("text"), cleaned=True), sw.CLINICAL_STOPWORDS)
     return _docs(spark, sf).select("note_id", F.size(kept).cast("bigint").alias("n_kept"),
                                    F.array_join(kept, " ").alias("kept"))
 
@@ -98,7 +98,7 @@ def q_extend_stopwords(spark, sf):
 def q_truncate_tokens(spark, sf):
     """Token cap an encoder with a 512-token window applies: the whole text is
     tokenised and counted; ``head`` is what such an encoder would see."""
-    toks = tx.tokenize(tx.clean_text("text"))
+    toks = tx.tokenize(tx.clean_text("text"), cleaned=True)
     cut = tx.truncate_tokens(toks, 512)
     return _docs(spark, sf).select("note_id", F.size(toks).cast("bigint").alias("n_tokens"),
                                    F.size(cut).cast("bigint").alias("n_kept"),
