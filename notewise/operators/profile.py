@@ -114,8 +114,10 @@ def word_weights(counts: DataFrame, max_words: int = 200) -> DataFrame:
     """Frequencies scaled by the largest, for the top ``max_words`` words:
     the table a word-cloud renderer draws from."""
     top = top_words(counts, max_words)
-    peak = counts.agg(F.max("count")).scalar()
-    return top.withColumn("weight", F.col("count") / peak)
+    # The peak is the first of the top rows: a window over at most
+    # ``max_words`` rows, so the word count is computed once.
+    from pyspark.sql import Window
+    return top.withColumn("weight", F.col("count") / F.max("count").over(Window.partitionBy()))
 
 
 def length_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

@@ -123,40 +123,65 @@ def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
     return assign_tiers(df, cut, unit_col, strata, n, seed, out_col, bounded_strata)
 
 
+def quantile_edges(df: DataFrame, key: str, n_buckets: int, accuracy: int = 10000) -> list[float]:
+    """``n_buckets - 1`` approximate quantiles of ``key`` (deduplicated), from
+    one bounded-memory sketch aggregate. The edges are fixed once as
+    literals, so every branch of a plan buckets rows identically."""
+    qs = [i / n_buckets for i in range(1, n_buckets)]
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, accuracy).alias("e")).first()
+    return sorted({float(e) for e in (row["e"] or []) if e is not None})
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
                    n_buckets: int = 1024, prefix: str = "cum_",
-                   bounded_groups: bool = True) -> DataFrame:
+                   bounded_groups: bool = True, bucketing: str = "auto") -> DataFrame:
     """Inclusive running sums of ``value_cols`` ordered by ``order_col``.
 
     Rows that tie on the order key get the same total (range frame). The
-    bucket table has at most ``n_buckets`` rows per group; with
-    ``bounded_groups`` (few groups) it is broadcast back. Without groups the
-    key range is a scalar subquery and the offsets join on the bucket alone.
+    key is cut into at most ``n_buckets`` buckets: at approximate quantiles
+    (``bucketing='quantile'``, the default without groups, so a concentrated
+    key still gives balanced buckets) or at equal widths per group
+    (``'width'``, the default with groups). Bucket sums get an exclusive
+    running sum that is broadcast back as offsets; a window inside each
+    bucket finishes the sum.
     """
+    from pyspark.ml.feature import Bucketizer
     keys = list(group_cols)
     key = F.col(order_col).cast("double")
-    if keys:
-        stats = df.groupBy(*keys).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-        d = df.join(_maybe_broadcast(stats, bounded_groups), keys)
-        lo, hi = F.col("_lo"), F.col("_hi")
+    mode = bucketing if bucketing != "auto" else ("width" if keys else "quantile")
+    if mode == "quantile":
+        if keys:
+            raise ValueError("quantile bucketing is for ungrouped totals")
+        edges = quantile_edges(df, order_col, n_buckets)
+        nb = len(edges) + 1
+        splits = [float("-inf")] + edges + [float("inf")]
+        d = df.withColumn("_key", key)
+        d = Bucketizer(splits=splits, inputCol="_key", outputCol="_bkd", handleInvalid="keep").transform(d)
+        b = F.col("_bkd").cast("int")
+        d = d.withColumn("_bk", (F.lit(nb - 1) - b) if descending else b).drop("_key", "_bkd")
     else:
-        s = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
-        d, lo, hi = df, s["lo"], s["hi"]
-    span = hi - lo
-    frac = F.when(span > 0, (key - lo) / span).otherwise(F.lit(0.0))
-    b = F.least(F.floor(frac * n_buckets), F.lit(n_buckets - 1)).cast("int")
-    if descending:
-        b = F.lit(n_buckets - 1) - b
-    d = d.withColumn("_bk", b)
-    if keys:
-        d = d.drop("_lo", "_hi")
+        if keys:
+            stats = df.groupBy(*keys).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+            d = df.join(_maybe_broadcast(stats, bounded_groups), keys)
+            lo, hi = F.col("_lo"), F.col("_hi")
+        else:
+            st = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+            d, lo, hi = df, st["lo"], st["hi"]
+        span = hi - lo
+        frac = F.when(span > 0, (key - lo) / span).otherwise(F.lit(0.0))
+        b = F.least(F.floor(frac * n_buckets), F.lit(n_buckets - 1)).cast("int")
+        if descending:
+            b = F.lit(n_buckets - 1) - b
+        d = d.withColumn("_bk", b)
+        if keys:
+            d = d.drop("_lo", "_hi")
 
     bt = d.groupBy(*keys, "_bk").agg(*[F.sum(v).alias(f"_bs_{v}") for v in value_cols])
     w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = bt.select(*keys, "_bk", *[F.coalesce(F.sum(f"_bs_{v}").over(w_off), F.lit(0))
                                     .alias(f"_off_{v}") for v in value_cols])
-    # Offsets: n_buckets rows per group (n_buckets rows in total without groups).
+    # Offsets: at most n_buckets rows per group (n_buckets rows in total without groups).
     d = d.join(_maybe_broadcast(off, bounded_groups or not keys), keys + ["_bk"])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = (Window.partitionBy(*keys, "_bk").orderBy(order)

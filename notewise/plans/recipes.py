@@ -121,7 +121,9 @@ def run_recipe(data: DataFrame, gen: str, learner: str, encoder: str, n_features
                 cache_key=(cache_tag, gen, learner) if cache_tag else None)
     feats = mo.with_features(prepared)
     eval_split = recipe.get("eval_on", "test")
-    scored = mo.predict_score(model, feats.where(F.col("split") == eval_split))
+    # Score once: the curve, the threshold and the report all read it.
+    scored = materialize(mo.predict_score(model, feats.where(F.col("split") == eval_split))
+                         .select("note_id", "y", "score"))
     pol = recipe["threshold"]
     if pol == "tuned":
         tune = recipe.get("tune_on", eval_split)

@@ -39,6 +39,7 @@ def build_session(master: str | None = None, app: str = "notewise",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 2 * cpus),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("NOTEWISE_DRIVER_MEMORY", "16g"),
     }
     conf.update(extra or {})

@@ -252,3 +252,18 @@ def test_partitioned_embeddings_prune(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(encoder" in plan
     assert one.count() == e.where("encoder = 'enc1'").count()
+
+
+@pytest.mark.parametrize("bucketing", ["quantile", "width"])
+def test_running_totals_skewed_key(spark, bucketing):
+    # 90% of the distinct keys crowd into a tiny range: both bucketings must
+    # stay exact; quantile buckets also stay balanced.
+    rnd = random.Random(11)
+    keys = [rnd.random() * 1e-6 for _ in range(900)] + [rnd.random() for _ in range(100)]
+    rows = [(k, 1) for k in keys]
+    df = spark.createDataFrame(rows, "k double, v long")
+    got = {r.k: r.cum_v for r in running_totals(df, "k", ["v"], descending=True, n_buckets=16,
+                                                bucketing=bucketing).collect()}
+    srt = sorted(keys, reverse=True)
+    for i, k in enumerate(srt):
+        assert got[k] == i + 1
