@@ -115,9 +115,15 @@ def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
                bits: int = 16, units: DataFrame | None = None,
                bounded_strata: bool = True) -> DataFrame:
     """One-call form: cutoffs over ``units`` (default: distinct units of df),
-    tiers attached to every row of ``df``."""
+    tiers attached to every row of ``df``.
+
+    The unit list (strata + id: a narrow projection) is checkpointed because
+    the cutoff steps read it twice; ``df`` itself is then read once more by
+    the final predicate, so a wide input is never copied."""
+    from notewise.session import materialize
     if units is None:
         units = df.select(*strata, unit_col).distinct()
+    units = materialize(units)
     cut = hash_rank_cutoffs(units, unit_col, strata, ks, seed, bits, bounded_strata)
     n = len(ks(F.col("_n")))
     return assign_tiers(df, cut, unit_col, strata, n, seed, out_col, bounded_strata)

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.operators.ranking import rank_tiers
-from notewise.session import materialize
 
 
 def _strata(stratify) -> list[str]:
@@ -95,7 +94,6 @@ def undersample_majority(df: DataFrame, unit_col: str, label_col: str, seed=42,
     splits pass through untouched. With ``split_col=None`` the whole frame is
     resampled.
     """
-    df = materialize(df)  # read by the cutoff steps and the final filter
     if split_col is None:
         target = df
         rest = None
