@@ -55,3 +55,19 @@ def test_stream_equals_batch(spark):
     ev = table(spark, SF01, "events")
     batch = {r.user_id for r in ev.where(contains_any("event_type", ["PURCH"])).select("user_id").distinct().collect()}
     assert stream == batch and len(stream) == 150
+
+
+@pytest.mark.parametrize("name", ["label_cohort", "pr_curve", "leaderboard", "smote_neighbors",
+                                  "undersample_majority", "cohort_match_bounded", "word_count_custom"])
+def test_results_do_not_depend_on_partition_count(spark, name):
+    from oracle import rows_of
+    out = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = REG[name].fn(spark, SF01)
+            out.append(rows_of(df.columns, [tuple(r) for r in df.collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1]
