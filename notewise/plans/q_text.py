@@ -93,13 +93,14 @@ def q_extend_stopwords(spark, sf):
 
 @query("truncate_tokens",
        f"SELECT doc_id AS note_id, CAST(len({tokens_sql(clean_sql('text'))}) AS BIGINT) AS n_tokens, "
-       f"CAST(least(len({tokens_sql(clean_sql('text'))}), 512) AS BIGINT) AS n_kept, "
-       f"array_to_string({tokens_sql(clean_sql('text'))}[1:512], ' ') AS head FROM documents")
+       f"CAST(greatest(len({tokens_sql(clean_sql('text'))}) - 512, 0) AS BIGINT) AS n_beyond, "
+       f"CAST(len({tokens_sql(clean_sql('text'))}) <= 512 AS INTEGER) AS fits FROM documents")
 def q_truncate_tokens(spark, sf):
-    """Token cap an encoder with a 512-token window applies: the whole text is
-    tokenised and counted; ``head`` is what such an encoder would see."""
+    """What a 512-token encoder window would cut, per note: every note is
+    tokenised whole; tokens beyond the window are counted, not dropped."""
     toks = tx.tokenize(tx.clean_text("text"), cleaned=True)
-    cut = tx.truncate_tokens(toks, 512)
-    return _docs(spark, sf).select("note_id", F.size(toks).cast("bigint").alias("n_tokens"),
-                                   F.size(cut).cast("bigint").alias("n_kept"),
-                                   F.array_join(cut, " ").alias("head"))
+    n = F.size(toks)
+    kept = F.size(tx.truncate_tokens(toks, 512))
+    return _docs(spark, sf).select("note_id", n.cast("bigint").alias("n_tokens"),
+                                   (n - kept).cast("bigint").alias("n_beyond"),
+                                   (n <= 512).cast("int").alias("fits"))
