@@ -58,7 +58,7 @@ def fuse_features(df: DataFrame, vec_col: str = "embedding",
 def tokens_of(df: DataFrame, text_col: str = "text", cleaned: bool = False,
               max_tokens: int | None = None) -> DataFrame:
     txt = F.col(text_col) if cleaned else clean_text(text_col)
-    return df.withColumn("tokens", truncate_tokens(tokenize(txt), max_tokens))
+    return df.withColumn("tokens", truncate_tokens(tokenize(txt, cleaned=True), max_tokens))
 
 
 def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str = "note_id",
@@ -75,8 +75,14 @@ def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str
 
 def word2vec(df: DataFrame, dim: int = 64, text_col: str = "text", key: str = "note_id",
              cleaned: bool = False, min_count: int = 2, max_iter: int = 1, seed: int = 42,
-             num_partitions: int = 1) -> DataFrame:
-    """Word2Vec document vectors (mean of the note's word vectors)."""
+             num_partitions: int | None = None) -> DataFrame:
+    """Word2Vec document vectors (mean of the note's word vectors).
+
+    Training runs on ``num_partitions`` tasks (default: the cluster's
+    parallelism) whose updates are averaged each iteration; the vocabulary
+    (words seen ``min_count`` times) is what reaches the driver."""
+    if num_partitions is None:
+        num_partitions = df.sparkSession.sparkContext.defaultParallelism
     t = tokens_of(df.select(key, text_col), text_col, cleaned)
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="tokens", outputCol="vec",
                    maxIter=max_iter, seed=seed, numPartitions=num_partitions)
