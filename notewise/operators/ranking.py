@@ -113,16 +113,19 @@ def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Seq
 def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
                ks: Callable[[Column], list[Column]], seed=42, out_col: str = "tier",
                bits: int = 16, units: DataFrame | None = None,
-               bounded_strata: bool = True) -> DataFrame:
+               bounded_strata: bool = True, unique_units: bool = False) -> DataFrame:
     """One-call form: cutoffs over ``units`` (default: distinct units of df),
     tiers attached to every row of ``df``.
 
     The unit list (strata + id: a narrow projection) is checkpointed because
     the cutoff steps read it twice; ``df`` itself is then read once more by
-    the final predicate, so a wide input is never copied."""
+    the final predicate, so a wide input is never copied. With
+    ``unique_units`` (``unit_col`` is a key of ``df``) no distinct is needed."""
     from notewise.session import materialize
     if units is None:
-        units = df.select(*strata, unit_col).distinct()
+        units = df.select(*strata, unit_col)
+        if not unique_units:
+            units = units.distinct()
     units = materialize(units)
     cut = hash_rank_cutoffs(units, unit_col, strata, ks, seed, bits, bounded_strata)
     n = len(ks(F.col("_n")))

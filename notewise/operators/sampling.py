@@ -1,5 +1,9 @@
 """Seeded, exact-size samples and splits.
 
+Row-level splits and under-sampling take ``unit_col`` to be a key of the
+input (one row per unit); group splits and :func:`exact_sample` accept
+repeated units.
+
 Every sample here is "the first k units by (hash(seed:unit), unit)" inside
 its stratum, computed with :mod:`notewise.operators.ranking`. So a sample is
 deterministic, has exactly the requested size, does not depend on
@@ -50,7 +54,7 @@ def split_random(df: DataFrame, unit_col: str, test_fraction: float = 0.2, seed=
                  split_col: str = "split") -> DataFrame:
     """Unstratified exact split: round(test_fraction * n) units go to 'test'."""
     t = rank_tiers(df, unit_col, [], lambda n: [F.round(n * F.lit(test_fraction))],
-                   seed=seed, out_col="_tier")
+                   seed=seed, out_col="_tier", unique_units=True)
     return t.withColumn(split_col, F.when(F.col("_tier") == 0, "test").otherwise("train")).drop("_tier")
 
 
@@ -58,7 +62,7 @@ def split_stratified(df: DataFrame, unit_col: str, label_col: str, test_fraction
                      seed=42, split_col: str = "split") -> DataFrame:
     """Per class, round(test_fraction * n_c) units go to 'test', the rest to 'train'."""
     t = rank_tiers(df, unit_col, [label_col], lambda n: [F.round(n * F.lit(test_fraction))],
-                   seed=seed, out_col="_tier")
+                   seed=seed, out_col="_tier", unique_units=True)
     return t.withColumn(split_col, F.when(F.col("_tier") == 0, "test").otherwise("train")).drop("_tier")
 
 
@@ -70,7 +74,7 @@ def split_three_way(df: DataFrame, unit_col: str, label_col: str, holdout_fracti
     def ks(n):
         hold = F.round(n * F.lit(holdout_fraction))
         return [F.round(hold * F.lit(val_share)), hold]
-    t = rank_tiers(df, unit_col, [label_col], ks, seed=seed, out_col="_tier")
+    t = rank_tiers(df, unit_col, [label_col], ks, seed=seed, out_col="_tier", unique_units=True)
     s = (F.when(F.col("_tier") == 0, "val").when(F.col("_tier") == 1, "test").otherwise("train"))
     return t.withColumn(split_col, s).drop("_tier")
 
@@ -101,7 +105,8 @@ def undersample_majority(df: DataFrame, unit_col: str, label_col: str, seed=42,
         target = df.where(F.col(split_col) == apply_to)
         rest = df.where(F.col(split_col) != apply_to)
     minority = lambda n: [F.min(n).over(Window.partitionBy())]  # noqa: E731  (over #classes rows)
-    kept = rank_tiers(target, unit_col, [label_col], minority, seed=seed, out_col="_tier")
+    kept = rank_tiers(target, unit_col, [label_col], minority, seed=seed, out_col="_tier",
+                      unique_units=True)
     kept = kept.where(F.col("_tier") == 0).drop("_tier")
     return kept if rest is None else kept.unionByName(rest)
 
