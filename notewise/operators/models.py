@@ -42,13 +42,18 @@ def train_gbt(train: DataFrame, label: str = "y", features: str = "features", we
               max_iter: int = 100, step_size: float = 0.1, max_depth: int = 5,
               subsampling_rate: float = 1.0, feature_subset: str = "all",
               validation_col: str | None = None, validation_tol: float = 0.01, seed: int = 42,
-              max_bins: int = 32):
+              max_bins: int = 32, cache_node_ids: bool | None = None):
     """Fit a binary boosted-tree model. With ``validation_col`` (boolean
-    column) training stops early on the validation rows."""
+    column) training stops early on the validation rows.
+
+    Node-id caching (with a checkpoint every 10 trees to keep lineage short)
+    pays off for deep trees; by default it is on from depth 8."""
+    if cache_node_ids is None:
+        cache_node_ids = max_depth >= 8
     gbt = GBTClassifier(labelCol=label, featuresCol=features, maxIter=max_iter, stepSize=step_size,
                         maxDepth=max_depth, subsamplingRate=subsampling_rate,
                         featureSubsetStrategy=feature_subset, seed=seed, maxBins=max_bins,
-                        cacheNodeIds=True, checkpointInterval=10, validationTol=validation_tol)
+                        cacheNodeIds=cache_node_ids, checkpointInterval=10, validationTol=validation_tol)
     if weight:
         gbt = gbt.setWeightCol(weight)
     if validation_col:
