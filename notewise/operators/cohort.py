@@ -107,6 +107,17 @@ def cohort_subjects(flags: DataFrame, prevalence: float, seed=42,
                  .select(subject_col, F.col("matched").alias("y")))
 
 
+def bounded_flags(rows: DataFrame, predicate: Column, chunk_size: int, k: int,
+                  subject_col: str = "subject_id", order_col: str = "ord") -> DataFrame:
+    """Per-subject flags where ``matched`` means "in the bounded match set"
+    (:func:`cohort_match_bounded`): the faithful form, in which subjects first
+    matched after the stop chunk fall into the negative pool."""
+    matched = cohort_match_bounded(rows, predicate, chunk_size, k, subject_col, order_col)
+    subjects = rows.select(subject_col).distinct()
+    return (subjects.join(matched.select(subject_col, F.lit(1).alias("_m")), subject_col, "left")
+                    .select(subject_col, F.coalesce(F.col("_m"), F.lit(0)).alias("matched")))
+
+
 def negative_pool(all_subjects: DataFrame, matched: DataFrame, subject_col: str = "subject_id") -> DataFrame:
     return all_subjects.select(subject_col).distinct().join(matched.select(subject_col), subject_col, "left_anti")
 

@@ -142,3 +142,24 @@ def q_label_cohort(spark, sf):
     return out.select("subject_id", "note_id", "clean_text",
                       word_length("clean_text", cleaned=True).cast("bigint").alias("n_words"),
                       F.col("y").cast("int").alias("y"))
+
+
+BOUNDED_SQL = """
+WITH m AS (SELECT user_id AS subject_id, MIN(floor(event_id / 100)) AS first_chunk FROM events
+           WHERE regexp_matches(event_type, '(?i)PURCH') GROUP BY user_id),
+     p AS (SELECT first_chunk, SUM(COUNT(*)) OVER (ORDER BY first_chunk) AS cum FROM m GROUP BY first_chunk),
+     st AS (SELECT MIN(first_chunk) AS s FROM p WHERE cum >= 60),
+     bm AS (SELECT subject_id FROM m, st WHERE s IS NULL OR first_chunk <= s),
+     f AS (SELECT DISTINCT user_id AS subject_id,
+                  CASE WHEN user_id IN (SELECT subject_id FROM bm) THEN 1 ELSE 0 END AS matched FROM events)"""
+
+
+@query("cohort_union_bounded",
+       f"{BOUNDED_SQL}, sz AS ({SIZE_SQL}), smp AS ({SAMPLE_SQL}) "
+       f"SELECT subject_id, 1 AS y FROM f WHERE matched = 1 UNION ALL SELECT subject_id, 0 AS y FROM smp")
+def q_cohort_union_bounded(spark, sf):
+    """Faithful COH-4: controls drawn from all subjects minus the *bounded*
+    match set, so late-matching subjects can be drawn as controls."""
+    ev = event_rows(spark, sf)
+    flags = co.bounded_flags(ev, contains_any("event_type", ["PURCH"]), 100, 60)
+    return co.cohort_subjects(flags, PREVALENCE, SEED).select("subject_id", F.col("y").cast("int").alias("y"))

@@ -55,6 +55,13 @@ RECIPES = {
                gbt=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8,
                         feature_subset="0.8"),
                mlp=dict(hidden=(512, 256, 64), max_iter=20)),
+    # v5 with the threshold tuned on validation and metrics on the untouched
+    # test split (the reference leaves its test split unused).
+    "v5_test": dict(split="three_way", resample="undersample_train", weight=True, threshold="tuned",
+                    tune_on="val", eval_on="test", early_stop_on="val",
+                    gbt=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8,
+                             feature_subset="0.8"),
+                    mlp=dict(hidden=(512, 256, 64), max_iter=20)),
 }
 
 _MODEL_CACHE: dict = {}
