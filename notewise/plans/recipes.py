@@ -145,10 +145,23 @@ def run_recipe(data: DataFrame, gen: str, learner: str, encoder: str, n_features
 
 def experiment_grid(data: DataFrame, encoder: str, n_features: int,
                     gens=("v1", "v2", "v3", "v4", "v5"), learners=("gbt", "mlp"),
-                    cache_tag=None) -> DataFrame:
-    out = None
-    for g in gens:
-        for lr in learners:
-            part = run_recipe(data, g, lr, encoder, n_features, cache_tag=cache_tag)
-            out = part if out is None else out.unionByName(part)
+                    cache_tag=None, parallel: int = 4) -> DataFrame:
+    """Every (recipe, learner) cell as one long metrics table.
+
+    Cells are independent, so up to ``parallel`` of them are fitted at once:
+    each driver thread submits its own Spark jobs and the scheduler shares
+    the executors between them (one fit alone leaves most cores idle, since
+    boosting runs one small job per tree level)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    cells = [(g, lr) for g in gens for lr in learners]
+    # Longest fits first (most boosting rounds), so they start immediately.
+    order = sorted(cells, key=lambda c: -RECIPES[c[0]][c[1]].get("max_iter", 0))
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        done = dict(zip(order, pool.map(
+            lambda c: run_recipe(data, c[0], c[1], encoder, n_features, cache_tag=cache_tag), order)))
+    parts = [done[c] for c in cells]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
