@@ -23,9 +23,6 @@ from notewise.functions.numeric import apply_threshold, f1_exact, f1_smoothed, s
 from notewise.operators.ranking import running_totals
 from notewise.session import materialize
 
-REPORT_CLASSES = ("0", "1", "accuracy", "macro avg", "weighted avg")
-
-
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred",
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """tn, fp, fn, tp in one aggregation (rows = truth, columns = prediction)."""

@@ -17,8 +17,6 @@ and depend on partition layout.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +107,3 @@ def undersample_majority(df: DataFrame, unit_col: str, label_col: str, seed=42,
                       unique_units=True)
     kept = kept.where(F.col("_tier") == 0).drop("_tier")
     return kept if rest is None else kept.unionByName(rest)
-
-
-def class_counts(df: DataFrame, label_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*group_cols, label_col).agg(F.count(F.lit(1)).alias("n"))

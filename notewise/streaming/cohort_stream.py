@@ -49,9 +49,10 @@ def stream_cohort(spark: SparkSession, source_dir: str, schema: T.StructType, ke
 def cohort_so_far(spark: SparkSession, out_path: str) -> DataFrame:
     """Subjects emitted so far, with the micro-batch that first saw them and
     the running distinct count at the end of each batch."""
+    from pyspark.sql import Window
     df = spark.read.parquet(out_path)
     per_batch = df.groupBy("batch").agg(F.count(F.lit(1)).alias("new_subjects"))
-    from pyspark.sql import Window
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     # One row per micro-batch: a small table, ordered in one task.
-    return df.join(per_batch.withColumn("running_total", F.sum("new_subjects").over(w)), "batch")
+    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    running = per_batch.withColumn("running_total", F.sum("new_subjects").over(w))
+    return df.join(F.broadcast(running), "batch")
