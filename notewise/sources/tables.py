@@ -20,18 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Spread an under-split scan before CPU-heavy text work.
+
+    A table stored as a few large files or row groups scans in fewer tasks
+    than the cluster has cores; then rows are dealt round-robin (not by a key,
+    so a hot subject cannot pile up in one task) to ``defaultParallelism``
+    partitions. A large table already has one split per ~128 MB and is left
+    as it is, so at scale this is a no-op. The check is planning only."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as notes: subject_id, note_id, text (+ lang, source)."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("note_id"),
-                    "text", "lang", "source")
+    d = d.select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("note_id"),
+                 "text", "lang", "source")
+    return spread_if_narrow(d)
 
 
 def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as notes: subject_id = conv_id, note_id = turn."""
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("note_id"),
-                    "text", "role")
+    c = c.select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("note_id"),
+                 "text", "role")
+    return spread_if_narrow(c)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
