@@ -30,29 +30,73 @@ from notewise.session import materialize
 NEIGHBOR_SCHEMA = "i long, j long, distance double"
 
 
-def _local_topk(k: int, chunk: int = 128):
+def _exact_rows(qv, qi, cv, ci, k):
+    """Full exact k-NN for a few query rows (direct differences)."""
+    out_i, out_j, out_d = [], [], []
+    for r in range(len(qi)):
+        d = np.sqrt(((cv - qv[r]) ** 2).sum(axis=1))
+        d[ci == qi[r]] = np.inf
+        order = np.lexsort((ci, np.round(d, 9)))
+        order = order[np.isfinite(d[order])][:k]
+        out_i.append(np.full(len(order), qi[r], np.int64))
+        out_j.append(ci[order])
+        out_d.append(d[order])
+    return out_i, out_j, out_d
+
+
+def _local_topk(k: int, extra: int = 8, chunk: int = 512, tol: float = 1e-6):
+    """Exact local top-k of each query row against one candidate block.
+
+    A matrix product (``|a|^2 + |b|^2 - 2ab``) shortlists ``k + extra``
+    candidates per row; their distances are recomputed exactly and ranked by
+    (distance rounded to 9 places, id). A row whose shortlist boundary lies
+    within ``tol`` of its k-th exact distance (ties, duplicates) is redone
+    with the full exact computation, so the result never depends on the
+    shortlist size."""
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
+                              "distance": pd.Series([], dtype="float64")})
         if q.empty or c.empty:
-            return pd.DataFrame({"i": pd.Series([], "int64"), "j": pd.Series([], "int64"),
-                                 "distance": pd.Series([], "float64")})
+            return empty
         qi = q["i"].to_numpy(np.int64)
         ci = c["j"].to_numpy(np.int64)
         qv = np.stack(q["v"].to_numpy()).astype(np.float64)
         cv = np.stack(c["w"].to_numpy()).astype(np.float64)
+        cn = (cv * cv).sum(axis=1)
+        n_c = len(ci)
+        m = min(k + extra, n_c)
         out_i, out_j, out_d = [], [], []
         for s in range(0, len(qi), chunk):
-            diff = qv[s:s + chunk, None, :] - cv[None, :, :]
+            qs, ids = qv[s:s + chunk], qi[s:s + chunk]
+            g = (qs * qs).sum(axis=1)[:, None] + cn[None, :] - 2.0 * (qs @ cv.T)
+            g[ids[:, None] == ci[None, :]] = np.inf
+            cand = np.argpartition(g, m - 1, axis=1)[:, :m] if m < n_c else \
+                np.broadcast_to(np.arange(n_c), (len(ids), n_c))
+            diff = qs[:, None, :] - cv[cand]
             d = np.sqrt(np.einsum("abk,abk->ab", diff, diff))
-            same = qi[s:s + chunk, None] == ci[None, :]
-            d = np.where(same, np.inf, d)
-            key = np.round(d, 9)
-            for r in range(d.shape[0]):
-                # order by rounded distance, then neighbour id; keep k
-                order = np.lexsort((ci, key[r]))
-                order = order[np.isfinite(d[r, order])][:k]
-                out_i.append(np.full(len(order), qi[s + r], np.int64))
-                out_j.append(ci[order])
-                out_d.append(d[r, order])
+            d[ci[cand] == ids[:, None]] = np.inf
+            order = np.lexsort((ci[cand], np.round(d, 9)), axis=1)[:, :k]
+            rows = np.arange(len(ids))[:, None]
+            d_top, j_top = d[rows, order], ci[cand][rows, order]
+            # Safe when every candidate left out is farther than the k-th kept.
+            kth = d_top[:, -1]
+            if m < n_c:
+                g_out = np.take_along_axis(g, cand, axis=1).max(axis=1)
+                unsafe = np.sqrt(np.maximum(g_out, 0.0)) <= kth + tol
+            else:
+                unsafe = np.zeros(len(ids), bool)
+            for r in np.nonzero(~unsafe)[0]:
+                keep = np.isfinite(d_top[r])
+                out_i.append(np.full(int(keep.sum()), ids[r], np.int64))
+                out_j.append(j_top[r][keep])
+                out_d.append(d_top[r][keep])
+            if unsafe.any():
+                a, b, c_ = _exact_rows(qs[unsafe], ids[unsafe], cv, ci, k)
+                out_i += a
+                out_j += b
+                out_d += c_
+        if not out_i:
+            return empty
         return pd.DataFrame({"i": np.concatenate(out_i), "j": np.concatenate(out_j),
                              "distance": np.concatenate(out_d)})
     return run

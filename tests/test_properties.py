@@ -291,3 +291,19 @@ def test_stream_running_count(spark, tmp_path):
                           glob="events.parquet", out_path=out, checkpoint=str(tmp_path / "ckpt"))
     q2.awaitTermination()
     assert spark.read.parquet(out).count() == 150
+
+
+def test_smote_neighbors_with_duplicate_points(spark):
+    # Ten identical copies of one point: ties must resolve by id exactly as
+    # in the brute-force order, also when the shortlist is smaller than the tie.
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 4))
+    base[5:15] = base[5]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "note_id long, embedding array<double>")
+    got = {(r.i, r.r): r.j for r in sm.smote_neighbors(df, k=3, block_rows=16).collect()}
+    for a in range(40):
+        d = np.sqrt(((base - base[a]) ** 2).sum(axis=1))
+        order = sorted((round(d[b], 9), b) for b in range(40) if b != a)[:3]
+        for r, (_, j) in enumerate(order, 1):
+            assert got[(a, r)] == j
