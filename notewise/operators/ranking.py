@@ -10,10 +10,11 @@
     carries the unit id, so no join back to the unit list is needed.
 
 ``running_totals``
-    Inclusive running sums along an ordered key, per group. The key range is
-    cut into equal-width buckets; bucket sums (at most ``n_buckets`` rows per
-    group) get an exclusive running sum, which is broadcast back as an
-    offset, and a window inside each bucket finishes the sum.
+    Inclusive running sums along an ordered key, per group. The key is cut
+    into buckets (at approximate quantiles, or at equal widths per group);
+    bucket sums (at most ``n_buckets`` rows per group) get an exclusive
+    running sum, which is broadcast back as an offset, and a window inside
+    each bucket finishes the sum.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_unit
+from notewise.session import materialize
+
 
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
@@ -121,7 +124,6 @@ def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
     the cutoff steps read it twice; ``df`` itself is then read once more by
     the final predicate, so a wide input is never copied. With
     ``unique_units`` (``unit_col`` is a key of ``df``) no distinct is needed."""
-    from notewise.session import materialize
     if units is None:
         units = df.select(*strata, unit_col)
         if not unique_units:
