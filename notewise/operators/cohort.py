@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_unit
 from notewise.functions.text import contains_any
-from notewise.operators.ranking import hash_rank_cutoffs, tier_column
+from notewise.operators.ranking import hash_rank_cutoffs, running_totals, tier_column
+from notewise.operators.sampling import exact_sample
 from notewise.session import materialize
 
 
@@ -56,18 +57,16 @@ def cohort_match_bounded(rows: DataFrame, predicate: Column, chunk_size: int, k:
                  .agg(F.min(F.floor(F.col(order_col) / F.lit(chunk_size))).cast("bigint").alias("first_chunk")))
     # One row per matched subject, read by two steps: scan the events once.
     first = materialize(first)
-    # Rank subjects by (first_chunk, subject); the k-th one fixes the stop chunk.
-    ranked = first.select(F.col(subject_col), F.col("first_chunk"))
-    stop = _kth_smallest(ranked, "first_chunk", subject_col, k).scalar()
+    # The k-th smallest first chunk is the chunk in which the count reaches k.
+    stop = _kth_smallest(first, "first_chunk", k).scalar()
     return (first.where(stop.isNull() | (F.col("first_chunk") <= stop))
                  .select(subject_col, "first_chunk"))
 
 
-def _kth_smallest(df: DataFrame, key: str, tie: str, k: int) -> DataFrame:
+def _kth_smallest(df: DataFrame, key: str, k: int) -> DataFrame:
     """One-row table ``stop_chunk`` = k-th smallest ``key`` (null if fewer
     than k rows). Two levels: a count per key value, then a running sum over
     distinct key values via the bucketed running total."""
-    from notewise.operators.ranking import running_totals
     per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     cum = running_totals(per_key, key, ["_c"], descending=False, prefix="cum")
     return cum.where(F.col("cum_c") >= k).agg(F.min(key).alias("stop_chunk"))
@@ -124,7 +123,6 @@ def negative_pool(all_subjects: DataFrame, matched: DataFrame, subject_col: str
 
 def sample_negatives(pool: DataFrame, n: Column | int, seed=42, subject_col: str = "subject_id") -> DataFrame:
     """Exactly n pool members (all if fewer), seeded, without replacement."""
-    from notewise.operators.sampling import exact_sample
     return exact_sample(pool, subject_col, n, seed=seed)
 
 
