@@ -106,14 +106,18 @@ def fit(prepared: DataFrame, recipe: dict, learner: str, n_features: int, cache_
         if es:
             rows = rows.where(F.col("split").isin("train", es)).withColumn("is_val", F.col("split") == es)
             val = "is_val"
-        model = mo.train_gbt(rows.cache(), weight=weight, validation_col=val, **recipe["gbt"])
+        train = rows.cache()
+        model = mo.train_gbt(train, weight=weight, validation_col=val, **recipe["gbt"])
+        train.unpersist()
     else:
         if recipe["weight"]:
             # No weightCol on the MLP: replicate positives round(neg/pos) times.
             pw = rows.agg(F.sum(1 - F.col("y")) / F.sum("y")).scalar()
             reps = F.when(F.col("y") == 1, F.greatest(F.lit(1), F.round(pw).cast("int"))).otherwise(1)
             rows = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps))).drop("_rep")
-        model = mo.train_mlp(rows.cache(), n_features, **recipe["mlp"])
+        train = rows.cache()
+        model = mo.train_mlp(train, n_features, **recipe["mlp"])
+        train.unpersist()
     if cache_key is not None:
         _MODEL_CACHE[cache_key] = model
     return model

@@ -307,3 +307,14 @@ def test_smote_neighbors_with_duplicate_points(spark):
         order = sorted((round(d[b], 9), b) for b in range(40) if b != a)[:3]
         for r, (_, j) in enumerate(order, 1):
             assert got[(a, r)] == j
+
+
+def test_metrics_sink_appends_by_generation(spark, tmp_path):
+    rows = [("v1", "gbt", "enc", "roc_auc", "all", 0.5), ("v2", "mlp", "enc", "roc_auc", "all", 0.6)]
+    m = spark.createDataFrame(rows, io.METRICS_SCHEMA)
+    path = str(tmp_path / "metrics")
+    io.write_metrics(m, path)
+    back = io.write_metrics(m.where("gen = 'v1'"), path)
+    assert back.count() == 3
+    assert sorted(r.gen for r in back.select("gen").distinct().collect()) == ["v1", "v2"]
+    assert "gen=v1" in " ".join(back.inputFiles())
