@@ -59,6 +59,16 @@ def q_write_notes(spark, sf):
     return io.write_table(d, name="notes")
 
 
+@query("scan_notes_csv", "SELECT doc_id AS subject_id, doc_id AS note_id, text FROM documents")
+def q_scan_notes_csv(spark, sf):
+    """Notes exported as multi-line quoted CSV, scanned back with a fixed
+    schema (no inference pass): the raw-export source."""
+    from notewise.session import scratch_path
+    path = scratch_path(spark, "notes-csv")
+    io.write_notes_csv(document_notes(spark, sf), path)
+    return io.scan_notes_csv(spark, path)
+
+
 @query("keyword_filter",
        "SELECT doc_id AS note_id, source FROM documents WHERE coalesce(regexp_matches(text, '(?i)licen|apache'), false)")
 def q_keyword_filter(spark, sf):

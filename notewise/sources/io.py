@@ -48,9 +48,23 @@ def scan_notes_csv(spark: SparkSession, path: str,
                       F.col("TEXT").alias("text"))
 
 
+def write_notes_csv(df: DataFrame, path: str) -> None:
+    """Write notes in the raw export's CSV shape (header, quoted fields that
+    may span lines, doubled quotes), readable by :func:`scan_notes_csv`."""
+    (df.select(F.col("note_id").alias("ROW_ID"), F.col("subject_id").alias("SUBJECT_ID"),
+               F.col("text").alias("TEXT"))
+       .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+       .option("quoteAll", True).csv(path))
+
+
 def land_notes(df: DataFrame, path: str) -> DataFrame:
-    """Write notes once as Parquet, clustered by subject, and read them back."""
-    (df.repartition("subject_id").sortWithinPartitions("subject_id", "note_id")
+    """Write notes once as Parquet, clustered by subject, and read them back.
+
+    Range partitioning on (subject_id, note_id) keeps each subject's notes
+    together and in order, and still splits a subject with very many notes
+    across several files (hash partitioning on the subject alone would send
+    a hot subject to one task)."""
+    (df.repartitionByRange("subject_id", "note_id").sortWithinPartitions("subject_id", "note_id")
        .write.mode("overwrite").parquet(path))
     return df.sparkSession.read.parquet(path)
 
