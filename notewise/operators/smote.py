@@ -85,11 +85,13 @@ def _local_topk(k: int, extra: int = 8, chunk: int = 512, tol: float = 1e-6):
                 unsafe = np.sqrt(np.maximum(g_out, 0.0)) <= kth + tol
             else:
                 unsafe = np.zeros(len(ids), bool)
-            for r in np.nonzero(~unsafe)[0]:
-                keep = np.isfinite(d_top[r])
-                out_i.append(np.full(int(keep.sum()), ids[r], np.int64))
-                out_j.append(j_top[r][keep])
-                out_d.append(d_top[r][keep])
+            safe = ~unsafe
+            ds, js = d_top[safe], j_top[safe]
+            ii = np.broadcast_to(ids[safe][:, None], ds.shape)
+            keep = np.isfinite(ds)
+            out_i.append(ii[keep])
+            out_j.append(js[keep])
+            out_d.append(ds[keep])
             if unsafe.any():
                 a, b, c_ = _exact_rows(qs[unsafe], ids[unsafe], cv, ci, k)
                 out_i += a
