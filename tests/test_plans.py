@@ -71,3 +71,23 @@ def test_results_do_not_depend_on_partition_count(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
+
+
+ROW_LEVEL = ["label_cohort", "case_control_cohort", "cohort_match_bounded", "split_three_way",
+             "undersample_majority", "pr_curve", "roc_auc", "best_threshold", "classification_report",
+             "leaderboard", "length_histogram", "word_weights", "describe_numeric", "smote_oversample"]
+
+
+@pytest.mark.parametrize("name", ROW_LEVEL)
+def test_single_partition_exchanges_only_over_small_tables(spark, name):
+    """Whatever funnels into one task must be a partial aggregate (one row per
+    task), a bucket-count table (at most strata x 65536 rows) or the
+    boundary-bucket units of an exact-k cut (about n / 65536)."""
+    lines = plan_of(REG[name].fn(spark, SF01)).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        child = lines[i + 1].strip().lstrip(":+- ").lstrip("*(0123456789) ")
+        ok = (child.startswith(("HashAggregate", "SortAggregate", "ObjectHashAggregate"))
+              or child.startswith(("Project [_u", "Window [sum(_c")))
+        assert ok, f"{name}: {child[:120]}"
