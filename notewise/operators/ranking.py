@@ -146,24 +146,34 @@ def quantile_edges(df: DataFrame, key: str, n_buckets: int, accuracy: int = 1000
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
                    n_buckets: int = 1024, prefix: str = "cum_",
-                   bounded_groups: bool = True, bucketing: str = "auto") -> DataFrame:
+                   bounded_groups: bool = True, bucketing: str = "auto",
+                   group_buckets: int = 256) -> DataFrame:
     """Inclusive running sums of ``value_cols`` ordered by ``order_col``.
 
     Rows that tie on the order key get the same total (range frame). The
-    key is cut into at most ``n_buckets`` buckets: at approximate quantiles
-    (``bucketing='quantile'``, the default without groups, so a concentrated
-    key still gives balanced buckets) or at equal widths per group
-    (``'width'``, the default with groups). Bucket sums get an exclusive
-    running sum that is broadcast back as offsets; a window inside each
-    bucket finishes the sum.
+    key is cut into at most ``n_buckets`` buckets per group, at approximate
+    quantiles (``bucketing='quantile'``, the default, so a key crowded into
+    a narrow range still gives balanced buckets) or at equal widths
+    (``'width'``). Bucket sums get an exclusive running sum that is
+    broadcast back as offsets; a window inside each bucket finishes the sum.
+    Without groups the edges are literals and ``Bucketizer`` assigns buckets
+    by binary search; with groups each group's edges are a checkpointed
+    array (groups x ``group_buckets`` values) and the bucket is the number of
+    edges not above the key.
     """
     from pyspark.ml.feature import Bucketizer
     keys = list(group_cols)
     key = F.col(order_col).cast("double")
-    mode = bucketing if bucketing != "auto" else ("width" if keys else "quantile")
-    if mode == "quantile":
-        if keys:
-            raise ValueError("quantile bucketing is for ungrouped totals")
+    mode = "quantile" if bucketing == "auto" else bucketing
+    if mode == "quantile" and keys:
+        nbg = min(n_buckets, group_buckets)
+        qs = [i / nbg for i in range(1, nbg)]
+        edges = materialize(df.groupBy(*keys).agg(
+            F.percentile_approx(key, qs, 10000).alias("_edges")))
+        d = df.join(_maybe_broadcast(edges, bounded_groups), keys)
+        b = F.size(F.filter("_edges", lambda e: e <= key)).cast("int")
+        d = d.withColumn("_bk", (F.lit(nbg - 1) - b) if descending else b).drop("_edges")
+    elif mode == "quantile":
         edges = quantile_edges(df, order_col, n_buckets)
         nb = len(edges) + 1
         splits = [float("-inf")] + edges + [float("inf")]

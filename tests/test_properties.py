@@ -318,3 +318,16 @@ def test_metrics_sink_appends_by_generation(spark, tmp_path):
     assert back.count() == 3
     assert sorted(r.gen for r in back.select("gen").distinct().collect()) == ["v1", "v2"]
     assert "gen=v1" in " ".join(back.inputFiles())
+
+
+def test_running_totals_grouped_quantile_buckets(spark):
+    rnd = random.Random(13)
+    keys = [rnd.random() * 1e-6 for _ in range(600)] + [rnd.random() for _ in range(60)]
+    rows = [(i % 3, k, 1) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "g int, k double, v long")
+    got = {(r.g, r.k): r.cum_v for r in running_totals(df, "k", ["v"], ["g"], descending=True,
+                                                       group_buckets=8).collect()}
+    for g in range(3):
+        ks = sorted((k for gg, k, _ in rows if gg == g), reverse=True)
+        for i, k in enumerate(ks):
+            assert got[(g, k)] == i + 1
