@@ -1,12 +1,13 @@
 """Case/control cohort construction.
 
-The whole build is one lazy plan over one note scan:
+The build reads the notes twice, however large they are:
 
-    notes -> per-subject match flag (one hash aggregate, partial per task)
-          -> matched subjects / negative pool
-          -> exact seeded sample of the pool (hash-rank cutoff, no global sort)
-          -> cohort subjects with label
-          -> notes of the cohort (join on subject_id)
+    pass 1: notes -> per-subject match flag (one hash aggregate, partial per
+            task), checkpointed: one row per subject
+            -> matched subjects / negative pool / cohort size
+            -> exact seeded sample of the pool (hash-rank cutoff, no global sort)
+            -> cohort subjects with label
+    pass 2: notes of the cohort (join on subject_id)
 
 Subject sets are DataFrames and never reach the driver. Joins on the subject
 key are left to the planner: a small cohort is broadcast by AQE at runtime,
@@ -48,7 +49,8 @@ def cohort_match_bounded(rows: DataFrame, predicate: Column, chunk_size: int, k:
 
     Chunk = ``floor(ord / chunk_size)`` over a stored order key. Each matched
     subject's first chunk is a per-subject min; the stop chunk is the k-th
-    smallest first chunk (found with the bucketed cutoff, not a global sort);
+    smallest first chunk (a bucketed running sum over per-chunk counts, not a
+    global sort);
     all subjects first seen at or before it are kept, so the result may
     exceed k, exactly like a chunk loop. If k is never reached all are kept.
     """
