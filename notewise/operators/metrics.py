@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import apply_threshold, f1_exact, f1_smoothed, safe_div
 from notewise.operators.ranking import running_totals
-from notewise.session import materialize
+from notewise.session import broadcast_if_small, materialize
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred",
                      group_cols: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +81,7 @@ def score_groups(scored: DataFrame, score: str = "score", y: str = "y",
 
 
 def pr_curve(scored: DataFrame, score: str = "score", y: str = "y",
-             group_cols: Sequence[str] = (), n_buckets: int = 1024,
-             bounded_groups: bool = True) -> DataFrame:
+             group_cols: Sequence[str] = (), n_buckets: int = 1024) -> DataFrame:
     """Precision and recall with threshold = each distinct score (``score >=
     threshold`` counts as positive), plus tp, fp, the counts at the score and
     the smoothed F1 ``2pr / (p + r + 1e-8)``. The end point (precision 1,
@@ -91,10 +90,10 @@ def pr_curve(scored: DataFrame, score: str = "score", y: str = "y",
     # totals): checkpoint them so the scoring behind them runs once.
     g = materialize(score_groups(scored, score, y, group_cols))
     k = running_totals(g, score, ["dp", "dn"], group_cols, descending=True,
-                       n_buckets=n_buckets, prefix="cum_", bounded_groups=bounded_groups)
+                       n_buckets=n_buckets, prefix="cum_")
     if group_cols:
         totals = g.groupBy(*group_cols).agg(F.sum("dp").alias("np"), F.sum("dn").alias("nn"))
-        k = k.join(F.broadcast(totals) if bounded_groups else totals, list(group_cols))
+        k = k.join(broadcast_if_small(totals), list(group_cols))
         np_, nn_ = F.col("np"), F.col("nn")
     else:
         t = g.agg(F.struct(F.sum("dp").alias("np"), F.sum("dn").alias("nn"))).scalar()
@@ -177,7 +176,7 @@ def evaluate(scored: DataFrame, threshold=None, score: str = "score", y: str = "
         tcol = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
         bt = scored.select(*group_cols).distinct().withColumn("_t", tcol)
     if group_cols:
-        labelled = scored.join(F.broadcast(bt), list(group_cols))
+        labelled = scored.join(broadcast_if_small(bt), list(group_cols))
     else:
         labelled = scored.withColumn("_t", bt.select("_t").scalar())
     labelled = labelled.withColumn("pred", apply_threshold(score, F.col("_t")))

@@ -25,16 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_unit
-from notewise.session import materialize
-
-
-def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
-    return F.broadcast(df) if bounded else df
+from notewise.session import broadcast_if_small, materialize
 
 
 def hash_rank_cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
-                      ks: Callable[[Column], list[Column]], seed=42, bits: int = 16,
-                      bounded_strata: bool = True) -> DataFrame:
+                      ks: Callable[[Column], list[Column]], seed=42, bits: int = 16) -> DataFrame:
     """Cutoffs for the k smallest ``(hash(seed:unit), unit)`` per stratum.
 
     ``units`` must hold each unit once per stratum. ``ks(n)`` maps the
@@ -69,7 +64,8 @@ def hash_rank_cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
         bound = bj if bound is None else bound.unionByName(bj)
 
     # Rank only the units of boundary buckets (about n / 2^bits per stratum).
-    edge = u.join(_maybe_broadcast(bound, bounded_strata), keys + ["_b"])
+    # strata x cutoffs rows: broadcast after a size check
+    edge = u.join(broadcast_if_small(bound), keys + ["_b"])
     w_edge = Window.partitionBy(*keys, "_j").orderBy("_h", "_u")
     edge = (edge.withColumn("_rn", F.row_number().over(w_edge))
                 .where(F.col("_rn") == F.col("_r")))
@@ -95,20 +91,19 @@ def tier_column(h: Column, unit: Column, n_cutoffs: int, get=F.col) -> Column:
 
 
 def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Sequence[str],
-                 n_cutoffs: int, seed=42, out_col: str = "tier",
-                 bounded_strata: bool = True) -> DataFrame:
+                 n_cutoffs: int, seed=42, out_col: str = "tier") -> DataFrame:
     """Attach the tier of each row's unit (rows may repeat a unit).
 
-    Per-stratum cutoffs (one row per stratum) are broadcast-joined on the
-    strata; without strata the single cutoff row is a scalar subquery, so
-    the rows are only filtered/projected, never joined.
+    Per-stratum cutoffs (one row per stratum) are joined on the strata,
+    broadcast after a size check; without strata the single cutoff row is a
+    scalar subquery, so the rows are only filtered/projected, never joined.
     """
     h = hash_unit(seed, F.col(unit_col))
     if not strata:
         fields = [c for c in cutoffs.columns if c.startswith("_")]
         s = cutoffs.select(F.struct(*fields).alias("s")).scalar()
         return rows.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs, lambda f: s[f]))
-    joined = rows.join(_maybe_broadcast(cutoffs, bounded_strata), list(strata), "left")
+    joined = rows.join(broadcast_if_small(cutoffs), list(strata), "left")
     joined = joined.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs))
     return joined.drop(*[x for x in cutoffs.columns if x.startswith("_")])
 
@@ -116,7 +111,7 @@ def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Seq
 def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
                ks: Callable[[Column], list[Column]], seed=42, out_col: str = "tier",
                bits: int = 16, units: DataFrame | None = None,
-               bounded_strata: bool = True, unique_units: bool = False) -> DataFrame:
+               unique_units: bool = False) -> DataFrame:
     """One-call form: cutoffs over ``units`` (default: distinct units of df),
     tiers attached to every row of ``df``.
 
@@ -129,9 +124,9 @@ def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
         if not unique_units:
             units = units.distinct()
     units = materialize(units)
-    cut = hash_rank_cutoffs(units, unit_col, strata, ks, seed, bits, bounded_strata)
+    cut = hash_rank_cutoffs(units, unit_col, strata, ks, seed, bits)
     n = len(ks(F.col("_n")))
-    return assign_tiers(df, cut, unit_col, strata, n, seed, out_col, bounded_strata)
+    return assign_tiers(df, cut, unit_col, strata, n, seed, out_col)
 
 
 def quantile_edges(df: DataFrame, key: str, n_buckets: int, accuracy: int = 10000) -> list[float]:
@@ -145,8 +140,7 @@ def quantile_edges(df: DataFrame, key: str, n_buckets: int, accuracy: int = 1000
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
-                   n_buckets: int = 1024, prefix: str = "cum_",
-                   bounded_groups: bool = True, bucketing: str = "auto",
+                   n_buckets: int = 1024, prefix: str = "cum_", bucketing: str = "auto",
                    group_buckets: int = 256) -> DataFrame:
     """Inclusive running sums of ``value_cols`` ordered by ``order_col``.
 
@@ -168,9 +162,8 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     if mode == "quantile" and keys:
         nbg = min(n_buckets, group_buckets)
         qs = [i / nbg for i in range(1, nbg)]
-        edges = materialize(df.groupBy(*keys).agg(
-            F.percentile_approx(key, qs, 10000).alias("_edges")))
-        d = df.join(_maybe_broadcast(edges, bounded_groups), keys)
+        edges = df.groupBy(*keys).agg(F.percentile_approx(key, qs, 10000).alias("_edges"))
+        d = df.join(broadcast_if_small(edges), keys)
         b = F.size(F.filter("_edges", lambda e: e <= key)).cast("int")
         d = d.withColumn("_bk", (F.lit(nbg - 1) - b) if descending else b).drop("_edges")
     elif mode == "quantile":
@@ -184,7 +177,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     else:
         if keys:
             stats = df.groupBy(*keys).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-            d = df.join(_maybe_broadcast(stats, bounded_groups), keys)
+            d = df.join(broadcast_if_small(stats), keys)
             lo, hi = F.col("_lo"), F.col("_hi")
         else:
             st = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
@@ -202,8 +195,9 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     w_off = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = bt.select(*keys, "_bk", *[F.coalesce(F.sum(f"_bs_{v}").over(w_off), F.lit(0))
                                     .alias(f"_off_{v}") for v in value_cols])
-    # Offsets: at most n_buckets rows per group (n_buckets rows in total without groups).
-    d = d.join(_maybe_broadcast(off, bounded_groups or not keys), keys + ["_bk"])
+    # Offsets: n_buckets rows in total without groups (hinted); per group,
+    # groups x buckets rows (broadcast after a size check).
+    d = d.join(broadcast_if_small(off) if keys else F.broadcast(off), keys + ["_bk"])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = (Window.partitionBy(*keys, "_bk").orderBy(order)
             .rangeBetween(Window.unboundedPreceding, Window.currentRow))

@@ -82,3 +82,19 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Checked broadcast for small tables whose size depends on the data
+    (one row per stratum, per group, per group x bucket).
+
+    The table is checkpointed (so it is computed once), its rows are
+    counted, and it is broadcast only under ``max_rows``; beyond that the
+    join is left to the planner (sort-merge join, AQE). Tables bounded by a
+    constant (a fixed number of buckets or bins) are hinted directly."""
+    from pyspark.sql import functions as F
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.functions.text import contains_any
-from notewise.session import scratch_path
+from notewise.session import broadcast_if_small, scratch_path
 
 
 def stream_cohort(spark: SparkSession, source_dir: str, schema: T.StructType, keywords: Iterable[str],
@@ -55,4 +55,4 @@ def cohort_so_far(spark: SparkSession, out_path: str) -> DataFrame:
     # One row per micro-batch: a small table, ordered in one task.
     w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     running = per_batch.withColumn("running_total", F.sum("new_subjects").over(w))
-    return df.join(F.broadcast(running), "batch")
+    return df.join(broadcast_if_small(running), "batch")

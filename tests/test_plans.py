@@ -91,3 +91,21 @@ def test_single_partition_exchanges_only_over_small_tables(spark, name):
         ok = (child.startswith(("HashAggregate", "SortAggregate", "ObjectHashAggregate"))
               or child.startswith(("Project [_u", "Window [sum(_c")))
         assert ok, f"{name}: {child[:120]}"
+
+
+def test_checked_broadcast_falls_back_to_a_shuffle_join(spark):
+    from pyspark.sql import functions as F
+
+    from notewise.session import broadcast_if_small
+    big = spark.range(50_000).select((F.col("id") % 1000).alias("k"), "id")
+    small = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hinted = big.join(broadcast_if_small(small, max_rows=10_000), "k")
+        plain = big.join(broadcast_if_small(small, max_rows=10), "k")
+        assert "BroadcastHashJoin" in plan_of(hinted)
+        assert "BroadcastHashJoin" not in plan_of(plain)
+        assert hinted.agg(F.sum("v")).first()[0] == plain.agg(F.sum("v")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
