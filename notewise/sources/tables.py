@@ -28,8 +28,12 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     so a hot subject cannot pile up in one task) to ``defaultParallelism``
     partitions. A large table already has one split per ~128 MB and is left
     as it is, so at scale this is a no-op. The check is planning only."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        return df
+    return df.repartition(target) if narrow else df
 
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
