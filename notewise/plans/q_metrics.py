@@ -176,14 +176,19 @@ WITH s AS (SELECT e.vec_id, d.learner, x.encoder, CAST(e.label = x.encoder AS IN
      a AS (SELECT learner, encoder, round(SUM((tp - dp / 2.0) * dn) / (MAX(np) * MAX(nn)), 6) AS roc_auc
            FROM k JOIN t USING (learner, encoder) GROUP BY ALL)
 SELECT CAST(encoder AS BIGINT) AS encoder, CAST(learner AS BIGINT) AS learner, roc_auc,
-       CAST(row_number() OVER (PARTITION BY encoder ORDER BY roc_auc DESC, learner) AS BIGINT) AS rank
+       CAST(row_number() OVER (PARTITION BY encoder ORDER BY roc_auc DESC, learner) AS BIGINT) AS rank,
+       CAST(row_number() OVER (ORDER BY roc_auc DESC, encoder, learner) AS BIGINT) AS overall_rank
 FROM a"""
 
 
 def leaderboard(results, metric: str = "roc_auc", by: str = "encoder", who: str = "learner"):
-    """Rank learners within each encoder by a rounded metric (then by name)."""
+    """Rank learners within each encoder, and all pairs overall, by a rounded
+    metric (ties by name). ``results`` has one row per (encoder, learner), so
+    the overall window runs over that small table."""
     w = Window.partitionBy(by).orderBy(F.col(metric).desc(), F.col(who))
-    return results.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    w_all = Window.orderBy(F.col(metric).desc(), F.col(by), F.col(who))
+    return (results.withColumn("rank", F.row_number().over(w).cast("bigint"))
+                   .withColumn("overall_rank", F.row_number().over(w_all).cast("bigint")))
 
 
 @query("leaderboard", LEADERBOARD_SQL)
@@ -200,7 +205,7 @@ def q_leaderboard(spark, sf):
     groups = ["learner", "encoder"]
     auc = me.roc_auc(me.pr_curve(rows, group_cols=groups), groups)
     auc = auc.withColumn("roc_auc", F.round("roc_auc", 6))
-    return leaderboard(auc).select("encoder", "learner", "roc_auc", "rank")
+    return leaderboard(auc).select("encoder", "learner", "roc_auc", "rank", "overall_rank")
 
 
 @query("write_metrics", f"""{COUNTS_SQL},
