@@ -25,11 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_unit
-from notewise.session import broadcast_if_small, materialize
+from notewise.session import BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 
 def hash_rank_cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
                       ks: Callable[[Column], list[Column]], seed=42, bits: int = 16) -> DataFrame:
+    return _cutoffs(units, unit_col, strata, ks, seed, bits)[0]
+
+
+def _cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
+             ks: Callable[[Column], list[Column]], seed=42, bits: int = 16) -> tuple[DataFrame, bool]:
     """Cutoffs for the k smallest ``(hash(seed:unit), unit)`` per stratum.
 
     ``units`` must hold each unit once per stratum. ``ks(n)`` maps the
@@ -64,17 +69,21 @@ def hash_rank_cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
         bound = bj if bound is None else bound.unionByName(bj)
 
     # Rank only the units of boundary buckets (about n / 2^bits per stratum).
-    # strata x cutoffs rows: broadcast after a size check
-    edge = u.join(broadcast_if_small(bound), keys + ["_b"])
+    # strata x cutoffs rows: broadcast after a size check. The per-stratum
+    # cutoff table is never larger, so the same check covers its join.
+    bound = materialize(bound)
+    small = bound.count() <= BROADCAST_MAX_ROWS
+    edge = u.join(F.broadcast(bound) if small else bound, keys + ["_b"])
     w_edge = Window.partitionBy(*keys, "_j").orderBy("_h", "_u")
     edge = (edge.withColumn("_rn", F.row_number().over(w_edge))
                 .where(F.col("_rn") == F.col("_r")))
     n = len(k_exprs)
-    return edge.groupBy(*keys).agg(
+    out = edge.groupBy(*keys).agg(
         F.max("_n").alias("_n"),
         *[F.max(F.when(F.col("_j") == j, F.col("_k"))).alias(f"_k{j}") for j in range(n)],
         *[F.max(F.when(F.col("_j") == j, F.col("_h"))).alias(f"_h{j}") for j in range(n)],
         *[F.max(F.when(F.col("_j") == j, F.col("_u"))).alias(f"_u{j}") for j in range(n)])
+    return out, small
 
 
 def tier_column(h: Column, unit: Column, n_cutoffs: int, get=F.col) -> Column:
@@ -91,7 +100,7 @@ def tier_column(h: Column, unit: Column, n_cutoffs: int, get=F.col) -> Column:
 
 
 def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Sequence[str],
-                 n_cutoffs: int, seed=42, out_col: str = "tier") -> DataFrame:
+                 n_cutoffs: int, seed=42, out_col: str = "tier", small: bool | None = None) -> DataFrame:
     """Attach the tier of each row's unit (rows may repeat a unit).
 
     Per-stratum cutoffs (one row per stratum) are joined on the strata,
@@ -103,7 +112,8 @@ def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Seq
         fields = [c for c in cutoffs.columns if c.startswith("_")]
         s = cutoffs.select(F.struct(*fields).alias("s")).scalar()
         return rows.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs, lambda f: s[f]))
-    joined = rows.join(broadcast_if_small(cutoffs), list(strata), "left")
+    side = broadcast_if_small(cutoffs) if small is None else (F.broadcast(cutoffs) if small else cutoffs)
+    joined = rows.join(side, list(strata), "left")
     joined = joined.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs))
     return joined.drop(*[x for x in cutoffs.columns if x.startswith("_")])
 
@@ -124,9 +134,9 @@ def rank_tiers(df: DataFrame, unit_col: str, strata: Sequence[str],
         if not unique_units:
             units = units.distinct()
     units = materialize(units)
-    cut = hash_rank_cutoffs(units, unit_col, strata, ks, seed, bits)
+    cut, small = _cutoffs(units, unit_col, strata, ks, seed, bits)
     n = len(ks(F.col("_n")))
-    return assign_tiers(df, cut, unit_col, strata, n, seed, out_col)
+    return assign_tiers(df, cut, unit_col, strata, n, seed, out_col, small)
 
 
 def quantile_edges(df: DataFrame, key: str, n_buckets: int, accuracy: int = 10000) -> list[float]:
@@ -159,11 +169,14 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     keys = list(group_cols)
     key = F.col(order_col).cast("double")
     mode = "quantile" if bucketing == "auto" else bucketing
+    small = True  # ungrouped: the offsets table has at most n_buckets rows
     if mode == "quantile" and keys:
         nbg = min(n_buckets, group_buckets)
         qs = [i / nbg for i in range(1, nbg)]
-        edges = df.groupBy(*keys).agg(F.percentile_approx(key, qs, 10000).alias("_edges"))
-        d = df.join(broadcast_if_small(edges), keys)
+        edges = materialize(df.groupBy(*keys).agg(F.percentile_approx(key, qs, 10000).alias("_edges")))
+        # One row per group; the offsets table has at most groups x buckets.
+        small = edges.count() * nbg <= BROADCAST_MAX_ROWS
+        d = df.join(F.broadcast(edges) if small else edges, keys)
         b = F.size(F.filter("_edges", lambda e: e <= key)).cast("int")
         d = d.withColumn("_bk", (F.lit(nbg - 1) - b) if descending else b).drop("_edges")
     elif mode == "quantile":
@@ -176,8 +189,9 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
         d = d.withColumn("_bk", (F.lit(nb - 1) - b) if descending else b).drop("_key", "_bkd")
     else:
         if keys:
-            stats = df.groupBy(*keys).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-            d = df.join(broadcast_if_small(stats), keys)
+            stats = materialize(df.groupBy(*keys).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
+            small = stats.count() * n_buckets <= BROADCAST_MAX_ROWS
+            d = df.join(F.broadcast(stats) if small else stats, keys)
             lo, hi = F.col("_lo"), F.col("_hi")
         else:
             st = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
@@ -197,7 +211,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                                     .alias(f"_off_{v}") for v in value_cols])
     # Offsets: n_buckets rows in total without groups (hinted); per group,
     # groups x buckets rows (broadcast after a size check).
-    d = d.join(broadcast_if_small(off) if keys else F.broadcast(off), keys + ["_bk"])
+    d = d.join(F.broadcast(off) if (small or not keys) else off, keys + ["_bk"])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = (Window.partitionBy(*keys, "_bk").orderBy(order)
             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
