@@ -3,13 +3,72 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from notewise.llm import packing
+from notewise.llm import chat, packing, url_filter
 from notewise.llm.catalog import query
 from notewise.llm.staging import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The rules of the URL query (fixed values): host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+OP3_SQL = """
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES %s),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, row_number() OVER () AS n, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT n, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY n ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC) AS k
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+""" % ", ".join(str(r) for r in URL_RULES)
+
+#: The conversation that the chat query adds (fixed values).
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+escaped AS (
+  SELECT *, length(replace(regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|/?SYS>)', '\1\\\2', 'g'), '|>', '|\>'))
+     + length(replace(regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|/?SYS>)', '\1\\\2', 'g'), '|>', '|\>')) AS n
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(n + length('<|turn|>') + length('<|text|>') + length('<|end|>'))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@query("op3_url_filters", OP3_SQL)
+def op3_url_filters(spark, sf_dir):
+    """Every page's URL judged by the rules."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+@query("op7_chat_formatting", OP7_SQL)
+def op7_chat_formatting(spark, sf_dir):
+    """All conversations formatted and read back, and one whose texts hold control strings."""
+    turns = chat.turns_of_table(chat.rows_to_records(read_table(spark, sf_dir, "conversations")), "conv_id")
+    said = [F.struct(F.lit(r).alias("role"), F.lit(CONTROL_TEXT).alias("content")) for r in ("user", "assistant")]
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.array(*said).alias("messages"))
+    back = chat.read_back(chat.format_turns(turns.unionByName(chat.turns_of_table(extra, "conv_id"))))
+    said_by_all = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by_all, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       "formatted_chars")
+
 
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
