@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from notewise.llm import chat, packing, url_filter
+from notewise.llm import chat, fingerprints, packing, token_counts, url_filter
 from notewise.llm.catalog import query
 from notewise.llm.staging import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The rules of the URL query (fixed values): host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -57,6 +58,18 @@ def op3_url_filters(spark, sf_dir):
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+@query("op5_document_fingerprints")
+def op5_document_fingerprints(spark, sf_dir):
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    return fingerprints.edit_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    """Words and greedy word pieces of every document."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), PIECES)
+
+
 @query("op7_chat_formatting", OP7_SQL)
 def op7_chat_formatting(spark, sf_dir):
     """All conversations formatted and read back, and one whose texts hold control strings."""
