@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from notewise.llm import chat, fingerprints, packing, token_counts, url_filter
+from notewise.llm import chat, fingerprints, packing, token_counts, toxicity, url_filter
 from notewise.llm.catalog import query
 from notewise.llm.staging import read_table
 
@@ -51,6 +51,12 @@ FROM escaped GROUP BY conv_id
 """
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Every document's toxicity score, learnt from the labels that are not held out."""
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op3_url_filters", OP3_SQL)
 def op3_url_filters(spark, sf_dir):
     """Every page's URL judged by the rules."""
