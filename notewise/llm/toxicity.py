@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from notewise.llm import textbuf
 from notewise.llm.staging import free_name, id_and_text, staged
 
-SIZES = (3, 4, 5)
+SIZES = (4, 6, 7)
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 
@@ -140,7 +140,7 @@ def class_counts(sample: DataFrame) -> DataFrame:
             .agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 1 << 16, min_z: float = 4.0,
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 1 << 16, min_z: float = 3.0,
         folds: int = 5, l2: float = 1e-5, rounds: int = 200) -> Model:
     """Fit on (doc_id, text) and (doc_id, y); see the module's text."""
     sample, sizes = labelled_sample(docs, labels, max_rows, folds)
