@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 from notewise.session import scratch_path
 
 
+#: Rows that Spark hands to a Python worker at a time. Spark's default (10,000) holds
+#: tens of MB of long texts in the JVM and as much again in each worker.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
+    if int(spark.conf.get(_BATCH_KEY, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

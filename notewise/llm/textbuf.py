@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -33,7 +33,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^0.. and P^-0.., at least n of each; sizes are rounded up so that few are kept."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     return _powers(size)
 
 
