@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from notewise.llm import chat, fingerprints, packing, quality, token_counts, toxicity, url_filter
+from notewise.llm import chat, fingerprints, near_text, packing, quality, token_counts, toxicity, url_filter
 from notewise.llm.catalog import query
 from notewise.llm.staging import read_table
 
@@ -100,3 +100,9 @@ def op10_quality_classifier(spark, sf_dir):
     """Every document's perplexity under a model of the trusted (quality 1) documents, and its verdict."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.classify(read_table(spark, sf_dir, "documents"), trusted)
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark, sf_dir):
+    """Every document's near-duplicate component."""
+    return near_text.near_duplicates(read_table(spark, sf_dir, "documents"))
