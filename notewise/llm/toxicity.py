@@ -140,7 +140,7 @@ def class_counts(sample: DataFrame) -> DataFrame:
             .agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 1 << 16, min_z: float = 3.0,
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 1 << 13, min_z: float = 3.0,
         folds: int = 5, l2: float = 1e-5, rounds: int = 200) -> Model:
     """Fit on (doc_id, text) and (doc_id, y); see the module's text."""
     sample, sizes = labelled_sample(docs, labels, max_rows, folds)
@@ -182,11 +182,11 @@ def _regression(model: Model, sample: DataFrame, weight: dict, l2: float, rounds
     lists = rows.column(1).combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
     size = np.diff(lists.offsets.to_numpy())
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(y)), size)
-    value = model.ratio[feature]
+    feature = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    value = model.ratio[feature].astype(np.float32)
     norm = np.sqrt(np.bincount(row, value * value, len(y)))
-    value = value / norm[row]
+    value /= norm[row].astype(np.float32)
     share = np.where(y == 1, weight[1], weight[0])
     share /= share.sum()
     k = len(buckets)
