@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from notewise.llm import chat, fingerprints, near_text, packing, quality, token_counts, toxicity, url_filter
+from notewise.llm import chat, fingerprints, near_text, near_vectors, packing, quality, token_counts, toxicity, url_filter
 from notewise.llm.catalog import query
 from notewise.llm.staging import read_table
 
@@ -64,6 +64,12 @@ def op3_url_filters(spark, sf_dir):
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+@query("op4_embedding_near_dedup")
+def op4_embedding_near_dedup(spark, sf_dir):
+    """Every vector's links (cosine 0.98 or more, equal label) and component."""
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_document_fingerprints")
 def op5_document_fingerprints(spark, sf_dir):
     """Every document's fingerprint, that of its edited text, and their likeness."""

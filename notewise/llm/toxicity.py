@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewise.llm import textbuf
 from notewise.llm.staging import free_name, id_and_text, staged
@@ -213,7 +214,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
             got = shared.value.scores(b.column(at), table)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, name])
 
-    from pyspark.sql import types as T
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
@@ -225,3 +225,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = score(rows, fit(rows, known, max_rows, folds=folds))
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     label_col: str = "toxic", folds: int = 5, max_rows: int = 16_000) -> DataFrame:
+    """The rows of ``docs`` with a score below 0.5, with their own columns."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    name = free_name(docs.columns, "score")
+    scored = score(docs, fit(id_and_text(docs, id_col, text_col), known, max_rows, folds=folds), text_col, name)
+    return scored.where(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
