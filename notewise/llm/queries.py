@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from notewise.llm import chat, fingerprints, near_text, near_vectors, packing, quality, token_counts, toxicity, url_filter
+from notewise.llm import chat, fingerprints, near_text, near_vectors, packing, quality, sentencepieces, token_counts, toxicity, url_filter
 from notewise.llm.catalog import query
 from notewise.llm.staging import read_table
 
@@ -57,6 +57,14 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark, sf_dir):
+    """Every document's piece ids, and the digest of the text that they decode to."""
+    encoded = sentencepieces.encode(read_table(spark, sf_dir, "documents"), PIECES)
+    return sentencepieces.decode(encoded, PIECES).select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
+
+
 @query("op3_url_filters", OP3_SQL)
 def op3_url_filters(spark, sf_dir):
     """Every page's URL judged by the rules."""
