@@ -40,6 +40,10 @@ HEADLINE = [
     "smote_neighbors",
     "smote_oversample",
     "stream_cohort",
+    "embed_text",            # one encoder
+    "train_gbt",             # one fit (100 rounds) ...
+    "attribution_summary",   # ... whose model these two share
+    "permutation_importance",
 ]
 
 

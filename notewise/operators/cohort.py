@@ -47,16 +47,23 @@ def cohort_match_bounded(rows: DataFrame, predicate: Column, chunk_size: int, k:
     """COH-2: a scan in fixed-size chunks that stops after the chunk in which
     the number of distinct matched subjects reaches ``k``.
 
-    Chunk = ``floor(ord / chunk_size)`` over a stored order key. Each matched
+    Chunk = ``floor(position / chunk_size)``, where the position of a row (from
+    0, over all rows, matched or not) is the number of rows with a smaller
+    order key: keys may have gaps, rows with equal keys share the first one's
+    place, rows with a null key are left out. Positions come from a bucketed
+    running sum over the counts per key, not from a global sort. Each matched
     subject's first chunk is a per-subject min; the stop chunk is the k-th
-    smallest first chunk (a bucketed running sum over per-chunk counts, not a
-    global sort);
-    all subjects first seen at or before it are kept, so the result may
-    exceed k, exactly like a chunk loop. If k is never reached all are kept.
+    smallest first chunk; all subjects first seen at or before it are kept, so
+    the result may exceed k, exactly like a chunk loop. If k is never reached
+    all are kept.
     """
-    first = (rows.where(predicate)
-                 .groupBy(subject_col)
-                 .agg(F.min(F.floor(F.col(order_col) / F.lit(chunk_size))).cast("bigint").alias("first_chunk")))
+    numbered = rows.where(F.col(order_col).isNotNull())
+    keyed = materialize(numbered.groupBy(F.col(order_col).alias("_ord")).agg(F.count(F.lit(1)).alias("_n")))
+    placed = running_totals(keyed, "_ord", ["_n"], prefix="_upto")
+    chunk = F.floor((F.col("_upto_n") - F.col("_n")) / F.lit(chunk_size)).cast("bigint")
+    hits = numbered.where(predicate).select(F.col(order_col).alias("_ord"), subject_col)
+    first = (hits.join(placed.select("_ord", chunk.alias("_chunk")), "_ord")
+                 .groupBy(subject_col).agg(F.min("_chunk").alias("first_chunk")))
     # One row per matched subject, read by two steps: scan the events once.
     first = materialize(first)
     # The k-th smallest first chunk is the chunk in which the count reaches k.

@@ -7,7 +7,7 @@ Encoders turn cleaned text into one fixed-length vector per note:
 
 * ``hashed_tfidf``: ``HashingTF`` -> ``IDF`` -> L2 ``Normalizer`` (Spark ML;
   the IDF fit is one distributed aggregation).
-* ``word2vec``: Spark ML ``Word2Vec`` document vectors (mean of word vectors).
+* ``hashed_vectors``: mean of per-word hashed sign vectors; no vocabulary.
 * :class:`ExternalEncoder`: any batch encoder (e.g. a transformer checkpoint)
   run by ``mapInPandas`` over Arrow batches; the model is built once per
   Python worker on first use, never per batch.
@@ -20,8 +20,9 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +49,28 @@ def align_embeddings(vectors: DataFrame, labels: DataFrame, key: str = "note_id"
 def fuse_features(df: DataFrame, vec_col: str = "embedding",
                   extra_cols: Sequence[str] = ("age", "gender"), out_col: str = "features") -> DataFrame:
     """Append structured columns to the vector when *all* are present;
-    otherwise the vector alone (checked on the schema, no job)."""
+    otherwise the vector alone (checked on the schema, no job). A string
+    column is encoded by :data:`CATEGORIES`, unknown and null as -1; a null
+    number is 0."""
     v = F.col(vec_col).cast("array<double>")
     if extra_cols and all(c in df.columns for c in extra_cols):
-        v = F.concat(v, F.array(*[F.col(c).cast("double") for c in extra_cols]))
+        v = F.concat(v, F.array(*[_numeric(df, c) for c in extra_cols]))
     return df.withColumn(out_col, v)
 
 
+#: Codes of a structured column's category names (lower case).
+CATEGORIES = {"f": 0.0, "female": 0.0, "m": 1.0, "male": 1.0}
+
+
+def _numeric(df: DataFrame, name: str) -> Column:
+    if df.schema[name].dataType.simpleString() != "string":
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    code = F.try_to_number(F.col(name), F.lit("999999999.99")).cast("double")
+    for word, value in CATEGORIES.items():
+        code = F.when(F.lower(F.trim(F.col(name))) == word, value).otherwise(code)
+    return F.coalesce(code, F.lit(-1.0))
+
+
 def tokens_of(df: DataFrame, text_col: str = "text", cleaned: bool = False,
               max_tokens: int | None = None) -> DataFrame:
     txt = F.col(text_col) if cleaned else clean_text(text_col)
@@ -63,8 +79,8 @@ def tokens_of(df: DataFrame, text_col: str = "text", cleaned: bool = False,
 
 def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str = "note_id",
                  cleaned: bool = False, max_tokens: int | None = None) -> DataFrame:
-    """Hashed bag of words, IDF-weighted, L2-normalised, as array<float>."""
-    t = tokens_of(df.select(key, text_col), text_col, cleaned, max_tokens)
+    """Hashed bag of words, IDF-weighted, L2-normalised, as array<float>. Null texts are dropped."""
+    t = tokens_of(df.where(F.col(text_col).isNotNull()).select(key, text_col), text_col, cleaned, max_tokens)
     pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dim),
                             IDF(inputCol="tf", outputCol="tfidf"),
                             Normalizer(inputCol="tfidf", outputCol="vec", p=2.0)])
@@ -73,22 +89,24 @@ def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str
                       vector_to_array("vec", "float32").alias("embedding"))
 
 
-def word2vec(df: DataFrame, dim: int = 64, text_col: str = "text", key: str = "note_id",
-             cleaned: bool = False, min_count: int = 2, max_iter: int = 1, seed: int = 42,
-             num_partitions: int | None = None) -> DataFrame:
-    """Word2Vec document vectors (mean of the note's word vectors).
-
-    Training runs on ``num_partitions`` tasks (default: the cluster's
-    parallelism) whose updates are averaged each iteration; the vocabulary
-    (words seen ``min_count`` times) is what reaches the driver."""
-    if num_partitions is None:
-        num_partitions = df.sparkSession.sparkContext.defaultParallelism
-    t = tokens_of(df.select(key, text_col), text_col, cleaned)
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="tokens", outputCol="vec",
-                   maxIter=max_iter, seed=seed, numPartitions=num_partitions)
-    out = w2v.fit(t).transform(t)
-    return out.select(key, F.lit("word2vec").alias("encoder"),
-                      vector_to_array("vec", "float32").alias("embedding"))
+def hashed_vectors(df: DataFrame, dim: int = 64, text_col: str = "text", key: str = "note_id",
+                   cleaned: bool = False, seed: int = 42) -> DataFrame:
+    """Mean of the note's word vectors, where a word's vector is ``dim`` signs drawn from
+    its hash, scaled to unit length: a dense encoder of every word without a vocabulary,
+    so nothing is collected or broadcast. Null texts are dropped; a note without words is 0."""
+    t = tokens_of(df.where(F.col(text_col).isNotNull()).select(key, text_col), text_col, cleaned)
+    word = F.explode("tokens").alias("word")
+    signs = F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(min(64, dim - a) - 1)), lambda i, a=a: F.when(
+        F.getbit(F.xxhash64(F.lit(seed + a), "word"), i) == 1, 1.0).otherwise(-1.0))
+        for a in range(0, dim, 64)])
+    # a word's signs are computed once per (note, word), then summed per note and dimension by Summarizer
+    words = t.select(key, word).groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    vecs = words.select(key, array_to_vector(signs).alias("v"), "n").groupBy(key).agg(
+        Summarizer.mean(F.col("v"), F.col("n")).alias("m"))
+    mean = F.transform(vector_to_array("m"), lambda x: (x / F.lit(float(dim) ** 0.5)).cast("float"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    out = t.select(key).join(vecs.select(key, mean.alias("embedding")), key, "left")
+    return out.select(key, F.lit("hashed_vectors").alias("encoder"), F.coalesce("embedding", zero).alias("embedding"))
 
 
 _WORKER_MODELS: dict = {}
@@ -113,14 +131,14 @@ class ExternalEncoder:
             if model is None:
                 model = _WORKER_MODELS[name] = factory()
             for pdf in batches:
-                texts = pdf[text_col].fillna("").astype(str).tolist()
+                texts = pdf[text_col].astype(str).tolist()
                 parts = [np.asarray(model(texts[i:i + bs]), dtype=np.float32).reshape(-1, dim)
                          for i in range(0, len(texts), bs)]
                 mat = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
                 yield pd.DataFrame({key: pdf[key].to_numpy(), "encoder": name,
                                     "embedding": list(mat)})
         schema = f"{key} long, encoder string, embedding array<float>"
-        return df.select(key, text_col).mapInPandas(run, schema)
+        return df.where(F.col(text_col).isNotNull()).select(key, text_col).mapInPandas(run, schema)
 
 
 def embed_all(df: DataFrame, encoders: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

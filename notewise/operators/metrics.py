@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewise.functions.numeric import apply_threshold, f1_exact, f1_smoothed, safe_div
-from notewise.operators.ranking import running_totals
-from notewise.session import broadcast_if_small, materialize
+from notewise.operators.ranking import null_safe_join, running_totals
+from notewise.session import BROADCAST_MAX_ROWS, materialize
+
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred",
                      group_cols: Sequence[str] = ()) -> DataFrame:
@@ -81,19 +82,25 @@ def score_groups(scored: DataFrame, score: str = "score", y: str = "y",
 
 
 def pr_curve(scored: DataFrame, score: str = "score", y: str = "y",
-             group_cols: Sequence[str] = (), n_buckets: int = 1024) -> DataFrame:
+             group_cols: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
     """Precision and recall with threshold = each distinct score (``score >=
     threshold`` counts as positive), plus tp, fp, the counts at the score and
     the smoothed F1 ``2pr / (p + r + 1e-8)``. The end point (precision 1,
     recall 0) has no threshold and is not a row."""
     # Distinct scores are read by four steps (range, bucket sums, windows,
     # totals): checkpoint them so the scoring behind them runs once.
-    g = materialize(score_groups(scored, score, y, group_cols))
+    return curve_of_groups(materialize(score_groups(scored, score, y, group_cols)), score, group_cols, n_buckets)
+
+
+def curve_of_groups(g: DataFrame, score: str = "score", group_cols: Sequence[str] = (),
+                    n_buckets: int | None = None) -> DataFrame:
+    """:func:`pr_curve` from its distinct scores (group columns, score, dp, dn), a written table."""
     k = running_totals(g, score, ["dp", "dn"], group_cols, descending=True,
                        n_buckets=n_buckets, prefix="cum_")
     if group_cols:
         totals = g.groupBy(*group_cols).agg(F.sum("dp").alias("np"), F.sum("dn").alias("nn"))
-        k = k.join(broadcast_if_small(totals), list(group_cols))
+        totals = materialize(totals)
+        k = null_safe_join(k, totals, list(group_cols), small=totals.count() <= BROADCAST_MAX_ROWS)
         np_, nn_ = F.col("np"), F.col("nn")
     else:
         t = g.agg(F.struct(F.sum("dp").alias("np"), F.sum("dn").alias("nn"))).scalar()
@@ -133,6 +140,17 @@ def best_threshold(curve: DataFrame, group_cols: Sequence[str] = ()) -> DataFram
                       F.col("b.precision").alias("precision"), F.col("b.recall").alias("recall"))
 
 
+def counts_at_best(curve: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts of ``score > threshold`` at the best threshold, from its own row of the
+    curve: the rows at the threshold itself (dp, dn) are not above it. The scores aren't read again."""
+    best = F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("neg_t"), F.col("tp"), F.col("fp"),
+                          F.col("dp"), F.col("dn"), F.col("np"), F.col("nn")))
+    b = curve.groupBy(*group_cols).agg(best.alias("b")).select(*group_cols, "b.*")
+    tp, fp = F.col("tp") - F.col("dp"), F.col("fp") - F.col("dn")
+    return b.select(*group_cols, (F.col("nn") - fp).cast("bigint").alias("tn"), fp.cast("bigint").alias("fp"),
+                    (F.col("np") - tp).cast("bigint").alias("fn"), tp.cast("bigint").alias("tp"))
+
+
 def classify(scored: DataFrame, threshold, score: str = "score", inclusive: bool = False,
              out_col: str = "pred") -> DataFrame:
     """Hard labels ``score > threshold``; ``threshold`` may be a number, a
@@ -176,7 +194,8 @@ def evaluate(scored: DataFrame, threshold=None, score: str = "score", y: str = "
         tcol = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
         bt = scored.select(*group_cols).distinct().withColumn("_t", tcol)
     if group_cols:
-        labelled = scored.join(broadcast_if_small(bt), list(group_cols))
+        bt = materialize(bt)
+        labelled = null_safe_join(scored, bt, list(group_cols), small=bt.count() <= BROADCAST_MAX_ROWS)
     else:
         labelled = scored.withColumn("_t", bt.select("_t").scalar())
     labelled = labelled.withColumn("pred", apply_threshold(score, F.col("_t")))

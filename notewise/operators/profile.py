@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewise.functions.text import clean_text
+from notewise.operators.ranking import running_totals
 from notewise.session import materialize
 
 
@@ -37,21 +38,30 @@ def notes_per_subject(df: DataFrame, subject_col: str = "subject_id") -> DataFra
 def describe_numeric(df: DataFrame, col: str, approx_accuracy: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max.
 
-    The exact ``percentile`` keeps a value -> count map, so its memory grows
-    with the number of *distinct* values, which is small for lengths and
-    counts. For continuous values pass ``approx_accuracy`` (bounded sketch).
+    Everything comes from one table of value counts, written once. A quartile
+    lies between the two values whose running counts pass its rank, found with
+    bucketed running totals, so no task holds all distinct values.
+    ``approx_accuracy`` takes the quartiles from a bounded sketch instead.
     """
-    x = F.col(col).cast("double")
-    if approx_accuracy is None:
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    values = materialize(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x"))
+                         .agg(F.count(F.lit(1)).alias("n")))
+    x, n = F.col("x"), F.col("n")
+    mean = F.sum(x * n) / F.sum(n)
+    base = values.agg(F.struct(F.coalesce(F.sum(n), F.lit(0)).alias("n"), mean.alias("mean"))).scalar()
+    moments = values.agg(base["n"].alias("count"), base["mean"].alias("mean"),
+                         F.sqrt(F.try_divide(F.sum(n * (x - base["mean"]) * (x - base["mean"])), base["n"] - 1)).alias("std"),
+                         F.min(x).alias("min"), F.max(x).alias("max"))
+    if approx_accuracy is not None:
+        q = df.agg(F.percentile_approx(F.col(col).cast("double"), [0.25, 0.5, 0.75], approx_accuracy).alias("q"))
+        quartiles = [q.select(F.col("q")[i]).scalar() for i in range(3)]
     else:
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], approx_accuracy)
-    out = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                 F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                 q.alias("_q"), F.max(x).alias("max"))
-    return out.select("count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max")
+        placed = running_totals(values, "x", ["n"], prefix="upto_")
+        ranks = [(base["n"] - 1) * p for p in (0.25, 0.5, 0.75)]
+        ends = placed.agg(F.struct(*[F.min(F.when(F.col("upto_n") > at, x)).alias(f"{side}{i}")
+                                     for i, r in enumerate(ranks) for side, at in (("a", F.floor(r)), ("b", F.ceil(r)))])).scalar()
+        quartiles = [ends[f"a{i}"] + (r - F.floor(r)) * (ends[f"b{i}"] - ends[f"a{i}"]) for i, r in enumerate(ranks)]
+    return moments.select("count", "mean", "std", "min", quartiles[0].alias("p25"), quartiles[1].alias("p50"),
+                          quartiles[2].alias("p75"), "max")
 
 
 def count_positive(df: DataFrame, y_col: str = "y") -> DataFrame:
@@ -122,13 +132,13 @@ def word_weights(counts: DataFrame, max_words: int = 200) -> DataFrame:
 
 def length_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin closed, as
-    numpy draws it. For integer values the bin index is exact integer
-    arithmetic. Empty bins are listed with count 0."""
+    numpy draws it, of integers or fractions. Empty bins are listed with
+    count 0."""
     spark = df.sparkSession
     # One pass over the input: counts per distinct value (a small table for
     # lengths and counts), checkpointed; range and bins come from it.
     per_value = materialize(df.where(F.col(col).isNotNull())
-                              .groupBy(F.col(col).cast("bigint").alias("x"))
+                              .groupBy(F.col(col).cast("double").alias("x"))
                               .agg(F.count(F.lit(1)).alias("n")))
     x = F.col("x")
     rng = per_value.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()

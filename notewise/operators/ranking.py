@@ -25,7 +25,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_unit
-from notewise.session import BROADCAST_MAX_ROWS, broadcast_if_small, materialize
+from notewise.session import BROADCAST_MAX_ROWS, materialize
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Join on ``keys`` where null meets null, so a null group or class is a group like any other."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    out = left.join(F.broadcast(r) if small else r, on, how)
+    return out.drop(*[f"_r_{k}" for k in keys])
+
+
+#: Rows that one window task should hold; bucket counts follow from it.
+BUCKET_ROWS = 50_000
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets for ``rows`` rows; more of them only mean more, smaller tasks."""
+    return min(100_000, max(16, -(-rows // BUCKET_ROWS)))
 
 
 def hash_rank_cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
@@ -73,7 +91,7 @@ def _cutoffs(units: DataFrame, unit_col: str, strata: Sequence[str],
     # cutoff table is never larger, so the same check covers its join.
     bound = materialize(bound)
     small = bound.count() <= BROADCAST_MAX_ROWS
-    edge = u.join(F.broadcast(bound) if small else bound, keys + ["_b"])
+    edge = null_safe_join(u, bound, keys + ["_b"], small=small)
     w_edge = Window.partitionBy(*keys, "_j").orderBy("_h", "_u")
     edge = (edge.withColumn("_rn", F.row_number().over(w_edge))
                 .where(F.col("_rn") == F.col("_r")))
@@ -112,8 +130,10 @@ def assign_tiers(rows: DataFrame, cutoffs: DataFrame, unit_col: str, strata: Seq
         fields = [c for c in cutoffs.columns if c.startswith("_")]
         s = cutoffs.select(F.struct(*fields).alias("s")).scalar()
         return rows.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs, lambda f: s[f]))
-    side = broadcast_if_small(cutoffs) if small is None else (F.broadcast(cutoffs) if small else cutoffs)
-    joined = rows.join(side, list(strata), "left")
+    if small is None:
+        cutoffs = materialize(cutoffs)
+        small = cutoffs.count() <= BROADCAST_MAX_ROWS
+    joined = null_safe_join(rows, cutoffs, list(strata), "left", small)
     joined = joined.withColumn(out_col, tier_column(h, F.col(unit_col), n_cutoffs))
     return joined.drop(*[x for x in cutoffs.columns if x.startswith("_")])
 
@@ -150,8 +170,7 @@ def quantile_edges(df: DataFrame, key: str, n_buckets: int, accuracy: int = 1000
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    group_cols: Sequence[str] = (), descending: bool = False,
-                   n_buckets: int = 1024, prefix: str = "cum_", bucketing: str = "auto",
-                   group_buckets: int = 256) -> DataFrame:
+                   n_buckets: int | None = None, prefix: str = "cum_", bucketing: str = "auto") -> DataFrame:
     """Inclusive running sums of ``value_cols`` ordered by ``order_col``.
 
     Rows that tie on the order key get the same total (range frame). The
@@ -162,25 +181,31 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     broadcast back as offsets; a window inside each bucket finishes the sum.
     Without groups the edges are literals and ``Bucketizer`` assigns buckets
     by binary search; with groups each group's edges are a checkpointed
-    array (groups x ``group_buckets`` values) and the bucket is the number of
-    edges not above the key.
+    array (groups x buckets values) and the bucket is the number of
+    edges not above the key. Without ``n_buckets`` there is one per
+    ``BUCKET_ROWS`` rows (of the largest group); ``df`` is then counted, so
+    pass a written table. Rows with a null key are left out.
     """
     from pyspark.ml.feature import Bucketizer
     keys = list(group_cols)
     key = F.col(order_col).cast("double")
+    df = df.where(F.col(order_col).isNotNull())
+    if n_buckets is None:
+        largest = (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) if keys else df.count()
+        n_buckets = bucket_count(largest)
     mode = "quantile" if bucketing == "auto" else bucketing
     small = True  # ungrouped: the offsets table has at most n_buckets rows
     if mode == "quantile" and keys:
-        nbg = min(n_buckets, group_buckets)
+        nbg = n_buckets
         qs = [i / nbg for i in range(1, nbg)]
-        edges = materialize(df.groupBy(*keys).agg(F.percentile_approx(key, qs, 10000).alias("_edges")))
+        edges = materialize(df.groupBy(*keys).agg(F.percentile_approx(key, qs, max(10000, 10 * nbg)).alias("_edges")))
         # One row per group; the offsets table has at most groups x buckets.
         small = edges.count() * nbg <= BROADCAST_MAX_ROWS
-        d = df.join(F.broadcast(edges) if small else edges, keys)
+        d = null_safe_join(df, edges, keys, small=small)
         b = F.size(F.filter("_edges", lambda e: e <= key)).cast("int")
         d = d.withColumn("_bk", (F.lit(nbg - 1) - b) if descending else b).drop("_edges")
     elif mode == "quantile":
-        edges = quantile_edges(df, order_col, n_buckets)
+        edges = quantile_edges(df, order_col, n_buckets, max(10000, 10 * n_buckets))
         nb = len(edges) + 1
         splits = [float("-inf")] + edges + [float("inf")]
         d = df.withColumn("_key", key)
@@ -191,7 +216,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
         if keys:
             stats = materialize(df.groupBy(*keys).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
             small = stats.count() * n_buckets <= BROADCAST_MAX_ROWS
-            d = df.join(F.broadcast(stats) if small else stats, keys)
+            d = null_safe_join(df, stats, keys, small=small)
             lo, hi = F.col("_lo"), F.col("_hi")
         else:
             st = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
@@ -211,7 +236,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                                     .alias(f"_off_{v}") for v in value_cols])
     # Offsets: n_buckets rows in total without groups (hinted); per group,
     # groups x buckets rows (broadcast after a size check).
-    d = d.join(F.broadcast(off) if (small or not keys) else off, keys + ["_bk"])
+    d = null_safe_join(d, off, keys + ["_bk"], small=small or not keys)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = (Window.partitionBy(*keys, "_bk").orderBy(order)
             .rangeBetween(Window.unboundedPreceding, Window.currentRow))

@@ -94,16 +94,12 @@ def undersample_majority(df: DataFrame, unit_col: str, label_col: str, seed=42,
 
     Only rows whose ``split_col`` equals ``apply_to`` are resampled; other
     splits pass through untouched. With ``split_col=None`` the whole frame is
-    resampled.
+    resampled. One ranking over (split, class) decides all rows.
     """
-    if split_col is None:
-        target = df
-        rest = None
-    else:
-        target = df.where(F.col(split_col) == apply_to)
-        rest = df.where(F.col(split_col) != apply_to)
-    minority = lambda n: [F.min(n).over(Window.partitionBy())]  # noqa: E731  (over #classes rows)
-    kept = rank_tiers(target, unit_col, [label_col], minority, seed=seed, out_col="_tier",
-                      unique_units=True)
-    kept = kept.where(F.col("_tier") == 0).drop("_tier")
-    return kept if rest is None else kept.unionByName(rest)
+    strata = [label_col] if split_col is None else [split_col, label_col]
+    here = F.lit(True) if split_col is None else F.coalesce(F.col(split_col) == apply_to, F.lit(False))
+
+    def smallest(n):  # over the table of (stratum, bucket) counts; other splits keep all their rows
+        return [F.when(here, F.min(F.when(here, n)).over(Window.partitionBy())).otherwise(n)]
+    kept = rank_tiers(df, unit_col, strata, smallest, seed=seed, out_col="_tier", unique_units=True)
+    return kept.where(F.col("_tier") == 0).drop("_tier")

@@ -5,11 +5,11 @@ keeps it distributed and never materialises all pairs as rows:
 
 1. each minority row gets a block ``pmod(hash, B)`` with
    ``B = ceil(m / block_rows)`` (a scalar subquery, no driver round trip);
-2. rows are sent once per block pair they take part in, as query rows to
-   ``(own, *)`` and as candidates to ``(*, own)``: 2B copies per row, each
-   (query block, candidate block) group holds about ``2 * block_rows`` rows;
-3. ``cogroup().applyInPandas`` computes the block's distance matrix with
-   numpy (float64, row chunks) and emits only each query row's local top-k;
+2. a block's vectors are packed into one row (ids and one matrix), so what is
+   shuffled per pair of blocks is two rows, and a row takes part in B + 1 of
+   the unordered pairs, not in 2B;
+3. each pair's distance matrix is computed once per direction with numpy
+   (float64, row chunks); only each row's local top-k is emitted;
 4. a window per query row (B * k candidates at most) keeps the global top-k.
 
 Distances are ranked by ``round(distance, 9)`` then neighbour id, so the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import hash_fraction, hash_unit, interpolate_vector
 from notewise.operators.sampling import exact_sample
-from notewise.session import materialize
+from notewise.session import materialize, ship_package
 
 NEIGHBOR_SCHEMA = "i long, j long, distance double"
 
@@ -53,15 +53,9 @@ def _local_topk(k: int, extra: int = 8, chunk: int = 512, tol: float = 1e-6):
     within ``tol`` of its k-th exact distance (ties, duplicates) is redone
     with the full exact computation, so the result never depends on the
     shortlist size."""
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def run(qi: np.ndarray, qv: np.ndarray, ci: np.ndarray, cv: np.ndarray) -> pd.DataFrame:
         empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
                               "distance": pd.Series([], dtype="float64")})
-        if q.empty or c.empty:
-            return empty
-        qi = q["i"].to_numpy(np.int64)
-        ci = c["j"].to_numpy(np.int64)
-        qv = np.stack(q["v"].to_numpy()).astype(np.float64)
-        cv = np.stack(c["w"].to_numpy()).astype(np.float64)
         cn = (cv * cv).sum(axis=1)
         n_c = len(ci)
         m = min(k + extra, n_c)
@@ -105,21 +99,43 @@ def _local_topk(k: int, extra: int = 8, chunk: int = 512, tol: float = 1e-6):
 
 
 def smote_neighbors(rows: DataFrame, id_col: str = "note_id", vec_col: str = "embedding",
-                    k: int = 5, block_rows: int = 1024, seed=17) -> DataFrame:
+                    k: int = 5, block_rows: int = 4096, seed=17) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among ``rows``
     (excluding itself): columns i, j, r (1..k), distance."""
+    ship_package(rows.sparkSession)
+    kind = rows.schema[vec_col].dataType.elementType.simpleString()
+    number = np.float32 if kind == "float" else np.float64
     base = rows.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
     n_blocks = base.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)))
                         .cast("int")).scalar()
     blk = F.pmod(hash_unit(seed, F.col("i")), n_blocks).cast("int")
-    all_blocks = F.sequence(F.lit(0), n_blocks - 1)
-    queries = base.select("i", "v", blk.alias("qb"), F.explode(all_blocks).alias("cb"))
-    # Candidate side under other names: a cogroup of two projections of the
-    # same attributes would otherwise lose the right side's data columns.
-    cands = base.select(F.col("i").alias("j"), F.col("v").alias("w"), blk.alias("cb"),
-                        F.explode(all_blocks).alias("qb"))
-    local = (queries.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb"))
-             .applyInPandas(_local_topk(k), NEIGHBOR_SCHEMA))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "ids": [pdf["i"].to_numpy(np.int64).tobytes()],
+                             "mat": [np.stack(pdf["v"].to_numpy()).astype(number).tobytes()]})
+
+    # Written once: both sides of the join read the packed blocks.
+    packed = materialize(base.select(blk.alias("b"), "i", "v").groupBy("b")
+                         .applyInPandas(pack, "b int, ids binary, mat binary"))
+    left = packed.select(F.col("ids").alias("qi"), F.col("mat").alias("qm"), F.col("b").alias("a"),
+                         F.explode(F.sequence(F.col("b"), n_blocks - 1)).alias("b"))
+    pairs = left.join(packed, "b").select("a", "b", "qi", "qm", "ids", "mat")
+    local_topk = _local_topk(k)
+
+    def unpack(ids, mat):
+        i = np.frombuffer(ids, np.int64)
+        return i, np.frombuffer(mat, number).reshape(len(i), -1).astype(np.float64)
+
+    def run(batches):
+        for pdf in batches:
+            for a, b, qi, qm, ci, cm in pdf.itertuples(index=False):
+                first = unpack(qi, qm)
+                second = first if a == b else unpack(ci, cm)
+                yield local_topk(*first, *second)
+                if a != b:
+                    yield local_topk(*second, *first)
+
+    local = pairs.mapInPandas(run, NEIGHBOR_SCHEMA)
     w = Window.partitionBy("i").orderBy(F.round("distance", 9), F.col("j"))
     return (local.withColumn("r", F.row_number().over(w))
                  .where(F.col("r") <= k)
@@ -139,18 +155,19 @@ def smote_oversample(df: DataFrame, id_col: str = "note_id", vec_col: str = "emb
     """
     mino = materialize(df.where(F.col(label_col) == minority).select(
         F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")))
-    counts = df.agg(F.struct(
-        F.sum(F.when(F.col(label_col) == minority, 1).otherwise(0)).cast("long").alias("n_min"),
-        F.sum(F.when(F.col(label_col) != minority, 1).otherwise(0)).cast("long").alias("n_maj"))).scalar()
-    m, big_m = counts["n_min"], counts["n_maj"]
+    n_min = mino.count()
+    n_maj = df.where(F.col(label_col) != minority).count()  # reads the label column alone
+    if n_min == 1 and n_maj > 1:
+        raise ValueError("SMOTE needs at least two minority rows: one row has no neighbour")
+    m, big_m = F.lit(n_min).cast("long"), F.lit(n_maj).cast("long")
     need = F.greatest(big_m - m, F.lit(0))
-    q = F.when(m > 0, F.floor(need / m)).otherwise(F.lit(0)).cast("long")
+    q = F.floor(need / m).cast("long") if n_min else F.lit(0).cast("long")
     rem = need - q * m
     parents = exact_sample(mino, "i", rem, seed=f"{seed}:extra", out_col="extra")
     parents = parents.withColumn("copies", q + F.col("extra"))
     syn = (parents.where(F.col("copies") > 0)
                   .select("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))
-    kk = F.least(F.lit(k), m - 1)
+    kk = F.lit(max(1, min(k, n_min - 1)))
     syn = syn.select("i", "copy",
                      (F.pmod(hash_unit(seed, "i", "copy", F.lit("nn")), kk) + 1).cast("int").alias("r"),
                      hash_fraction(seed, "i", "copy", F.lit("u")).alias("u"))
@@ -165,13 +182,16 @@ def smote_oversample(df: DataFrame, id_col: str = "note_id", vec_col: str = "emb
 
 def smote_balance(df: DataFrame, id_col: str = "note_id", vec_col: str = "embedding",
                   label_col: str = "y", minority=1, k: int = 5, seed=42) -> DataFrame:
-    """Original rows plus synthetic minority rows (``synthetic`` = 1)."""
+    """Original rows plus synthetic minority rows (``synthetic`` = 1, with the
+    ``source_id`` and ``copy`` they come from)."""
     syn = smote_oversample(df, id_col, vec_col, label_col, minority, k, seed)
     orig = df.select(F.col(id_col).cast("long").alias(id_col),
                      F.col(vec_col).cast("array<double>").alias(vec_col),
                      F.col(label_col), F.lit(0).alias("synthetic"))
-    # Synthetic ids: negative, unique per (parent, copy), never clash with real ids.
-    new = syn.select((-(F.col("i") * 100000 + F.col("copy"))).alias(id_col), F.col(vec_col),
+    # (source_id, copy) is a synthetic row's exact key; its id is a negative hash of it.
+    new_id = -F.pmod(F.xxhash64("i", "copy"), F.lit(1 << 62)) - 1
+    new = syn.select(new_id.alias(id_col), F.col(vec_col),
                      F.lit(minority).cast(df.schema[label_col].dataType).alias(label_col),
-                     F.lit(1).alias("synthetic"))
+                     F.lit(1).alias("synthetic"), F.col("i").alias("source_id"), F.col("copy").cast("int").alias("copy"))
+    orig = orig.withColumns({"source_id": F.lit(None).cast("long"), "copy": F.lit(None).cast("int")})
     return orig.unionByName(new)

@@ -13,6 +13,7 @@ from notewise.functions.text import clean_text, contains_any, word_length
 from notewise.operators import cohort as co
 from notewise.plans.catalog import query
 from notewise.plans.sqlbits import clean_sql, hash_sql, tokens_sql
+from notewise.session import materialize
 from notewise.sources.tables import conversation_notes, event_rows
 
 KEYWORDS = ["edtion", "hation"]
@@ -51,7 +52,8 @@ def q_cohort_match(spark, sf):
 
 
 @query("cohort_match_bounded", """
-WITH m AS (SELECT user_id AS subject_id, CAST(MIN(floor(event_id / 100)) AS BIGINT) AS first_chunk FROM events
+WITH o AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events),
+     m AS (SELECT user_id AS subject_id, CAST(MIN(floor(pos / 100)) AS BIGINT) AS first_chunk FROM o
            WHERE regexp_matches(event_type, '(?i)PURCH') GROUP BY user_id),
      p AS (SELECT first_chunk, SUM(COUNT(*)) OVER (ORDER BY first_chunk) AS cum FROM m GROUP BY first_chunk),
      st AS (SELECT MIN(first_chunk) AS s FROM p WHERE cum >= 60)
@@ -79,8 +81,9 @@ def q_cohort_size(spark, sf):
 
 @query("sample_negatives", f"WITH f AS ({FLAGS_SQL}), sz AS ({SIZE_SQL}) {SAMPLE_SQL}")
 def q_sample_negatives(spark, sf):
-    """COH-4: exact seeded sample of the negative pool."""
-    flags = _flags(spark, sf)
+    """COH-4: exact seeded sample of the negative pool. The flags are written once, so the
+    size, the cutoff and the sample don't scan the texts again."""
+    flags = materialize(_flags(spark, sf))
     pool = flags.where(F.col("matched") == 0).select("subject_id")
     n = co.cohort_size_table(flags, PREVALENCE).select("neg_taken").scalar()
     return co.sample_negatives(pool, n, seed=SEED)
@@ -145,7 +148,8 @@ def q_label_cohort(spark, sf):
 
 
 BOUNDED_SQL = """
-WITH m AS (SELECT user_id AS subject_id, MIN(floor(event_id / 100)) AS first_chunk FROM events
+WITH o AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events),
+     m AS (SELECT user_id AS subject_id, MIN(floor(pos / 100)) AS first_chunk FROM o
            WHERE regexp_matches(event_type, '(?i)PURCH') GROUP BY user_id),
      p AS (SELECT first_chunk, SUM(COUNT(*)) OVER (ORDER BY first_chunk) AS cum FROM m GROUP BY first_chunk),
      st AS (SELECT MIN(first_chunk) AS s FROM p WHERE cum >= 60),

@@ -1,4 +1,7 @@
-"""Encoder queries: text -> vector per note, rows-only checks."""
+"""Encoder queries: text -> vector per note.
+
+SQL states the facts that hold for every note: its id, the width, and the length of the vector
+(1 for TF-IDF of a note with words)."""
 
 from __future__ import annotations
 
@@ -6,21 +9,34 @@ from pyspark.sql import functions as F
 
 from notewise.operators import features as fe
 from notewise.plans.catalog import query
+from notewise.plans.sqlbits import clean_sql
 from notewise.sources.tables import document_notes
 
+_SOME = f"CASE WHEN {clean_sql('text')} <> '' THEN 1 ELSE 0 END"
+TFIDF_SQL = (f"SELECT doc_id AS note_id, 'hashed_tfidf' AS encoder, CAST(256 AS BIGINT) AS dims, "
+             f"CAST({_SOME} AS BIGINT) AS norm FROM documents WHERE text IS NOT NULL")
+
+
+def _facts(df):
+    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return df.select("note_id", "encoder", F.size("embedding").cast("bigint").alias("dims"), F.sqrt(square).alias("norm"))
+
 
-@query("embed_text")
+@query("embed_text", TFIDF_SQL)
 def q_embed_text(spark, sf):
-    """Hashed TF-IDF (256 dims, L2-normalised) of every whole cleaned note."""
-    out = fe.hashed_tfidf(document_notes(spark, sf), dim=256)
-    return out.select("note_id", "encoder", F.size("embedding").alias("dims"))
+    """Hashed TF-IDF (256 dims, L2-normalised) of every whole cleaned note: width and length of the vectors."""
+    out = _facts(fe.hashed_tfidf(document_notes(spark, sf), dim=256))
+    return out.withColumn("norm", F.round("norm", 4).cast("bigint"))
 
 
-@query("embed_all")
+@query("embed_all", f"""{TFIDF_SQL} UNION ALL
+SELECT doc_id, 'hashed_vectors', 64, CAST({_SOME} AS BIGINT) FROM documents WHERE text IS NOT NULL""")
 def q_embed_all(spark, sf):
-    """Every built-in encoder over the same notes, one table keyed by
-    (note_id, encoder)."""
+    """Every built-in encoder over the same notes, one table keyed by (note_id, encoder). A note's
+    mean of unit word vectors has a length above 0 and at most 1."""
     docs = document_notes(spark, sf)
-    out = fe.embed_all(docs, [lambda d: fe.hashed_tfidf(d, dim=256),
-                              lambda d: fe.word2vec(d, dim=64)])
-    return out.select("note_id", "encoder", F.size("embedding").alias("dims"))
+    out = _facts(fe.embed_all(docs, [lambda d: fe.hashed_tfidf(d, dim=256),
+                                     lambda d: fe.hashed_vectors(d, dim=64)]))
+    within = F.when((F.col("norm") > 0) & (F.col("norm") <= 1.0001), 1).otherwise(F.round("norm").cast("int"))
+    return out.withColumn("norm", F.when(F.col("encoder") == "hashed_vectors", within)
+                          .otherwise(F.round("norm", 4)).cast("bigint"))

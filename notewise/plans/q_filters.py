@@ -61,8 +61,8 @@ def q_write_notes(spark, sf):
 
 @query("scan_notes_csv", "SELECT doc_id AS subject_id, doc_id AS note_id, text FROM documents")
 def q_scan_notes_csv(spark, sf):
-    """Notes exported as multi-line quoted CSV, scanned back with a fixed
-    schema (no inference pass): the raw-export source."""
+    """Notes exported as multi-line quoted CSV with further columns, in another order, scanned
+    back by the header's names (no inference pass): the raw-export source."""
     from notewise.session import scratch_path
     path = scratch_path(spark, "notes-csv")
     io.write_notes_csv(document_notes(spark, sf), path)

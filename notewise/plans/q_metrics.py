@@ -1,8 +1,8 @@
 """Queries for evaluation operators.
 
-Model-free fixture: ``score = round(embedding[0], 2)`` and ``y = (label = 0)``
+Model-free fixture: ``score = round(sum of all dimensions, 2)`` and ``y = (label = 0)``
 (see :func:`notewise.sources.tables.scored_rows`). The leaderboard treats
-embedding dimensions 0-7 as learners and labels 0-9 as encoders (80 rows).
+embedding dimensions 0-63 as learners and labels 0-9 as encoders (640 rows).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from notewise.functions.numeric import apply_threshold, sigmoid
 from notewise.operators import metrics as me
 from notewise.plans.catalog import query
 from notewise.plans.sqlbits import curve_sql, scored_sql
+from notewise.session import materialize
 from notewise.sources import io
 from notewise.sources.tables import scored_rows, table
 
@@ -121,21 +122,20 @@ def q_apply_threshold(spark, sf):
 
 @query("confusion_matrix", f"{COUNTS_SQL} SELECT tn, fp, fn, tp FROM cm")
 def q_confusion_matrix(spark, sf):
-    s, best = _tuned(spark, sf)
-    return me.confusion_matrix(me.classify(s, best))
+    return me.counts_at_best(me.pr_curve(_scored(spark, sf)))
 
 
 @query("accuracy", f"{PRED_SQL} SELECT round(AVG(CAST(pred = y AS DOUBLE)), 6) AS accuracy FROM p")
 def q_accuracy(spark, sf):
-    s, best = _tuned(spark, sf)
-    return me.accuracy(me.classify(s, best)).select(F.round("accuracy", 6).alias("accuracy"))
+    c = me.counts_at_best(me.pr_curve(_scored(spark, sf)))
+    right, rows = F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    return c.select(F.round(right / rows, 6).alias("accuracy"))
 
 
 @query("classification_report", f"{COUNTS_SQL} {report_cells_sql()}")
 def q_classification_report(spark, sf):
     """Per-class precision/recall/F1/support, accuracy, macro and weighted rows."""
-    s, best = _tuned(spark, sf)
-    rep = me.classification_report(me.confusion_matrix(me.classify(s, best)))
+    rep = me.classification_report(me.counts_at_best(me.pr_curve(_scored(spark, sf))))
     return rep.withColumn("value", F.round("value", 6))
 
 
@@ -157,19 +157,19 @@ def q_threshold_sweep(spark, sf):
     return _r6(out, {"threshold", "accuracy"})
 
 
-@query("sigmoid", "SELECT vec_id AS note_id, round(1.0 / (1.0 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS p "
-       "FROM embeddings")
+@query("sigmoid", "SELECT vec_id AS note_id, list_transform(CAST(embedding AS DOUBLE[]), "
+       "lambda x: round(1.0 / (1.0 + exp(-x)), 6)) AS p FROM embeddings")
 def q_sigmoid(spark, sf):
-    """Logit -> probability on the first embedding dimension."""
+    """Logit -> probability on every embedding dimension."""
     e = table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("note_id"),
-                    F.round(sigmoid(F.col("embedding")[0].cast("double")), 6).alias("p"))
+                    F.transform("embedding", lambda x: F.round(sigmoid(x.cast("double")), 6)).alias("p"))
 
 
 LEADERBOARD_SQL = """
 WITH s AS (SELECT e.vec_id, d.learner, x.encoder, CAST(e.label = x.encoder AS INTEGER) AS y,
                   round(CAST(e.embedding[d.learner + 1] AS DOUBLE), 2) AS score
-           FROM embeddings e, range(8) AS d(learner), range(10) AS x(encoder)),
+           FROM embeddings e, range(64) AS d(learner), range(10) AS x(encoder)),
      g AS (SELECT learner, encoder, score, SUM(y) AS dp, COUNT(*) - SUM(y) AS dn FROM s GROUP BY ALL),
      k AS (SELECT *, SUM(dp) OVER (PARTITION BY learner, encoder ORDER BY score DESC) AS tp FROM g),
      t AS (SELECT learner, encoder, SUM(dp) AS np, SUM(dn) AS nn FROM g GROUP BY ALL),
@@ -193,17 +193,20 @@ def leaderboard(results, metric: str = "roc_auc", by: str = "encoder", who: str
 
 @query("leaderboard", LEADERBOARD_SQL)
 def q_leaderboard(spark, sf):
-    """80 (learner, encoder) pairs scored by ROC-AUC and ranked per encoder;
-    all pairs are evaluated by the same grouped jobs."""
+    """All (dimension, label) pairs scored by ROC-AUC and ranked per label. Rows are
+    counted by (dimension, score, label) before any pair is made; each label's positives
+    and negatives at a score follow from those counts."""
     e = table(spark, sf, "embeddings")
-    rows = (e.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("learner", "v"))
-             .select("vec_id", "label", F.col("learner").cast("bigint").alias("learner"),
-                     F.round(F.col("v").cast("double"), 2).alias("score"))
-             .withColumn("encoder", F.explode(F.sequence(F.lit(0), F.lit(9))))
-             .withColumn("encoder", F.col("encoder").cast("bigint"))
-             .withColumn("y", (F.col("label") == F.col("encoder")).cast("int")))
+    rows = (e.select("label", F.posexplode("embedding").alias("learner", "v"))
+             .groupBy(F.col("learner").cast("bigint").alias("learner"), F.round(F.col("v").cast("double"), 2).alias("score"))
+             .pivot("label", list(range(10))).count())
+    total = sum((F.coalesce(F.col(str(i)), F.lit(0)) for i in range(1, 10)), F.coalesce(F.col("0"), F.lit(0)))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("encoder"),
+                                         F.coalesce(F.col(str(i)), F.lit(0)).alias("dp")) for i in range(10)]))
+    g = rows.select("learner", "score", total.alias("n"), pairs.alias("p")).select(
+        "learner", F.col("p.encoder").alias("encoder"), "score", F.col("p.dp").alias("dp"), (F.col("n") - F.col("p.dp")).alias("dn"))
     groups = ["learner", "encoder"]
-    auc = me.roc_auc(me.pr_curve(rows, group_cols=groups), groups)
+    auc = me.roc_auc(me.curve_of_groups(materialize(g), "score", groups), groups)
     auc = auc.withColumn("roc_auc", F.round("roc_auc", 6))
     return leaderboard(auc).select("encoder", "learner", "roc_auc", "rank", "overall_rank")
 
@@ -215,12 +218,12 @@ def q_leaderboard(spark, sf):
      UNION ALL SELECT 'all', 'roc_auc', round(v, 6) FROM auc
      UNION ALL SELECT 'all', 'average_precision', round(v, 6) FROM ap
      UNION ALL SELECT 'all', 'threshold', round(t, 6) FROM b)
-SELECT 'fixture' AS gen, 'dim0' AS learner, 'label0' AS encoder, metric, class, value FROM cells""")
+SELECT 'fixture' AS gen, 'sum' AS learner, 'label0' AS encoder, metric, class, value FROM cells""")
 def q_write_metrics(spark, sf):
     """Full evaluation (report, AUC, AP, tuned threshold) appended to the
     metrics table partitioned by generation, read back."""
     ev = me.evaluate(_scored(spark, sf))
-    ev = ev.select(F.lit("fixture").alias("gen"), F.lit("dim0").alias("learner"),
+    ev = ev.select(F.lit("fixture").alias("gen"), F.lit("sum").alias("learner"),
                    F.lit("label0").alias("encoder"), "metric", "class", F.round("value", 6).alias("value"))
     back = io.write_metrics(ev, mode="overwrite")
     return back.select("gen", "learner", "encoder", "metric", "class", "value")

@@ -94,13 +94,15 @@ def q_extend_stopwords(spark, sf):
 @query("truncate_tokens",
        f"SELECT doc_id AS note_id, CAST(len({tokens_sql(clean_sql('text'))}) AS BIGINT) AS n_tokens, "
        f"CAST(greatest(len({tokens_sql(clean_sql('text'))}) - 512, 0) AS BIGINT) AS n_beyond, "
-       f"CAST(len({tokens_sql(clean_sql('text'))}) <= 512 AS INTEGER) AS fits FROM documents")
+       f"CAST(len({tokens_sql(clean_sql('text'))}) <= 512 AS INTEGER) AS fits, "
+       f"array_to_string(list_slice({tokens_sql(clean_sql('text'))}, 1, 512), ' ') AS kept FROM documents")
 def q_truncate_tokens(spark, sf):
-    """What a 512-token encoder window would cut, per note: every note is
-    tokenised whole; tokens beyond the window are counted, not dropped."""
+    """What a 512-token encoder window keeps and cuts, per note: every note is
+    tokenised whole; the tokens that are kept, and how many lie beyond."""
     toks = tx.tokenize(tx.clean_text("text"), cleaned=True)
     n = F.size(toks)
-    kept = F.size(tx.truncate_tokens(toks, 512))
+    cut = tx.truncate_tokens(toks, 512)
+    kept = F.size(cut)
     return _docs(spark, sf).select("note_id", n.cast("bigint").alias("n_tokens"),
                                    (n - kept).cast("bigint").alias("n_beyond"),
-                                   (n <= 512).cast("int").alias("fits"))
+                                   (n <= 512).cast("int").alias("fits"), F.array_join(cut, " ").alias("kept"))

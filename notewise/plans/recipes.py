@@ -3,7 +3,7 @@
 A recipe is data: how to split, how to rebalance, whether to weight the
 positive class, which threshold policy to use and the learner settings.
 :func:`run_recipe` turns one (recipe, learner, encoder) into a long metrics
-table; :func:`experiment_grid` loops over lazily built plans on the driver
+table; :func:`experiment_grid` runs all cells of encoder x generation x learner
 (only the loop is driver-side; every step is a Spark job) and unions them.
 
 Generations, in the reference's words:
@@ -23,37 +23,48 @@ from notewise.operators import models as mo
 from notewise.operators import sampling as sa
 from notewise.operators.features import class_weight_column
 from notewise.operators.smote import smote_balance
-from notewise.session import materialize
+from notewise.session import materialize, scratch_path
 
 # The learner settings of each generation (library names
 # mapped to Spark ML: learning_rate -> step_size, n_estimators -> max_iter,
 # max_depth -> max_depth, subsample -> subsampling_rate,
-# colsample/feature_fraction -> feature_subset).
+# colsample/feature_fraction -> feature_subset). "gbt" and "xgb" are the two
+# boosted-tree columns of the published grid: they differ in depth, in v1's
+# split and in which generations stop early (``early_stop``).
 RECIPES = {
     "v1": dict(split="random", resample=None, weight=False, threshold=0.5,
                gbt=dict(max_iter=100, step_size=0.1, max_depth=5),
+               xgb=dict(max_iter=100, step_size=0.1, max_depth=6), xgb_split="stratified",
                mlp=dict(hidden=(256, 64), max_iter=10)),
     "v2": dict(split="stratified", resample=None, weight=True, threshold=0.3,
                gbt=dict(max_iter=100, step_size=0.1, max_depth=5),
+               xgb=dict(max_iter=100, step_size=0.1, max_depth=6),
                mlp=dict(hidden=(256, 64), max_iter=10)),
     "v3": dict(split="stratified", resample=None, weight=True, threshold="tuned", tune_on="test",
                gbt=dict(max_iter=1000, step_size=0.01, max_depth=6, subsampling_rate=0.8,
                         feature_subset="0.8"),
+               xgb=dict(max_iter=1000, step_size=0.01, max_depth=6, subsampling_rate=0.8, feature_subset="0.8"),
                mlp=dict(hidden=(256, 64), max_iter=10)),
     "v4": dict(split="stratified", resample="smote_all", weight=True, threshold="tuned", tune_on="test",
                early_stop_on="test",
                gbt=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8,
                         feature_subset="0.8"),
+               xgb=dict(max_iter=1000, step_size=0.01, max_depth=8, subsampling_rate=0.8, feature_subset="0.8"),
+               early_stop=("gbt",),
                mlp=dict(hidden=(512, 256, 64), max_iter=20)),
     "v4_train_only": dict(split="stratified", resample="smote_train", weight=True, threshold="tuned",
                           tune_on="test", early_stop_on="test",
                           gbt=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8,
                                    feature_subset="0.8"),
-                          mlp=dict(hidden=(512, 256, 64), max_iter=20)),
+                          xgb=dict(max_iter=1000, step_size=0.01, max_depth=8, subsampling_rate=0.8, feature_subset="0.8"),
+               early_stop=("gbt",),
+               mlp=dict(hidden=(512, 256, 64), max_iter=20)),
     "v5": dict(split="three_way", resample="undersample_train", weight=True, threshold="tuned",
                tune_on="val", eval_on="val", early_stop_on="val",
                gbt=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8,
                         feature_subset="0.8"),
+               xgb=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8, feature_subset="0.8"),
+               early_stop=("gbt", "xgb"),
                mlp=dict(hidden=(512, 256, 64), max_iter=20)),
     # v5 with the threshold tuned on validation and metrics on the untouched
     # test split (the reference leaves its test split unused).
@@ -61,75 +72,81 @@ RECIPES = {
                     tune_on="val", eval_on="test", early_stop_on="val",
                     gbt=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8,
                              feature_subset="0.8"),
-                    mlp=dict(hidden=(512, 256, 64), max_iter=20)),
+                    xgb=dict(max_iter=1000, step_size=0.01, max_depth=10, subsampling_rate=0.8, feature_subset="0.8"),
+               early_stop=("gbt", "xgb"),
+               mlp=dict(hidden=(512, 256, 64), max_iter=20)),
 }
 
-_MODEL_CACHE: dict = {}
+#: Rounds without a better validation loss after which a recipe stops.
+PATIENCE = 50
+
 
+def prepare(data: DataFrame, recipe: dict, seed: int = 42, learner: str = "gbt", group_col: str | None = None) -> DataFrame:
+    """Split and rebalance: rows (note_id, y, embedding, split), written by split.
 
-def prepare(data: DataFrame, recipe: dict, seed: int = 42) -> DataFrame:
-    """Split and rebalance: returns rows (note_id, y, embedding, split)."""
+    ``group_col`` (a subject id) keeps all rows of a group on one side; it
+    replaces the recipe's own two-way split."""
     rs = recipe.get("resample")
     if rs == "smote_all":
-        data = smote_balance(data, "note_id", "embedding", "y", minority=1, seed=seed).drop("synthetic")
-    if recipe["split"] == "random":
+        data = smote_balance(data, "note_id", "embedding", "y", minority=1, seed=seed).drop("synthetic", "source_id", "copy")
+    kind = recipe.get(f"{learner}_split", recipe["split"])
+    if group_col is not None and kind != "three_way":
+        s = sa.split_by_group(data, group_col, 0.2, seed)
+    elif kind == "random":
         s = sa.split_random(data, "note_id", 0.2, seed)
-    elif recipe["split"] == "stratified":
+    elif kind == "stratified":
         s = sa.split_stratified(data, "note_id", "y", 0.2, seed)
     else:
         s = sa.split_three_way(data, "note_id", "y", 0.2, 0.5, seed)
     if rs == "smote_train":
         tr = s.where(F.col("split") == "train").drop("split")
-        bal = smote_balance(tr, "note_id", "embedding", "y", minority=1, seed=seed).drop("synthetic")
+        bal = smote_balance(tr, "note_id", "embedding", "y", minority=1, seed=seed).drop("synthetic", "source_id", "copy")
         s = bal.withColumn("split", F.lit("train")).unionByName(
             s.where(F.col("split") != "train").withColumn("embedding", F.col("embedding").cast("array<double>")))
     elif rs == "undersample_train":
         s = sa.undersample_majority(s, "note_id", "y", seed=seed + 1, split_col="split")
-    return materialize(s)
-
-
-def fit(prepared: DataFrame, recipe: dict, learner: str, n_features: int, cache_key=None):
-    """Fit the recipe's learner on the training split (models cached per key)."""
-    if cache_key is not None and cache_key in _MODEL_CACHE:
-        return _MODEL_CACHE[cache_key]
-    es = recipe.get("early_stop_on")
-    rows = prepared if (learner == "gbt" and es) else prepared.where(F.col("split") == "train")
-    rows = mo.with_features(rows)
-    if learner == "gbt":
+    path = scratch_path(s.sparkSession, "prepared")
+    s.write.partitionBy("split").parquet(path)  # a reader of one split opens that folder alone
+    return s.sparkSession.read.parquet(path)
+
+
+def fit(prepared: DataFrame, recipe: dict, learner: str, n_features: int):
+    """Fit the recipe's learner on the training split."""
+    train = mo.with_features(prepared.where(F.col("split") == "train"))
+    n = train.groupBy("y").count().collect()  # one row per class
+    sizes = {int(r["y"]): r["count"] for r in n}
+    pw = sizes.get(0, 0) / max(sizes.get(1, 0), 1)
+    if learner in ("gbt", "xgb"):
         weight = None
         if recipe["weight"]:
-            train_only = rows.where(F.col("split") == "train")
-            pw = train_only.agg(F.sum(1 - F.col("y")) / F.sum("y")).scalar()
-            rows = class_weight_column(rows, "y", pos_weight=pw)
+            train = class_weight_column(train, "y", pos_weight=pw)
             weight = "weight"
-        val = None
-        if es:
-            rows = rows.where(F.col("split").isin("train", es)).withColumn("is_val", F.col("split") == es)
-            val = "is_val"
-        train = rows.cache()
-        model = mo.train_gbt(train, weight=weight, validation_col=val, **recipe["gbt"])
-        train.unpersist()
+        train = mo.dealt_by_size(train, sum(sizes.values())).cache()
+        if learner in recipe.get("early_stop", ()):
+            held = mo.with_features(prepared.where(F.col("split") == recipe["early_stop_on"]))
+            held = (held.withColumn(weight, F.lit(1.0)) if weight else held).cache()
+            model = mo.train_gbt_early(train, held, weight=weight, patience=PATIENCE, **recipe[learner])
+            held.unpersist()
+        else:
+            model = mo.train_gbt(train, weight=weight, **recipe[learner])
     else:
         if recipe["weight"]:
             # No weightCol on the MLP: replicate positives round(neg/pos) times.
-            pw = rows.agg(F.sum(1 - F.col("y")) / F.sum("y")).scalar()
-            reps = F.when(F.col("y") == 1, F.greatest(F.lit(1), F.round(pw).cast("int"))).otherwise(1)
-            rows = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps))).drop("_rep")
-        train = rows.cache()
+            reps = F.when(F.col("y") == 1, max(1, round(pw))).otherwise(1)
+            train = train.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps))).drop("_rep")
+        train = mo.dealt_by_size(train, sum(sizes.values())).cache()
         model = mo.train_mlp(train, n_features, **recipe["mlp"])
-        train.unpersist()
-    if cache_key is not None:
-        _MODEL_CACHE[cache_key] = model
+    train.unpersist()
     return model
 
 
 def run_recipe(data: DataFrame, gen: str, learner: str, encoder: str, n_features: int,
-               seed: int = 42, cache_tag=None) -> DataFrame:
+               seed: int = 42, prepared: DataFrame | None = None, group_col: str | None = None) -> DataFrame:
     """Long metrics table (gen, learner, encoder, metric, class, value)."""
     recipe = RECIPES[gen]
-    prepared = prepare(data, recipe, seed)
-    model = fit(prepared, recipe, learner, n_features,
-                cache_key=(cache_tag, gen, learner) if cache_tag else None)
+    if prepared is None:
+        prepared = prepare(data, recipe, seed, learner, group_col)
+    model = fit(prepared, recipe, learner, n_features)
     feats = mo.with_features(prepared)
     eval_split = recipe.get("eval_on", "test")
     # Score once: the curve, the threshold and the report all read it.
@@ -147,25 +164,35 @@ def run_recipe(data: DataFrame, gen: str, learner: str, encoder: str, n_features
                       F.lit(encoder).alias("encoder"), "metric", "class", "value")
 
 
-def experiment_grid(data: DataFrame, encoder: str, n_features: int,
-                    gens=("v1", "v2", "v3", "v4", "v5"), learners=("gbt", "mlp"),
-                    cache_tag=None, parallel: int = 4) -> DataFrame:
-    """Every (recipe, learner) cell as one long metrics table.
+def experiment_grid(encoders: dict[str, tuple[DataFrame, int]], gens=("v1", "v2", "v3", "v4", "v5"),
+                    learners=("gbt", "xgb", "mlp"), parallel: int = 4, group_col: str | None = None) -> DataFrame:
+    """Every (encoder, generation, learner) cell as one long metrics table.
 
-    Cells are independent, so up to ``parallel`` of them are fitted at once:
-    each driver thread submits its own Spark jobs and the scheduler shares
-    the executors between them (one fit alone leaves most cores idle, since
+    ``encoders``: name -> (rows with note_id, y, embedding; width). Learners of
+    a generation share its prepared rows unless they split differently. Cells
+    are independent, so up to ``parallel`` of them are fitted at once: each
+    driver thread submits its own Spark jobs and the scheduler shares the
+    executors between them (one fit alone leaves most cores idle, since
     boosting runs one small job per tree level)."""
     from concurrent.futures import ThreadPoolExecutor
 
-    cells = [(g, lr) for g in gens for lr in learners]
+    shared: dict[tuple, DataFrame] = {}
+
+    def split_of(gen, learner):
+        return RECIPES[gen].get(f"{learner}_split", RECIPES[gen]["split"])
+    for name, (data, _) in encoders.items():
+        for g in gens:
+            for lr in learners:
+                key = (name, g, split_of(g, lr))
+                if key not in shared:
+                    shared[key] = prepare(data, RECIPES[g], 42, lr, group_col)
+    cells = [(e, g, lr) for e in encoders for g in gens for lr in learners]
     # Longest fits first (most boosting rounds), so they start immediately.
-    order = sorted(cells, key=lambda c: -RECIPES[c[0]][c[1]].get("max_iter", 0))
+    order = sorted(cells, key=lambda c: -RECIPES[c[1]][c[2]].get("max_iter", 0))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        done = dict(zip(order, pool.map(
-            lambda c: run_recipe(data, c[0], c[1], encoder, n_features, cache_tag=cache_tag), order)))
-    parts = [done[c] for c in cells]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        done = dict(zip(order, pool.map(lambda c: run_recipe(
+            encoders[c[0]][0], c[1], c[2], c[0], encoders[c[0]][1], prepared=shared[c[0], c[1], split_of(c[1], c[2])]), order)))
+    out = done[cells[0]]
+    for c in cells[1:]:
+        out = out.unionByName(done[c])
     return out

@@ -29,10 +29,10 @@ ENGLISH_SQL = words_list_sql(ENGLISH_STOPWORDS)
 CLINICAL_SQL = words_list_sql(CLINICAL_STOPWORDS)
 
 
-def scored_sql(dim: int = 0, positive_label: int = 0) -> str:
+def scored_sql(positive_label: int = 0) -> str:
     """Rows (note_id, y, score) of :func:`notewise.sources.tables.scored_rows`."""
     return (f"SELECT vec_id AS note_id, CAST(label = {positive_label} AS INTEGER) AS y, "
-            f"round(CAST(embedding[{dim + 1}] AS DOUBLE), 2) AS score FROM embeddings")
+            "round(list_sum(CAST(embedding AS DOUBLE[])), 2) AS score FROM embeddings")
 
 
 def curve_sql(scored: str, group: str = "") -> str:

@@ -1,6 +1,7 @@
 """Scans and sinks.
 
-* Raw note CSV is read with an explicit schema (no inference pass). A quoted
+* Raw note CSV is read by its header: the file's columns are strings, in its own
+  order, and the three that are needed are cast (no inference pass). A quoted
   multi-line CSV cannot be split, so it should be landed once as Parquet with
   :func:`land_notes` and every later step reads the Parquet copy.
 * Sinks never overwrite the path they read from: each write goes to a new
@@ -16,13 +17,9 @@ from pyspark.sql import types as T
 
 from notewise.session import scratch_path
 
-# Columns the raw note export carries that the build reads. Everything else
-# (chart/store times, caregiver, error flag) is never parsed.
-NOTE_CSV_SCHEMA = T.StructType([
-    T.StructField("ROW_ID", T.LongType()),
-    T.StructField("SUBJECT_ID", T.LongType()),
-    T.StructField("TEXT", T.StringType()),
-])
+# Columns of the raw note export that the build reads, by name; all others
+# (chart/store times, caregiver, error flag) are dropped.
+NOTE_CSV_COLUMNS = {"SUBJECT_ID": "subject_id", "ROW_ID": "note_id", "TEXT": "text"}
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("gen", T.StringType()),
@@ -34,25 +31,29 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
-def scan_notes_csv(spark: SparkSession, path: str,
-                   schema: T.StructType = NOTE_CSV_SCHEMA,
-                   multiline: bool = True) -> DataFrame:
-    """Raw note CSV -> subject_id, note_id, text with a fixed schema."""
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("multiLine", multiline)
-           .option("quote", '"').option("escape", '"')
-           .option("enforceSchema", False)
-           .csv(path))
-    return raw.select(F.col("SUBJECT_ID").alias("subject_id"),
-                      F.col("ROW_ID").alias("note_id"),
-                      F.col("TEXT").alias("text"))
+def scan_notes_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Raw note CSV -> subject_id, note_id, text.
+
+    The header names the columns, in any order and among any others; only the
+    head of a file is read for it. Without ``inferSchema`` every column is a
+    string, and the parser's column pruning skips those that aren't selected."""
+    raw = (spark.read.option("header", True).option("multiLine", multiline)
+           .option("quote", '"').option("escape", '"').csv(path))
+    named = {c.strip().upper(): c for c in raw.columns}
+    missing = [c for c in NOTE_CSV_COLUMNS if c not in named]
+    if missing:
+        raise ValueError(f"the export has no column {', '.join(missing)}")
+    return raw.select(F.col(f"`{named['SUBJECT_ID']}`").cast("long").alias("subject_id"),
+                      F.col(f"`{named['ROW_ID']}`").cast("long").alias("note_id"),
+                      F.col(f"`{named['TEXT']}`").alias("text"))
 
 
 def write_notes_csv(df: DataFrame, path: str) -> None:
     """Write notes in the raw export's CSV shape (header, quoted fields that
-    may span lines, doubled quotes), readable by :func:`scan_notes_csv`."""
-    (df.select(F.col("note_id").alias("ROW_ID"), F.col("subject_id").alias("SUBJECT_ID"),
-               F.col("text").alias("TEXT"))
+    may span lines, doubled quotes, columns that the build doesn't read),
+    readable by :func:`scan_notes_csv`."""
+    (df.select(F.lit("2101-01-01").alias("CHARTTIME"), F.col("text").alias("TEXT"), F.lit("").alias("ISERROR"),
+               F.col("subject_id").alias("SUBJECT_ID"), F.lit(7).alias("CGID"), F.col("note_id").alias("ROW_ID"))
        .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
        .option("quoteAll", True).csv(path))
 

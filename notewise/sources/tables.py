@@ -15,41 +15,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewise.functions.numeric import array_sum
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Spread an under-split scan before CPU-heavy text work.
-
-    A table stored as a few large files or row groups scans in fewer tasks
-    than the cluster has cores; then rows are dealt round-robin (not by a key,
-    so a hot subject cannot pile up in one task) to ``defaultParallelism``
-    partitions. A large table already has one split per ~128 MB and is left
-    as it is, so at scale this is a no-op. The check is planning only."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < target
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
-        return df
-    return df.repartition(target) if narrow else df
-
-
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as notes: subject_id, note_id, text (+ lang, source)."""
     d = table(spark, sf_dir, "documents")
-    d = d.select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("note_id"),
-                 "text", "lang", "source")
-    return spread_if_narrow(d)
+    return d.select(F.col("doc_id").alias("subject_id"), F.col("doc_id").alias("note_id"),
+                    "text", "lang", "source")
 
 
 def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as notes: subject_id = conv_id, note_id = turn."""
     c = table(spark, sf_dir, "conversations")
-    c = c.select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("note_id"),
-                 "text", "role")
-    return spread_if_narrow(c)
+    return c.select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("note_id"),
+                    "text", "role")
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +55,13 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select(F.col("doc_id").alias("note_id"), "quality", "toxic")
 
 
-def scored_rows(spark: SparkSession, sf_dir: str, dim: int = 0,
-                positive_label: int = 0) -> DataFrame:
-    """A model-free score table: ``score = round(embedding[dim], 2)`` and
+def scored_rows(spark: SparkSession, sf_dir: str, positive_label: int = 0) -> DataFrame:
+    """A model-free score table: ``score = round(sum of all dimensions, 2)`` and
     ``y = (label = positive_label)``. Deterministic, so every evaluation
     operator can be checked against SQL without fitting a model."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("note_id"),
         (F.col("label") == positive_label).cast("int").alias("y"),
-        F.round(F.col("embedding")[dim].cast("double"), 2).alias("score"),
+        F.round(array_sum("embedding"), 2).alias("score"),
     )

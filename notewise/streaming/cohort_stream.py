@@ -2,10 +2,11 @@
 
 The chunked scan of the reference becomes a file stream: every micro-batch
 reads at most ``max_files_per_trigger`` new files, keeps rows that match the
-keywords and passes each subject only the first time it is seen
-(``dropDuplicates`` keeps the seen-subject set in the state store, so state
-grows with subjects, not notes). Each micro-batch's new subjects are written
-to ``<out>/batch=<epoch>`` with overwrite, so a retried epoch replaces its
+keywords and counts each subject's matching rows in the state store (a
+streaming aggregate, summed inside each task before the shuffle, so a hot
+subject sends one row per task; state grows with subjects, not notes). A
+subject whose count was nothing before this batch is new; each micro-batch's
+new subjects are written to ``<out>/batch=<epoch>`` with overwrite, so a retried epoch replaces its
 own output instead of duplicating it; the checkpoint makes the stream
 restartable after executor or driver loss.
 """
@@ -36,16 +37,27 @@ def stream_cohort(spark: SparkSession, source_dir: str, schema: T.StructType, ke
     rows = reader.parquet(source_dir)
     new_subjects = (rows.where(contains_any(match_col, list(keywords)))
                         .select(F.col(subject_col).alias("subject_id"))
-                        .dropDuplicates(["subject_id"]))
+                        .groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_rows")))
 
     def sink(batch: DataFrame, epoch: int):
+        # update mode: the subjects of this batch; those written before are left out
+        known = _written_before(batch.sparkSession, out_path, epoch)
+        batch = batch.select("subject_id")
+        batch = batch if known is None else batch.join(known, "subject_id", "left_anti")
         batch.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
-    w = new_subjects.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = new_subjects.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start(), out_path
 
 
+def _written_before(spark: SparkSession, out_path: str, epoch: int) -> DataFrame | None:
+    """Subjects of earlier epochs' output (a retried epoch does not see its own)."""
+    if epoch == 0:
+        return None
+    return spark.read.option("basePath", out_path).parquet(out_path).where(F.col("batch") < epoch).select("subject_id")
+
+
 def cohort_so_far(spark: SparkSession, out_path: str) -> DataFrame:
     """Subjects emitted so far, with the micro-batch that first saw them and
     the running distinct count at the end of each batch."""

@@ -59,3 +59,17 @@ def test_recipe_v2_mlp_metrics(spark):
     assert thr == 0.3
     sup = [r.value for r in m if r["class"] == "accuracy" and r.metric == "support"][0]
     assert sup == 100  # 20% of 500 rows, stratified and exact
+
+
+def test_grid_cells_are_independent(spark):
+    """Two encoders with opposite labels: each cell scores with its own model."""
+    e = table(spark, SF01, "embeddings")
+    data = e.select(F.col("vec_id").alias("note_id"), F.element_at("embedding", 1).alias("_x"), "embedding")
+    a = data.select("note_id", (F.col("_x") > 0).cast("int").alias("y"), "embedding")
+    b = a.withColumn("y", 1 - F.col("y"))
+    grid = rc.experiment_grid({"a": (a, 64), "b": (b, 64)}, gens=("v2",), learners=("mlp",), parallel=2)
+    auc = {r.encoder: r.value for r in grid.where("metric = 'roc_auc'").collect()}
+    assert set(auc) == {"a", "b"}
+    for name, rows in (("a", a), ("b", b)):
+        alone = rc.run_recipe(rows, "v2", "mlp", name, 64).where("metric = 'roc_auc'").first().value
+        assert abs(auc[name] - alone) < 1e-6

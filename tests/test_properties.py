@@ -13,6 +13,7 @@ from notewise.functions.numeric import hash_unit
 from notewise.operators import cohort as co
 from notewise.operators import metrics as me
 from notewise.operators import models as mo
+from notewise.operators import profile as pr
 from notewise.operators import sampling as sa
 from notewise.operators import smote as sm
 from notewise.operators.ranking import running_totals
@@ -229,18 +230,14 @@ def test_path_attribution_sums_to_margin(spark):
 
 # --- sources ----------------------------------------------------------------
 
-def test_csv_scan_with_schema(spark, tmp_path):
+def test_csv_scan_by_header(spark, tmp_path):
     p = tmp_path / "notes.csv"
-    p.write_text('ROW_ID,SUBJECT_ID,CHARTTIME,TEXT\n1,10,x,"line one\nline ""two"""\n2,11,y,plain\n')
-    df = io.scan_notes_csv(spark, str(p), _schema_with_chart())
-    rows = sorted(df.collect())
-    assert rows[0].text == 'line one\nline "two"' and rows[1].subject_id == 11
-
-
-def _schema_with_chart():
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField("ROW_ID", T.LongType()), T.StructField("SUBJECT_ID", T.LongType()),
-                         T.StructField("CHARTTIME", T.StringType()), T.StructField("TEXT", T.StringType())])
+    p.write_text('CHARTTIME,TEXT,ROW_ID,ISERROR,SUBJECT_ID\nx,"line one\nline ""two""",1,,10\ny,plain,2,,11\n')
+    rows = sorted(io.scan_notes_csv(spark, str(p)).collect())
+    assert rows[0].text == 'line one\nline "two"' and rows[1].subject_id == 11 and rows[0].note_id == 1
+    (tmp_path / "other.csv").write_text("A,B\n1,2\n")
+    with pytest.raises(ValueError, match="TEXT"):
+        io.scan_notes_csv(spark, str(tmp_path / "other.csv"))
 
 
 def test_partitioned_embeddings_prune(spark):
@@ -326,8 +323,109 @@ def test_running_totals_grouped_quantile_buckets(spark):
     rows = [(i % 3, k, 1) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "g int, k double, v long")
     got = {(r.g, r.k): r.cum_v for r in running_totals(df, "k", ["v"], ["g"], descending=True,
-                                                       group_buckets=8).collect()}
+                                                       n_buckets=8).collect()}
     for g in range(3):
         ks = sorted((k for gg, k, _ in rows if gg == g), reverse=True)
         for i, k in enumerate(ks):
             assert got[(g, k)] == i + 1
+
+
+# --- gaps, fractions, nulls -------------------------------------------------
+
+def test_bounded_cohort_counts_rows_not_keys(spark):
+    rows = [(i * 1000, i, "hit") for i in range(40)]
+    df = spark.createDataFrame(rows, "ord long, subject_id long, kind string")
+    got = co.cohort_match_bounded(df, F.col("kind") == "hit", chunk_size=10, k=12)
+    assert {r.subject_id: r.first_chunk for r in got.collect()} == {i: i // 10 for i in range(20)}
+
+
+def test_histogram_of_fractions(spark):
+    df = spark.createDataFrame([(i / 100,) for i in range(100)], "x double")
+    got = [r["count"] for r in pr.length_histogram(df, "x", 5).orderBy("bin").collect()]
+    want = np.histogram([i / 100 for i in range(100)], bins=5)[0].tolist()
+    assert sum(got) == 100 and max(abs(a - b) for a, b in zip(got, want)) <= 1
+
+
+def test_describe_matches_numpy(spark):
+    x = [random.Random(3).gauss(0, 5) for _ in range(1)] + [i * 0.37 % 7 for i in range(333)]
+    r = pr.describe_numeric(spark.createDataFrame([(v,) for v in x] + [(None,)], "x double"), "x").first()
+    assert r["count"] == len(x) and math.isclose(r["std"], np.std(x, ddof=1), rel_tol=1e-9)
+    for name, q in (("p25", 25), ("p50", 50), ("p75", 75)):
+        assert math.isclose(r[name], np.percentile(x, q), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_null_groups_and_classes_are_kept(spark):
+    rows = [(g, s / 10, s % 2) for g in ("a", None) for s in range(10)]
+    df = spark.createDataFrame(rows, "g string, score double, y int")
+    auc = me.roc_auc(me.pr_curve(df, group_cols=["g"]), ["g"])
+    assert {r.g for r in auc.collect()} == {"a", None}
+    ev = me.evaluate(df, group_cols=["g"])
+    assert {r.g for r in ev.select("g").distinct().collect()} == {"a", None}
+    classes = spark.createDataFrame([(i, None if i < 50 else 1) for i in range(100)], "note_id long, y int")
+    parts = sa.split_stratified(classes, "note_id", "y", 0.2).groupBy("y", "split").count().collect()
+    assert {(r.y, r.split): r["count"] for r in parts} == {
+        (None, "test"): 10, (None, "train"): 40, (1, "test"): 10, (1, "train"): 40}
+
+
+def test_counts_at_the_best_threshold(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(round(rnd.random(), 1), int(rnd.random() < 0.4)) for _ in range(300)], "score double, y int")
+    curve = me.pr_curve(df)
+    t = me.best_threshold(curve).first().threshold
+    got = me.counts_at_best(curve).first().asDict()
+    want = me.confusion_matrix(me.classify(df, F.lit(t))).first().asDict()
+    assert got == want
+
+
+def test_undersampling_reads_the_split_once(spark):
+    rows = [(i, int(i % 5 == 0), "train" if i < 100 else "val") for i in range(150)]
+    df = spark.createDataFrame(rows, "note_id long, y int, split string")
+    got = sa.undersample_majority(df, "note_id", "y").groupBy("split", "y").count().collect()
+    assert {(r.split, r.y): r["count"] for r in got} == {("train", 0): 20, ("train", 1): 20, ("val", 0): 40, ("val", 1): 10}
+
+
+def test_smote_edge_cases(spark):
+    one = spark.createDataFrame([(1, 1, [0.0, 1.0])] + [(i, 0, [1.0, float(i)]) for i in range(2, 6)],
+                                "note_id long, y int, embedding array<double>")
+    with pytest.raises(ValueError, match="two minority rows"):
+        sm.smote_balance(one, minority=1)
+    big = spark.createDataFrame([(10 ** 15 + i, int(i < 2), [float(i), 1.0]) for i in range(8)],
+                                "note_id long, y int, embedding array<double>")
+    out = sm.smote_balance(big, minority=1).collect()
+    assert len({r.note_id for r in out}) == 12 and sum(r.y for r in out) == 6
+
+
+def test_early_stopping_rule(spark):
+    assert mo.best_round([3, 2, 1, 2, 3, 4], 3) == (3, True)
+    assert mo.best_round([3, 2, 1, 2], 3) == (3, False)
+    assert mo.best_round([1.0], 5) == (1, False)
+
+
+def test_early_stopping_keeps_the_best_prefix(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(400):
+        x = [rnd.gauss(0, 1) for _ in range(4)]
+        rows.append((i, int(x[0] + x[1] + rnd.gauss(0, 0.5) > 0), x))
+    d = mo.with_features(spark.createDataFrame(rows, "note_id long, y int, embedding array<double>")).coalesce(1)
+    train, held = d.where("note_id < 300").cache(), d.where("note_id >= 300").cache()
+    model = mo.train_gbt_early(train, held, max_iter=60, patience=5, max_depth=3, step_size=0.3)
+    assert 1 < model.getNumTrees < 60
+    whole = mo.train_gbt(train, max_iter=model.getNumTrees, max_depth=3, step_size=0.3)
+    score = lambda m: [r.score for r in mo.predict_score(m, held).orderBy("note_id").collect()]
+    assert np.allclose(score(model), score(whole))
+
+    def auc(m):
+        return me.roc_auc(me.pr_curve(mo.predict_score(m, held))).first().roc_auc
+    assert auc(model) >= auc(mo.first_trees(whole, 1, spark))
+
+
+def test_null_text_and_named_categories(spark):
+    from notewise.operators import features as fe
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "")], "note_id long, text string")
+    for encoder in (fe.hashed_tfidf, fe.hashed_vectors):
+        got = {r.note_id: r.embedding for r in encoder(docs, dim=16).collect()}
+        assert set(got) == {1, 3} and len(got[3]) == 16 and not any(got[3])
+    side = spark.createDataFrame([([1.0], 40, "F"), ([1.0], None, "male"), ([1.0], 3, None)],
+                                 "embedding array<double>, age int, gender string")
+    assert [r.features for r in fe.fuse_features(side).collect()] == [[1.0, 40.0, 0.0], [1.0, 0.0, 1.0], [1.0, 3.0, -1.0]]
