@@ -13,31 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from notewise.llm import near_text, packing, quality, toxicity
 from notewise.llm.queries import BYTE_BPE
-from notewise.llm.staging import bound_batches, read_table, staged
+from notewise.llm.staging import prepare, read_table, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
-    bound_batches(spark)
+    prepare(spark)
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.filter_documents(docs, trusted)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not classed as toxic."""
-    bound_batches(spark)
+    prepare(spark)
     return toxicity.filter_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    bound_batches(spark)
+    prepare(spark)
     return near_text.drop_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences."""
-    bound_batches(spark)
+    prepare(spark)
     return packing.pack(docs, BYTE_BPE)
 
 

@@ -15,7 +15,8 @@ can reach that frequency; ``low`` is raised until this bound is at most
 
 A text with fewer than ``MIN_TERMS`` lexicon terms is fingerprinted by all its
 terms. ``likeness`` of two fingerprints is the largest share, over the rates,
-of equal parts among the parts in which either text has a term.
+of equal parts among the parts in which either text has a term, with one more
+part that differs (a rate with few parts says little); equal fingerprints have 1.
 
 Cases: null and empty texts have no terms and one common fingerprint, whose
 likeness to itself is 1 and to others 0; texts may be of any length; repeated
@@ -128,7 +129,7 @@ class Fingerprinter:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1; 1 for equal fingerprints."""
+    """0 to 1; 1 for equal fingerprints only."""
     if a == b:
         return 1.0
     best, none, at = 0.0, "-" * DIGITS, 0
@@ -140,8 +141,7 @@ def likeness(a: str, b: str) -> float:
                 used += 1
                 same += x == y
         at += k
-        if used >= 2:
-            best = max(best, same / used)
+        best = max(best, same / (used + 1))
     return best
 
 

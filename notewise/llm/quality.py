@@ -60,7 +60,7 @@ def symbols(data: np.ndarray, off: np.ndarray):
     code = np.zeros(len(cp), dtype=np.int64)
     for k in range(ORDER - 1, -1, -1):  # k symbols back
         back = np.full(len(cp), START, dtype=np.int64)
-        back[k:] = sym[:len(cp) - k] if k else sym
+        back[k:] = sym[:max(len(cp) - k, 0)]
         code = code << SYMBOL_BITS | np.where(place >= k, back, START)
     return code, at
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewise.session import scratch_path
+from notewise.session import scratch_path, ship_package
 
 
 #: Rows that Spark hands to a Python worker at a time. Spark's default (10,000) holds
@@ -14,14 +14,16 @@ BATCH_ROWS = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
+def prepare(spark: SparkSession) -> None:
+    """Before a query: the Python workers get this package, and the session's Arrow
+    batch size is lowered to BATCH_ROWS if it is larger."""
+    ship_package(spark)
     if int(spark.conf.get(_BATCH_KEY, "10000")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
