@@ -47,7 +47,7 @@ from notewise.llm.staging import id_and_text
 MARK = "▁"
 MAX_WORD = 512
 SHORT = 60  # words of up to so many characters keep their cuts in one integer
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 UNKNOWN = 10.0
 _USER_DEFINED = -1e8  # scores below are placeholders of user-defined pieces
 
