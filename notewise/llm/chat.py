@@ -134,8 +134,7 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     paths = F.map_keys("_r")
     for n in LISTS:
         inner = F.array_distinct(F.flatten(F.transform(F.col(f"_l_{n}"), lambda m: F.map_keys(m))))
-        paths = F.concat(paths, F.coalesce(F.transform(inner, lambda k, n=n: F.concat(F.lit(f"{n}[]."), k)),
-                                           F.array().cast("array<string>")))
+        paths = F.concat(paths, F.coalesce(F.transform(inner, _below(n)), F.array().cast("array<string>")))
     rows = rows.withColumn("_f", fingerprint(paths))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for lay in LAYOUTS:
@@ -147,6 +146,11 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return rows.select("conv_id", layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
+def _below(name: str):
+    """A field of a list's elements to its path."""
+    return lambda key: F.concat(F.lit(f"{name}[]."), key)
+
+
 def _by_number(name: str):
     def compare(a, b):
         x, y = F.coalesce(a[name].cast("double"), F.lit(0.0)), F.coalesce(b[name].cast("double"), F.lit(0.0))
