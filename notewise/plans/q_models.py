@@ -18,8 +18,9 @@ from notewise.operators import models as mo
 from notewise.operators.features import hashed_tfidf
 from notewise.plans import recipes as rc
 from notewise.plans.catalog import query
+from notewise.plans.q_cohort import COHORT_CTE, KEYWORDS, PREVALENCE
 from notewise.plans.q_sampling import STRAT_SQL, THREE_SQL, EMB_Y, _ranked_sql
-from notewise.sources.tables import document_notes, label_rows, table
+from notewise.sources.tables import conversation_notes, document_notes, label_rows, table
 
 N_FEATURES = 64
 RANDOM_SQL = (f"SELECT note_id, y, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split "
@@ -162,3 +163,23 @@ def q_experiment_grid(spark, sf):
         F.max(F.when(F.col("metric") == "threshold", F.col("value"))).alias("threshold"),
         F.min(F.when(~F.col("metric").isin("threshold", "support"), F.col("value").between(0, 1).cast("int"))).alias("in_range"))
     return support.join(others, cell)
+
+
+@query("notes_to_metrics", f"""
+{COHORT_CTE}, g AS ({_ranked_sql('SELECT subject_id, y FROM coh', 'subject_id', '')})
+SELECT CAST(g.y AS VARCHAR) AS class, CAST(COUNT(*) AS DOUBLE) AS support, CAST(0.3 AS DOUBLE) AS threshold, 1 AS in_range
+FROM conversations c JOIN g ON c.conv_id = g.subject_id WHERE rn <= round(n * 0.2) GROUP BY g.y""")
+def q_notes_to_metrics(spark, sf):
+    """From raw notes to metrics in one path (cohort, TF-IDF, two side columns, subject-level split, recipe v2):
+    the test notes of each class, the threshold, and whether all other metrics lie in [0, 1]."""
+    notes = conversation_notes(spark, sf)
+    notes = notes.select("subject_id", (F.col("subject_id") * 100_000 + F.col("note_id")).alias("note_id"), "text",
+                         F.col("note_id").cast("int").alias("turn"), "role")
+    m = rc.notes_to_metrics(notes, KEYWORDS, PREVALENCE, side_cols=("turn", "role"))
+    others = m.agg(
+        F.max(F.when(F.col("metric") == "threshold", F.col("value"))).alias("threshold"),
+        F.min(F.when(~F.col("metric").isin("threshold", "support"), F.col("value").between(0, 1).cast("int"))).alias("in_range"))
+    facts = others.select(F.struct("threshold", "in_range").alias("f")).scalar()
+    return (m.where(F.col("class").isin("0", "1") & (F.col("metric") == "support"))
+             .select("class", F.col("value").alias("support"), facts["threshold"].alias("threshold"),
+                     facts["in_range"].alias("in_range")))

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from notewise.operators import metrics as me
 from notewise.operators import models as mo
 from notewise.operators import sampling as sa
-from notewise.operators.features import class_weight_column
+from notewise.operators.cohort import case_control_cohort
+from notewise.operators.features import align_embeddings, class_weight_column, fuse_features, hashed_tfidf
 from notewise.operators.smote import smote_balance
 from notewise.session import materialize, scratch_path
 
@@ -196,3 +197,17 @@ def experiment_grid(encoders: dict[str, tuple[DataFrame, int]], gens=("v1", "v2"
     for c in cells[1:]:
         out = out.unionByName(done[c])
     return out
+
+
+def notes_to_metrics(notes: DataFrame, keywords, prevalence: float, gen: str = "v2", learner: str = "mlp",
+                     dim: int = 64, side_cols=(), seed: int = 42) -> DataFrame:
+    """The whole path: notes -> labelled cohort -> cleaned text -> vectors -> aligned by note with the
+    labels, fused with ``side_cols`` -> split by subject -> fitted -> metrics.
+
+    ``notes``: subject_id, note_id (unique over all notes), text and the side columns."""
+    cohort = materialize(case_control_cohort(notes, keywords, prevalence, seed))
+    vectors = hashed_tfidf(cohort, dim=dim)
+    labelled = align_embeddings(vectors, cohort.select("note_id", "subject_id", F.col("y").cast("int").alias("y"), *side_cols))
+    fused = fuse_features(labelled, "embedding", side_cols, "fused").select(
+        "note_id", "subject_id", "y", F.col("fused").alias("embedding"))
+    return run_recipe(fused, gen, learner, "hashed_tfidf", dim + len(side_cols), seed, group_col="subject_id")
