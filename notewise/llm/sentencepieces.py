@@ -49,6 +49,7 @@ MAX_WORD = 512
 SHORT = 60  # words of up to so many characters keep their cuts in one integer
 CHUNK_BYTES = 8 << 20
 UNKNOWN = 10.0
+_SLICE = 1 << 17  # bytes of text handled at a time (a task has two Python workers here)
 _USER_DEFINED = -1e8  # scores below are placeholders of user-defined pieces
 
 
@@ -173,7 +174,7 @@ def _asked(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for number, _, texts in _chunks(batches):
             seen = np.zeros(0, dtype=np.uint64)
-            for _, data, off in textbuf.slices(texts):
+            for _, data, off in textbuf.slices(texts, _SLICE):
                 units, starts, ends, _ = words(data, off, path)
                 h, at = np.unique(textbuf.span_hashes(units, starts, ends), return_index=True)
                 new = ~np.isin(h, seen, assume_unique=True)
@@ -328,7 +329,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         begin, size = begin[:-1][order].astype(np.int64), np.diff(begin)[order].astype(np.int64)
         for raw in bundle["bundle"].to_pylist():
             table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
-            for first, data, off in textbuf.slices(table["text"]):
+            for first, data, off in textbuf.slices(table["text"], _SLICE):
                 units, starts, ends, of_row = words(data, off, path)
                 key = textbuf.span_hashes(units, starts, ends)
                 at = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))

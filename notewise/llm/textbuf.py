@@ -33,8 +33,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^0.. and P^-0.., at least n of each; sizes are rounded up so that few are kept."""
-    size = 1 << max(20, int(n).bit_length())
-    return _powers(size)
+    bits = max(18, int(n).bit_length())
+    return _powers(1 << bits + bits % 2)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
