@@ -60,8 +60,8 @@ def op1_toxicity(spark, sf_dir):
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark, sf_dir):
     """Every document's piece ids, and the digest of the text that they decode to."""
-    encoded = sentencepieces.encode(read_table(spark, sf_dir, "documents"), PIECES)
-    return sentencepieces.decode(encoded, PIECES).select(
+    encoded = sentencepieces.encode(read_table(spark, sf_dir, "documents"), PIECES, decoded=True)
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
 
 

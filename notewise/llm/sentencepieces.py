@@ -301,8 +301,18 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
     return fold(lattice(distinct, pieces, to_byte, unknown, longest))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids of each row."""
+def texts_of(ids: np.ndarray, edge: np.ndarray, path: str) -> list[str]:
+    """The texts of runs of ids (run i is ids[edge[i]:edge[i + 1]])."""
+    flat, starts = piece_bytes(path)
+    size = starts[ids + 1] - starts[ids]
+    data = flat[textbuf.ragged(starts[ids], size)].tobytes()
+    upto = np.concatenate([[0], np.cumsum(size)])[edge]
+    return [data[x:y].decode("utf-8", "replace")[1:] for x, y in zip(upto[:-1], upto[1:])]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids of each row; with ``decoded`` also the text that the ids decode to
+    (as :func:`decode` would add it, without another Python worker per task)."""
     rows = id_and_text(docs, id_col, text_col)
     asked = _asked(rows, path).repartition("h")
     answers = asked.select("chunk", "h").join(encode_words(asked, path), "h").select("chunk", "h", "ids")
@@ -318,7 +328,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                                              names=["chunk", "bundle"])
 
     def assemble(bundle: pa.Table, answer: pa.Table) -> pa.Table:
-        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
+        none = {"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}
+        out = [pa.table(none | ({"text": pa.array([], pa.string())} if decoded else {}))]
         h = answer["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
         h = h[order]
@@ -338,12 +349,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = flat[textbuf.ragged(begin[at], size[at])] if len(key) else np.zeros(0, np.int32)
                 upto = np.concatenate([[0], np.cumsum(size[at])]) if len(key) else np.zeros(1, np.int64)
                 offsets = pa.array(upto[of_row].astype(np.int32))
-                out.append(pa.table({"doc_id": table["doc_id"].slice(first, len(off) - 1),
-                                     "ids": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))}))
+                rows = {"doc_id": table["doc_id"].slice(first, len(off) - 1),
+                        "ids": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))}
+                if decoded:
+                    rows["text"] = pa.array(texts_of(ids.astype(np.int64), upto[of_row], path), pa.string())
+                out.append(pa.table(rows))
         return pa.concat_tables(out)
 
     packed = rows.mapInArrow(bundles, "chunk long, bundle binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        assemble, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", name: str = "text") -> DataFrame:
@@ -352,15 +367,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", name: str = "tex
     kinds = [*encoded.columns, name]
 
     def run(batches):
-        flat, starts = piece_bytes(path)
         for b in batches:
             lists = b.column(at)
-            ids, edge = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()
-            edge = edge - edge[0]
-            size = starts[ids + 1] - starts[ids]
-            data = flat[textbuf.ragged(starts[ids], size)].tobytes()
-            upto = np.concatenate([[0], np.cumsum(size)])[edge]
-            text = [data[x:y].decode("utf-8", "replace")[1:] for x, y in zip(upto[:-1], upto[1:])]
+            edge = lists.offsets.to_numpy()
+            text = texts_of(lists.flatten().to_numpy().astype(np.int64), edge - edge[0], path)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=kinds)
 
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + f", `{name}` string")
