@@ -17,11 +17,10 @@ most ``shard_rows`` rows is broadcast at a time and adds its part of each
 document's log probability.
 
 A document's perplexity is exp(-(sum + PRIOR * mean) / (symbols + PRIOR)), drawn
-towards its language's mean where there is little text. Its threshold is
-``spread`` times further from the median of its language's trusted rows than
-their ``quantile`` is, in log perplexity; those rows (one in ``folds``, by
-hash) are not trained on. Every threshold is such a quantile; languages with
-fewer than ``least`` of them use that of all languages.
+towards its language's mean where there is little text. Its threshold is the
+``quantile`` of the log perplexities of its language's trusted rows; those rows
+(one in ``folds``, by hash) are not trained on. Languages with fewer than
+``least`` of them use the quantile of all languages.
 
 Cases: null and empty texts have a null perplexity and are kept, since nothing
 speaks against them; a null language is a language of its own; with no trusted
@@ -267,7 +266,7 @@ def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           quantile: float = 0.95, spread: float = 5.0, folds: int = 10, least: int = 30) -> tuple[DataFrame, str, str]:
+           quantile: float = 0.995, folds: int = 10, least: int = 30) -> tuple[DataFrame, str, str]:
     """``docs`` with log perplexity and its threshold added; the names of the two columns follow.
 
     ``trusted_ids``: one column of the ids of trusted rows."""
@@ -289,9 +288,8 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     met = both.join(F.broadcast(means), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("all") == F.col("_all")))
     log_ppl = -(F.col(total) + PRIOR * F.col("mean")) / (F.col(size) + PRIOR)
     marks = met.groupBy("lang", "all", "mean", "rows").agg(
-        F.percentile_approx(log_ppl, [0.5, quantile], 10_000).alias("q"))
-    limits = marks.select("lang", "all", "mean", "rows", (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
-    limits = staged(limits.coalesce(1), "quality-limits")
+        F.percentile_approx(log_ppl, quantile, 10_000).alias("limit"))
+    limits = staged(marks.coalesce(1), "quality-limits")
     general = limits.where("all").first()
     own = limits.where(~F.col("all") & (F.col("rows") >= least)).select(
         F.col("lang").alias("_lang"), F.col("mean").alias("_mean"), F.col("limit").alias("_limit"))

@@ -497,3 +497,20 @@ def test_junk_goes_and_clean_text_stays(spark):
     clean = [got[r.doc_id] for r in known if r.quality == 1]
     junk = [got[r.doc_id] for r in known if r.quality == 0]
     assert sum(clean) / len(clean) > 0.99 and sum(junk) / len(junk) < 0.35
+
+
+def test_threshold_is_a_quantile_of_held_out_trusted_rows(spark):
+    docs, labels = (staging.read_table(spark, SF01, t) for t in ("documents", "labels"))
+    out = quality.classify(docs, labels.where("quality = 1").select("doc_id"), least=5)
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(10)) == 0
+    rows = out.join(labels.select("doc_id", "quality"), "doc_id").withColumn("held", held).where("perplexity is not null").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        if r.held and r.quality == 1:
+            by[r.lang].append(r)
+    own = [x for x in by.values() if len(x) >= 5]
+    assert own
+    for x in own:  # fewer than 200 rows: the 0.995 quantile is the largest
+        assert math.isclose(x[0].threshold, max(r.perplexity for r in x), rel_tol=1e-6)
+    junk = [r.kept for r in rows if r.quality == 0]
+    assert sum(junk) / len(junk) < 0.05
