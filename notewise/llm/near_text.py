@@ -9,10 +9,12 @@ on, each as its smallest id.
 A class's sketch has ``REGISTERS`` registers: a digest's top bits pick the
 register, and the smallest of the other bits is kept there as its number of
 leading zeros and its next ``MANTISSA`` bits, 16 bits in all. Registers that no
-digest reached borrow one by fixed random choices, so small sets fill every
-register. ``BANDS`` bands of ``ROWS`` registers each give the candidate
-groups: two sets of Jaccard similarity 0.75 share no band with probability
-(1 - 0.75^4)^32 = 5e-6.
+digest reached borrow one by fixed random choices of their own, so small sets
+fill every register. ``BANDS`` bands of ``ROWS`` registers each give the candidate
+groups: two large sets of Jaccard similarity 0.75 share no band with probability
+(1 - 0.75^4)^32 = 5e-6, smaller ones somewhat more often, as elements meet in a
+register (of 100,000 random pairs each, 2 of 12 and 9 elements, 1 of 20 and 15
+and 0 of 100 and 75 shared none; the estimate below dropped no other).
 
 In each group the similarity of the members is estimated from the share of
 equal registers, corrected for equal registers of different elements; members
@@ -21,6 +23,13 @@ below 0.75) leave. The others' full sets are compared as bit sets, exactly:
 linked if 100 * intersection >= 75 * union. A group yields only a spanning
 forest of its links; components follow from all forests.
 
+Sets of up to ``FEW`` elements are not sketched but met exactly: sets A and B are
+linked if and only if the size of C = A & B is at least 3/7 of |A| + |B|, so C
+has all but a quarter of either's elements. Each set gives all such subsets of
+itself (37 at most; sets of 9 and 10 give those that a set of ``FEW`` can hold).
+Of the sets that give C, whichever link through C link with the smallest one,
+so a star around it yields all their components.
+
 Cases: null texts are empty; texts without words have an empty set and link
 with nothing; texts may be of any length; repeated rows get the same answer;
 a null id links with nothing and is kept; an empty table gives no rows; other
@@ -29,6 +38,9 @@ columns are not read (``drop_copies`` passes them through).
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,11 +57,16 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 ESTIMATE = 0.5
 LEAST = 75  # per cent
+FEW = 8
+#: Size of the largest set that links with one of FEW.
+FEW_PARTNER = FEW * 100 // LEAST
 #: Chance that two different elements leave equal registers: a third of 2^-MANTISSA.
 COLLISION = 1 / (3 * (1 << MANTISSA))
 _U = np.uint64
 #: Register that an empty register asks in its n-th try.
 TRIES = (textbuf.mix(np.arange(REGISTERS * 64, dtype=_U) + _U(12345)) >> _U(64 - REGISTER_BITS)).astype(np.int64).reshape(64, REGISTERS)
+#: Order in which a register (row) asks the full ones if all tries fail: the lowest first.
+LAST_ORDER = textbuf.mix(np.arange(REGISTERS * REGISTERS, dtype=_U) + _U(1 << 32)).reshape(REGISTERS, REGISTERS)
 
 
 def shingle_sets(col):
@@ -98,7 +115,9 @@ def sketch(elements: np.ndarray) -> np.ndarray:
             empty = empty[~hit]
             if not len(empty):
                 break
-        source[empty] = np.flatnonzero(full)[0]  # after 64 tries: the first that is full
+        if len(empty):  # after 64 tries: each by an order of its own among all that are full
+            there = np.flatnonzero(full)
+            source[empty] = there[LAST_ORDER[np.ix_(empty, there)].argmin(axis=1)]
         reg = reg[source]
     return reg
 
@@ -145,22 +164,74 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _marks(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each digest, whose sums stand for a set."""
+    return textbuf.mix(elements ^ _U(0x5DEECE66D)), textbuf.mix(elements + _U(0x2545F4914F6CDD1D))
+
+
+@lru_cache(maxsize=None)
+def subset_masks(n: int) -> np.ndarray:
+    """(subsets, n) of 0 and 1: the subsets of a set of n that can be what it shares with a
+    linked set, where one of the two has up to FEW elements."""
+    sizes = range(-(-LEAST * n // 100), min(n, FEW) + 1)
+    picks = [c for k in sizes for c in combinations(range(n), k)]
+    out = np.zeros((len(picks), n), dtype=_U)
+    for row, c in zip(out, picks):
+        row[list(c)] = 1
+    return out
+
+
+def _subsets(classes: DataFrame) -> DataFrame:
+    """(shared, k1, k2, n, id): every subset that a class of few elements may share with a linked one."""
+
+    def run(batches):
+        for b in batches:
+            size, ids = b.column(1).to_numpy(), b.column(0).to_numpy()
+            raw = b.column(2).to_pylist()
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                sets = np.frombuffer(b"".join(raw[i] for i in at), dtype=_U).reshape(-1, n)
+                masks = subset_masks(n)
+                a, c = ((m @ masks.T).ravel().view(np.int64) for m in _marks(sets))
+                shared = masks.sum(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(shared, len(at))), pa.array(a), pa.array(c), pa.array(np.full(len(a), n, dtype=np.int32)),
+                     pa.array(np.repeat(ids[at], len(masks)))], names=["shared", "k1", "k2", "n", "id"])
+
+    few = classes.where("few is not null").select("id", "n", "few")
+    return few.mapInArrow(run, "shared int, k1 long, k2 long, n int, id long")
+
+
+def few_links(classes: DataFrame) -> DataFrame:
+    """(a, b): for every subset, links of the smallest class that gives it with the others that do."""
+    given = _subsets(classes)
+    key = ["shared", "k1", "k2"]
+    hubs = (given.groupBy(*key).agg(F.min(F.struct("n", "id")).alias("hub"), F.count(F.lit(1)).alias("members"))
+            .where("members > 1").drop("members"))
+    linked = (100 + LEAST) * F.col("shared") >= LEAST * (F.col("n") + F.col("hub.n"))
+    return (given.join(hubs, key).where(linked & (F.col("id") != F.col("hub.id")))
+            .select(F.col("hub.id").alias("a"), F.col("id").alias("b")))
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2, registers) of rows of (doc_id, text)."""
+    """(doc_id, n, d1, d2, registers, few) of rows of (doc_id, text); registers of sets of
+    over FEW elements, few: the digests of sets of up to FEW_PARTNER."""
 
     def run(batches):
         for b in batches:
-            n, d1, d2, regs = [], [], [], []
+            n, d1, d2, regs, few = [], [], [], [], []
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
-                d1.append(int(textbuf.mix(s ^ _U(0x5DEECE66D)).sum(dtype=_U).astype(np.int64)))
-                d2.append(int(textbuf.mix(s + _U(0x2545F4914F6CDD1D)).sum(dtype=_U).astype(np.int64)))
-                regs.append(sketch(s).tobytes() if len(s) else None)
+                a, c = _marks(s)
+                d1.append(int(a.sum(dtype=_U).astype(np.int64)))
+                d2.append(int(c.sum(dtype=_U).astype(np.int64)))
+                regs.append(sketch(s).tobytes() if len(s) > FEW else None)
+                few.append(s.tobytes() if 0 < len(s) <= FEW_PARTNER else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(regs, pa.binary())], names=["doc_id", "n", "d1", "d2", "registers"])
+                 pa.array(regs, pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "n", "d1", "d2", "registers", "few"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, registers binary")
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, registers binary, few binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -226,8 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = id_and_text(docs, id_col, text_col)
     signed = staged(signatures(rows), "near-signatures")
     classes = staged(signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
-                     .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "near-classes")
-    bands = _bands(classes)
+                     .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"),
+                          F.first("few").alias("few")), "near-classes")
+    bands = _bands(classes.where(F.col("n") > FEW))
     kept = groups.distinct_groups(bands, ["band", "key"])
     members = bands.join(kept, ["band", "key"]).select("bucket", "n", "id")
     members = groups.in_blocks(members.join(classes.select("id", "registers"), "id"))
@@ -235,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = staged(likely.select("id").distinct(), "near-ids")
     elements = _elements(groups.only(rows, ids, "doc_id").dropDuplicates(["doc_id"]))
     met = groups.meet(likely.join(elements, "id").select("bucket", "lo", "hi", "side", "id", "elements"))
-    links = groups.components(_links(met), "near-components")
+    links = groups.components(_links(met).unionByName(few_links(classes)), "near-components")
     of_class = classes.join(links, "id", "left").select(
         "n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(of_class, ["n", "d1", "d2"], "left")

@@ -426,6 +426,36 @@ def test_components_equal_brute_force(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i)
 
 
+def test_no_link_of_short_texts_is_lost(spark):
+    """Pairs at Jaccard 0.75 or little more (words i to j of a text of their own), and one just below."""
+    staging.prepare(spark)
+    kinds = [((0, 8), (0, 7), True), ((0, 12), (0, 10), True), ((0, 11), (1, 12), True), ((0, 14), (0, 12), True),
+             ((0, 13), (0, 12), True), ((0, 10), (1, 11), False), ((0, 7), (0, 6), False)]
+    rows = []
+    for i in range(3000):
+        words = [f"{i}w{k}" for k in range(20)]
+        for side in (0, 1):
+            for kind, spans in enumerate(kinds):
+                rows.append((100 * i + 2 * kind + side, " ".join(f"{kind}{w}" for w in words[slice(*spans[side])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_text.near_duplicates(df).collect()}
+    for i in range(3000):
+        for kind, (_, _, linked) in enumerate(kinds):
+            at = 100 * i + 2 * kind
+            assert (got[at], got[at + 1]) == (at, at if linked else at + 1), (i, kind)
+
+
+def test_empty_registers_borrow_on_their_own():
+    rng = np.random.default_rng(6)
+    lost = 0
+    for _ in range(3000):
+        a = np.sort(rng.integers(0, 2 ** 63, 4, dtype=np.uint64) * np.uint64(2))
+        both = np.stack([near_text.sketch(a), near_text.sketch(np.delete(a, rng.integers(4)))])
+        keys = near_text.band_keys(both)
+        lost += not (keys[0] == keys[1]).any() or near_text.estimates(both)[0, 1] < near_text.ESTIMATE
+    assert lost <= 1
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     for share in (0.5, 0.75, 0.9):
