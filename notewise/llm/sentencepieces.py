@@ -3,8 +3,7 @@
 A text is escaped as SentencePiece does (one space is put before it, spaces
 become the word mark) and cut into words between any two characters that no
 piece holds side by side (a letter and the next word's mark, for one): no piece
-can cross such a place, so words are encoded one by one. A word of over
-``MAX_WORD`` characters without one is cut into runs of that many.
+can cross such a place, so words are encoded one by one, however long.
 
 Documents are dealt into chunks (runs of rows of an input split, about
 ``CHUNK_BYTES`` of text). Each chunk asks for its distinct words once. The
@@ -20,7 +19,11 @@ piece is longer; an unknown character costs ``UNKNOWN`` below the lowest score.
 BPE: its scores are merge ranks, whose sums mean nothing, so Viterbi would not
 give the model's ids; there the fold takes, step by step, the edge of the best
 score (of equal ones the leftmost) that joins two neighbours, until none does.
-A character that no piece holds becomes its byte pieces.
+A character that no piece holds becomes its byte pieces. The lattice's folds cost
+the square of a word's length, so distinct words of over ``MAX_WORD`` characters
+(without a cut place) are not asked for: the task that puts a chunk's ids
+together folds them to the same answer by a heap of joins, or by Viterbi over
+lists, in memory that grows with the longest word.
 
 ``docs`` must deal the same rows to the same partition whenever it is run, as
 a table scan does; a word without an answer raises an error.
@@ -32,6 +35,8 @@ one by one; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +50,7 @@ from notewise.llm import textbuf
 from notewise.llm.staging import id_and_text
 
 MARK = "▁"
-MAX_WORD = 512
+MAX_WORD = 512  # longer words are folded outside the lattice
 SHORT = 60  # words of up to so many characters keep their cuts in one integer
 CHUNK_BYTES = 8 << 20
 UNKNOWN = 10.0
@@ -130,10 +135,6 @@ def words(data: np.ndarray, off: np.ndarray, path: str):
     begin[1:] = ~held
     begin[new[:-1][full]] = True
     starts = np.flatnonzero(begin)
-    long = np.flatnonzero(np.diff(np.append(starts, len(units))) > MAX_WORD)
-    if len(long):
-        ends = np.append(starts[1:], len(units))
-        starts = np.sort(np.concatenate([starts, *(np.arange(starts[i] + MAX_WORD, ends[i], MAX_WORD) for i in long)]))
     ends = np.append(starts[1:], len(units))
     return units, starts, ends, np.searchsorted(starts, new)
 
@@ -169,13 +170,15 @@ def _chunks(batches):
 
 
 def _asked(rows: DataFrame, path: str) -> DataFrame:
-    """(chunk, h, word): each chunk's distinct words."""
+    """(chunk, h, word): each chunk's distinct words of up to MAX_WORD characters."""
 
     def run(batches):
         for number, _, texts in _chunks(batches):
             seen = np.zeros(0, dtype=np.uint64)
             for _, data, off in textbuf.slices(texts, _SLICE):
                 units, starts, ends, _ = words(data, off, path)
+                short = ends - starts <= MAX_WORD
+                starts, ends = starts[short], ends[short]
                 h, at = np.unique(textbuf.span_hashes(units, starts, ends), return_index=True)
                 new = ~np.isin(h, seen, assume_unique=True)
                 h, at = h[new], at[new]
@@ -291,6 +294,87 @@ def is_bpe(path: str) -> bool:
     return proto.trainer_spec.model_type == proto.trainer_spec.BPE
 
 
+# ---- words of over MAX_WORD characters
+
+@lru_cache(maxsize=2)
+def piece_scores(path: str) -> tuple[dict, list[int], float]:
+    """piece -> (score, id), and the ids and the score of :func:`piece_table`."""
+    sp = model(path)
+    table, to_byte, lowest = {}, [sp.unk_id()] * 256, 0.0
+    for i in range(sp.get_piece_size()):
+        if sp.is_byte(i):
+            to_byte[int(sp.id_to_piece(i)[1:-1], 16)] = i
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            score = float(sp.get_score(i))
+            table[sp.id_to_piece(i)] = score, i
+            lowest = min(lowest, score) if score > _USER_DEFINED else lowest
+    return table, to_byte, lowest - UNKNOWN
+
+
+def _ids_of(word: str, edges, table: dict, to_byte: list[int]) -> list[int]:
+    ids = []
+    for a, b in edges:
+        known = table.get(word[a:b])
+        ids.extend([known[1]] if known else [to_byte[x] for x in word[a:b].encode()])
+    return ids
+
+
+def merged_long(word: str, table: dict, to_byte: list[int]) -> list[int]:
+    """As :func:`merged_path`: the join of the best score, of equal ones the leftmost, until there is none."""
+    n, longest = len(word), max(map(len, table))
+    end = list(range(1, n + 1))  # end of the piece that starts here; 0 once it is joined to the one before
+    before = list(range(-1, n - 1))  # start of the piece before
+    heap = []
+
+    def offer(a, b, c):  # the pieces a to b and b to c
+        known = table.get(word[a:c]) if c - a <= longest else None
+        if known:
+            heapq.heappush(heap, (-known[0], a, b, c))
+
+    for a in range(n - 1):
+        offer(a, a + 1, a + 2)
+    while heap:
+        _, a, b, c = heapq.heappop(heap)
+        if end[a] != b or end[b] != c:
+            continue
+        end[a], end[b] = c, 0
+        if c < n:
+            before[c] = a
+            offer(a, c, end[c])
+        if a:
+            offer(before[a], a, c)
+    edges, at = [], 0
+    while at < n:
+        edges.append((at, end[at]))
+        at = end[at]
+    return _ids_of(word, edges, table, to_byte)
+
+
+def best_long(word: str, table: dict, to_byte: list[int], unknown: float) -> list[int]:
+    """As :func:`best_path`: Viterbi; of equal paths the one whose last piece is longer."""
+    n, longest = len(word), max(map(len, table))
+    score, start = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    for e in range(1, n + 1):
+        for s in range(max(0, e - longest), e):
+            known = table.get(word[s:e])
+            if known or e - s == 1:
+                way = score[s] + (known[0] if known else unknown)
+                if way > score[e]:
+                    score[e], start[e] = way, s
+    edges, at = [], n
+    while at:
+        edges.append((start[at], at))
+        at = start[at]
+    return _ids_of(word, edges[::-1], table, to_byte)
+
+
+def long_answers(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str, bpe: bool) -> list[np.ndarray]:
+    """The ids of the word spans, folded one by one."""
+    table, to_byte, unknown = piece_scores(path)
+    texts = (w.replace(" ", MARK) for w in spelled(units, starts, ends).to_pylist())
+    return [np.array(merged_long(w, table, to_byte) if bpe else best_long(w, table, to_byte, unknown), dtype=np.int32) for w in texts]
+
+
 def encode_words(asked: DataFrame, path: str) -> DataFrame:
     """(h, ids) of the distinct words of (h, word); rows of a word stay in one partition."""
     pieces, to_byte, unknown = piece_table(asked.sparkSession, path)
@@ -314,6 +398,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, ids of each row; with ``decoded`` also the text that the ids decode to
     (as :func:`decode` would add it, without another Python worker per task)."""
     rows = id_and_text(docs, id_col, text_col)
+    bpe = is_bpe(path)
     asked = _asked(rows, path).repartition("h")
     answers = asked.select("chunk", "h").join(encode_words(asked, path), "h").select("chunk", "h", "ids")
 
@@ -343,6 +428,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for first, data, off in textbuf.slices(table["text"], _SLICE):
                 units, starts, ends, of_row = words(data, off, path)
                 key = textbuf.span_hashes(units, starts, ends)
+                long = np.flatnonzero(ends - starts > MAX_WORD)
+                new, one = np.unique(key[long], return_index=True)
+                one = long[one[~np.isin(new, h)]]
+                if len(one):  # the chunk's longer words, each folded once
+                    found = long_answers(units, starts[one], ends[one], path, bpe)
+                    more = np.array([len(x) for x in found], dtype=np.int64)
+                    h = np.concatenate([h, key[one]])
+                    begin = np.concatenate([begin, len(flat) + np.cumsum(more) - more])
+                    size, flat = np.concatenate([size, more]), np.concatenate([flat, *found])
+                    order = np.argsort(h)
+                    h, begin, size = h[order], begin[order], size[order]
                 at = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))
                 if len(key) and (not len(h) or (h[at] != key).any()):
                     raise ValueError("a word has no answer: the input's partitions differ between two runs")

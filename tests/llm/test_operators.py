@@ -121,8 +121,32 @@ def test_sentencepiece_equals_the_library(spark):
     assert len(got) == len(texts) + 2 and got[len(texts)].ids == [] and got[len(texts) + 1].text == ""
     for i, t in enumerate(texts):
         assert got[i].text == t
-        if "x" * 600 not in t:  # runs of over MAX_WORD characters are cut
-            assert got[i].ids == sp.encode(t), t
+        assert got[i].ids == sp.encode(t), t
+
+
+def test_long_words_equal_the_library(spark):
+    staging.prepare(spark)
+    rnd = random.Random(9)
+    letters = lambda some, n: "".join(rnd.choice(some) for _ in range(n))
+    texts = ["x" * 3000, "-" * 2000, "=" * 2000, letters("acgt", 20_000), " " * 5000, "a " * 40 + "-" * 513 + "é文😀" * 300]
+    docs = staging.staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "sp-long")
+    got = {r.doc_id: r for r in sentencepieces.encode(docs, Q.PIECES, decoded=True).collect()}
+    sp = sentencepieces.model(Q.PIECES)
+    for i, t in enumerate(texts):
+        assert got[i].ids == sp.encode(t) and got[i].text == t, t[:20]
+
+
+def test_folds_of_long_words_equal_the_lattice(spark):
+    rnd = random.Random(10)
+    table, to_byte, unknown = sentencepieces.piece_scores(Q.PIECES)
+    pieces, same_bytes, same_unknown = sentencepieces.piece_table(spark, Q.PIECES)
+    assert (to_byte, unknown) == (same_bytes, same_unknown)
+    words = ["".join(rnd.choice("thean-=é文▁") for _ in range(rnd.randint(1, 90))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(words)), "h long, word string")
+    edges = sentencepieces.lattice(rows, pieces, to_byte, unknown, max(map(len, table))).cache()
+    for fold, plain in ((sentencepieces.merged_path, lambda w: sentencepieces.merged_long(w, table, to_byte)),
+                        (sentencepieces.best_path, lambda w: sentencepieces.best_long(w, table, to_byte, unknown))):
+        assert {r.h: r.ids for r in fold(edges).collect()} == dict(enumerate(map(plain, words)))
 
 
 def test_viterbi_fold_equals_a_plain_one(spark):
