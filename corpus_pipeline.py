@@ -49,7 +49,8 @@ STAGES = [
 ]
 
 #: The first, second and last stage (fitted models, a tokenizer) can't be said in SQL;
-#: tests/llm/test_pipeline.py holds run() against a plain version.
+#: tests/llm/test_registry.py holds each stage's kept ids against its operator (itself tested
+#: in test_operators.py) and run() against the last stage's ids. No plain version of run() is built.
 ORACLE_SQL = None
 
 
