@@ -15,7 +15,7 @@ QUERIES, ORACLES = catalog.load()
 def test_one_query_per_operator():
     import __spark_entry__
     numbers = collections.Counter(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == {n: 1 for n in range(1, 11)}
+    assert numbers == {n: 1 for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
