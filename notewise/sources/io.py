@@ -1,9 +1,10 @@
 """Scans and sinks.
 
 * Raw note CSV is read by its header: the file's columns are strings, in its own
-  order, and the three that are needed are cast (no inference pass). A quoted
-  multi-line CSV cannot be split, so it should be landed once as Parquet with
-  :func:`land_notes` and every later step reads the Parquet copy.
+  order, and the three that are needed are cast (no inference pass). Fields may
+  hold line breaks; one file is still read by many tasks
+  (:mod:`notewise.sources.csv_ranges`). Later steps should read the Parquet copy
+  that :func:`land_notes` writes.
 * Sinks never overwrite the path they read from: each write goes to a new
   path (under ``spark.checkpoint.dir`` by default) and the reader gets a fresh
   DataFrame over it.
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.session import scratch_path
+from notewise.sources import csv_ranges
 
 # Columns of the raw note export that the build reads, by name; all others
 # (chart/store times, caregiver, error flag) are dropped.
@@ -31,18 +33,23 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
-def scan_notes_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def scan_notes_csv(spark: SparkSession, path: str, multiline: bool = True, parallel: bool = True) -> DataFrame:
     """Raw note CSV -> subject_id, note_id, text.
 
     The header names the columns, in any order and among any others; only the
     head of a file is read for it. Without ``inferSchema`` every column is a
-    string, and the parser's column pruning skips those that aren't selected."""
-    raw = (spark.read.option("header", True).option("multiLine", multiline)
-           .option("quote", '"').option("escape", '"').csv(path))
-    named = {c.strip().upper(): c for c in raw.columns}
+    string, and the parser's column pruning skips those that aren't selected.
+
+    A file with line breaks in fields is read in byte ranges by quote parity;
+    ``parallel=False`` reads it with Spark's multi-line reader, one task a file
+    (for files whose quotes don't come in pairs), ``multiline=False`` line by line."""
+    reader = (spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"'))
+    names = csv_ranges.columns_of(spark, path) if multiline and parallel else reader.csv(path).columns
+    named = {c.strip().upper(): c for c in names}
     missing = [c for c in NOTE_CSV_COLUMNS if c not in named]
     if missing:
         raise ValueError(f"the export has no column {', '.join(missing)}")
+    raw = csv_ranges.read_csv(spark, path) if multiline and parallel else reader.csv(path)
     return raw.select(F.col(f"`{named['SUBJECT_ID']}`").cast("long").alias("subject_id"),
                       F.col(f"`{named['ROW_ID']}`").cast("long").alias("note_id"),
                       F.col(f"`{named['TEXT']}`").alias("text"))
@@ -98,9 +105,19 @@ def scan_embeddings(spark: SparkSession, path: str, encoder: str | None = None)
     return df.where(F.col("encoder") == encoder) if encoder else df
 
 
-def write_metrics(metrics: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
+def write_metrics(metrics: DataFrame, path: str | None = None, mode: str = "append", run_id: str | None = None) -> DataFrame:
     """Append a long metrics table (gen, learner, encoder, metric, class, value)
-    partitioned by generation."""
+    partitioned by generation.
+
+    With ``run_id`` the rows lie in a partition of their run, which a repeated
+    write of that run replaces, so a retried job doesn't count twice; other runs stay.
+    A table is written with run ids throughout or not at all."""
     cols = [f.name for f in METRICS_SCHEMA.fields]
     out = metrics.select(*[F.col(c).cast(METRICS_SCHEMA[c].dataType) for c in cols])
-    return write_table(out, path, name="metrics", partition_by="gen", mode=mode)
+    if run_id is None:
+        return write_table(out, path, name="metrics", partition_by="gen", mode=mode)
+    spark = out.sparkSession
+    path = path or scratch_path(spark, "metrics")
+    (out.withColumn("run", F.lit(str(run_id))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run", "gen").parquet(path))
+    return spark.read.schema("learner string, encoder string, metric string, class string, value double, run string, gen string").parquet(path)
