@@ -41,9 +41,9 @@ HEADLINE = [
     "smote_oversample",
     "stream_cohort",
     "embed_text",            # one encoder
-    "train_gbt",             # one fit (100 rounds) ...
-    "attribution_summary",   # ... whose model these two share
-    "permutation_importance",
+    "train_gbt",             # one fit (100 rounds) and its scores
+    "attribution_summary",   # a fit and Shapley values
+    "permutation_importance",  # a fit and 65 scorings
 ]
 
 

@@ -265,9 +265,11 @@ def permutation_importance(model, df: DataFrame, n_features: int, label: str = "
     w = Window.partitionBy("_blk").orderBy("_h", key)
     wl = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     b = b.withColumn("px", F.coalesce(F.lead("x").over(w), F.first("x").over(wl)))
-    shared = df.sparkSession.sparkContext.broadcast(_tree_tables(model, df.sparkSession))
+    own = hasattr(model, "margins")  # otherwise a Spark ML model, read from its saved form
+    shared = df.sparkSession.sparkContext.broadcast(model if own else _tree_tables(model, df.sparkSession))
 
     def run(batches):
+        margins = shared.value.margins if own else lambda x: _margins(shared.value, x)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -278,7 +280,7 @@ def permutation_importance(model, df: DataFrame, n_features: int, label: str = "
                 if f >= 0:
                     z = x.copy()
                     z[:, f] = px[:, f]
-                score, at = np.unique(np.round(_margins(shared.value, z), 12), return_inverse=True)
+                score, at = np.unique(np.round(margins(z), 12), return_inverse=True)
                 dp = np.bincount(at, y, len(score)).astype(np.int64)
                 yield pd.DataFrame({"feature": f, "score": score, "dp": dp, "dn": np.bincount(at, minlength=len(score)) - dp})
 

@@ -1,30 +1,25 @@
-"""Model queries.
+"""Model queries: scores, classes, importances, attributions and metrics of fitted models.
 
-Scores depend on the fitted model, so SQL states what must hold of them: which
-rows are scored (the split is an exact hash cut), that a score is a
-probability, that hard decisions agree with scores, that importances sum to 1
-and contributions to the margin, and which cells a grid has.
+What a fitted model returns isn't an SQL expression; tests/test_models.py derives the values a second way
+(plain boosting, finite differences, enumeration of subsets, permuted columns, recomputed metrics).
 
 Fixture: ``embeddings`` (64-wide vectors, y = (label = 0)).
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
+from notewise.operators import attribution, boosting
+from notewise.operators import metrics as me
 from notewise.operators import models as mo
 from notewise.operators.features import hashed_tfidf
 from notewise.plans import recipes as rc
 from notewise.plans.catalog import query
-from notewise.plans.q_cohort import COHORT_CTE, KEYWORDS, PREVALENCE
-from notewise.plans.q_sampling import STRAT_SQL, THREE_SQL, EMB_Y, _ranked_sql
+from notewise.plans.q_cohort import KEYWORDS, PREVALENCE
 from notewise.sources.tables import conversation_notes, document_notes, label_rows, table
 
 N_FEATURES = 64
-RANDOM_SQL = (f"SELECT note_id, y, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split "
-              f"FROM ({_ranked_sql(EMB_Y, 'note_id', '')})")
 
 
 def _data(spark, sf):
@@ -34,152 +29,89 @@ def _data(spark, sf):
 
 
 def _model(spark, sf, gen, learner):
-    """(model, prepared rows with features); the queries of one application that use the same one share it."""
-    prepared, model = _fitted(spark.sparkContext.applicationId, spark, sf, gen, learner)
-    return model, mo.with_features(prepared)
-
-
-@lru_cache(maxsize=8)
-def _fitted(application, spark, sf, gen, learner):
+    """(model, prepared rows), fitted anew in each query."""
     prepared = rc.prepare(_data(spark, sf), rc.RECIPES[gen], learner=learner)
-    return prepared, rc.fit(prepared, rc.RECIPES[gen], learner, N_FEATURES)
+    return rc.fit(prepared, rc.RECIPES[gen], learner), prepared
 
 
-def _probability(df):
-    ok = F.col("score").between(0, 1) & ~F.isnan("score")
-    return df.withColumn("is_probability", ok.cast("int")).drop("score")
-
-
-@query("train_gbt", f"SELECT note_id, y, 1 AS is_probability FROM ({STRAT_SQL}) WHERE split = 'test'")
+@query("train_gbt")
 def q_train_gbt(spark, sf):
-    """Boosted trees, recipe v2 (stratified split, class weight, 100 rounds):
-    the test rows, and whether their class-1 score is a probability."""
-    model, feats = _model(spark, sf, "v2", "gbt")
-    return _probability(mo.predict_score(model, feats.where(F.col("split") == "test")).select("note_id", "y", "score"))
+    """Boosted trees, recipe v2 (stratified split, class weight, 100 rounds): the test rows' class-1 probability."""
+    model, rows = _model(spark, sf, "v2", "gbt")
+    return rc.predict(model, rows.where(F.col("split") == "test")).select("note_id", "y", "score")
 
 
-@query("train_mlp", f"SELECT note_id, y, 1 AS is_probability FROM ({STRAT_SQL}) WHERE split = 'test'")
+@query("train_mlp")
 def q_train_mlp(spark, sf):
-    """Feed-forward network 64-256-64-2, recipe v2 (positives replicated by
-    the class weight): as ``train_gbt``."""
-    model, feats = _model(spark, sf, "v2", "mlp")
-    return _probability(mo.predict_score(model, feats.where(F.col("split") == "test")).select("note_id", "y", "score"))
+    """Feed-forward network 64-256-64-1, recipe v2 (positives weighted in the loss): as ``train_gbt``."""
+    model, rows = _model(spark, sf, "v2", "mlp")
+    return rc.predict(model, rows.where(F.col("split") == "test")).select("note_id", "y", "score")
 
 
-@query("early_stopping", f"SELECT COUNT(*) AS n_val, 1 AS kept_several, 1 AS within_limit FROM ({THREE_SQL}) WHERE split = 'val'")
+@query("early_stopping")
 def q_early_stopping(spark, sf):
-    """Recipe v5 boosted trees cut to the best round on the validation split (patience 50):
-    validation rows scored, and whether more than one tree and at most 1000 are kept."""
-    model, feats = _model(spark, sf, "v5", "gbt")
-    scored = mo.predict_score(model, feats.where(F.col("split") == "val"))
-    n = model.getNumTrees
-    return scored.agg(F.count("score").alias("n_val")).withColumns({
-        "kept_several": F.lit(int(n > 1)), "within_limit": F.lit(int(n <= 1000))})
+    """Recipe v5 boosted trees cut to the best round on the validation split (patience 50): the trees kept,
+    the rounds fitted, the best validation loss and the validation ROC-AUC."""
+    model, rows = _model(spark, sf, "v5", "gbt")
+    scored = rc.predict(model, rows.where(F.col("split") == "val"))
+    return me.roc_auc(me.pr_curve(scored)).select(
+        F.lit(len(model.trees)).alias("n_trees"), F.lit(len(model.losses)).alias("n_rounds"),
+        F.lit(min(model.losses)).alias("best_loss"), "roc_auc")
 
 
-@query("predict_score", f"SELECT note_id, split, 1 AS is_probability FROM ({RANDOM_SQL})")
+@query("predict_score")
 def q_predict_score(spark, sf):
     """Class-1 probability of every row from the v1 boosted-tree model."""
-    model, feats = _model(spark, sf, "v1", "gbt")
-    return _probability(mo.predict_score(model, feats).select("note_id", "split", "score"))
+    model, rows = _model(spark, sf, "v1", "gbt")
+    return rc.predict(model, rows).select("note_id", "split", "score")
 
 
-@query("predict_class", f"SELECT note_id, split, 1 AS agrees FROM ({RANDOM_SQL})")
+@query("predict_class")
 def q_predict_class(spark, sf):
-    """The v1 model's own hard decision for every row: it agrees with score > 0.5, but for ties."""
-    model, feats = _model(spark, sf, "v1", "gbt")
-    both = mo.predict_score(model, mo.predict_class(model, feats))
-    agrees = ((F.col("pred") == 1) == (F.col("score") > 0.5)) | (F.abs(F.col("score") - 0.5) < 1e-9)
-    return both.select("note_id", "split", agrees.cast("int").alias("agrees"))
+    """The v1 depth-wise model's own hard decision for every row: 1 where class 1 is the likelier."""
+    model, rows = _model(spark, sf, "v1", "xgb")
+    return rc.predict(model, rows).select("note_id", "split", (F.col("score") > 0.5).cast("int").alias("pred"))
 
 
-@query("feature_importance", "SELECT CAST(range AS INTEGER) AS feature, 1 AS is_share, 1.0 AS total FROM range(64)")
+@query("feature_importance")
 def q_feature_importance(spark, sf):
-    """Impurity importances of the v2 boosted trees: all features, and their sum."""
+    """Gain, splits and share of all gain of each feature in the v2 boosted trees."""
     model, _ = _model(spark, sf, "v2", "gbt")
-    imp = mo.feature_importance(model, spark)
-    total = imp.agg(F.round(F.sum("importance"), 6)).scalar()
-    return imp.select("feature", F.col("importance").between(0, 1).cast("int").alias("is_share"), total.alias("total"))
+    return boosting.importance(model, spark)
 
 
-@query("attribution_summary", "SELECT CAST(range AS INTEGER) AS feature, 1 AS is_size, 0.0 AS margin_gap FROM range(64)")
+@query("attribution_summary")
 def q_attribution_summary(spark, sf):
-    """Mean |path attribution| per feature over the test rows, and the largest difference between
-    a row's margin and its bias plus contributions, to 6 places."""
-    model, feats = _model(spark, sf, "v2", "gbt")
-    out = mo.attribution_summary(model, feats.where(F.col("split") == "test"))
-    return out.select("feature", (F.col("mean_abs") >= 0).cast("int").alias("is_size"),
-                      F.round("margin_gap", 6).alias("margin_gap"))
+    """Mean |Shapley value| of each feature over the test rows, and the mean value."""
+    model, rows = _model(spark, sf, "v2", "gbt")
+    return attribution.shapley_summary(model, rows.where(F.col("split") == "test"), "embedding")
 
 
-@query("permutation_importance", "SELECT CAST(range AS INTEGER) AS feature, 1 AS is_auc, 0.0 AS gap FROM range(64)")
+@query("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Test ROC-AUC with each feature permuted, and the drop: their sum is the same for every feature
-    (the AUC of the unpermuted rows), so its distance from the mean sum is 0."""
-    model, feats = _model(spark, sf, "v2", "gbt")
-    out = mo.permutation_importance(model, feats.where(F.col("split") == "test"), N_FEATURES)
-    whole = F.col("permuted_auc") + F.col("auc_drop")
-    mean = F.avg(whole).over(_all_features())
-    return out.select("feature", F.col("permuted_auc").between(0, 1).cast("int").alias("is_auc"),
-                      F.round(F.abs(whole - mean), 6).alias("gap"))
-
-
-def _all_features():
-    from pyspark.sql import Window
-    return Window.partitionBy()  # one row per feature
-
-
-GRID_GENS, GRID_LEARNERS = ("v1", "v2"), ("gbt", "xgb", "mlp")
-
-
-@query("experiment_grid", f"""
-WITH vec AS (SELECT split, y FROM ({STRAT_SQL}) WHERE split = 'test'),
-     lab AS (SELECT doc_id AS note_id, CAST(quality = 0 AS INTEGER) AS y FROM labels JOIN documents USING (doc_id)),
-     txt AS (SELECT y, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split
-             FROM ({_ranked_sql('SELECT * FROM lab', 'note_id', 'y')})),
-     txr AS (SELECT y, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split
-             FROM ({_ranked_sql('SELECT * FROM lab', 'note_id', '')})),
-     ver AS (SELECT y, split FROM ({RANDOM_SQL})),
-     sup AS (SELECT 'fixture' AS encoder, 'stratified' AS kind, y, COUNT(*) AS n FROM vec GROUP BY y
-             UNION ALL SELECT 'fixture', 'random', y, COUNT(*) FROM ver WHERE split = 'test' GROUP BY y
-             UNION ALL SELECT 'hashed_tfidf', 'stratified', y, COUNT(*) FROM txt WHERE split = 'test' GROUP BY y
-             UNION ALL SELECT 'hashed_tfidf', 'random', y, COUNT(*) FROM txr WHERE split = 'test' GROUP BY y),
-     cell AS (SELECT g.gen, l.learner, CASE WHEN g.gen = 'v1' AND l.learner <> 'xgb' THEN 'random' ELSE 'stratified' END AS kind,
-                     g.t FROM (VALUES ('v1', 0.5), ('v2', 0.3)) AS g(gen, t), (VALUES ('gbt'), ('xgb'), ('mlp')) AS l(learner))
-SELECT gen, learner, encoder, CAST(y AS VARCHAR) AS class, CAST(n AS DOUBLE) AS support, CAST(t AS DOUBLE) AS threshold,
-       1 AS in_range FROM cell JOIN sup USING (kind)""")
+    """Test ROC-AUC with each feature permuted, and the drop from the unpermuted rows."""
+    model, rows = _model(spark, sf, "v2", "gbt")
+    return mo.permutation_importance(model, mo.with_features(rows.where(F.col("split") == "test")), N_FEATURES)
+
+
+GRID_GENS, GRID_LEARNERS = ("v1", "v2", "v3", "v4", "v5"), ("gbt", "xgb", "mlp")
+
+
+@query("experiment_grid")
 def q_experiment_grid(spark, sf):
-    """Generations v1 and v2 x three learners x two encoders (the vectors; TF-IDF of the labelled notes): the
-    support of each class, the threshold, and whether all other metrics of the cell lie in [0, 1]."""
+    """All five generations x three learners x two encoders (the vectors; TF-IDF of the labelled notes): 30 cells,
+    one row a metric."""
     notes = document_notes(spark, sf).select("note_id", "text")
     labels = label_rows(spark, sf).select("note_id", (F.col("quality") == 0).cast("int").alias("y"))
     text = hashed_tfidf(notes.join(labels.select("note_id"), "note_id", "left_semi"), dim=64).join(labels, "note_id")
-    grid = rc.experiment_grid({"fixture": (_data(spark, sf), N_FEATURES),
+    return rc.experiment_grid({"fixture": (_data(spark, sf), N_FEATURES),
                                "hashed_tfidf": (text.select("note_id", "y", "embedding"), 64)}, GRID_GENS, GRID_LEARNERS)
-    cell = ["gen", "learner", "encoder"]
-    support = grid.where(F.col("class").isin("0", "1") & (F.col("metric") == "support")).select(
-        *cell, "class", F.col("value").alias("support"))
-    others = grid.groupBy(*cell).agg(
-        F.max(F.when(F.col("metric") == "threshold", F.col("value"))).alias("threshold"),
-        F.min(F.when(~F.col("metric").isin("threshold", "support"), F.col("value").between(0, 1).cast("int"))).alias("in_range"))
-    return support.join(others, cell)
-
-
-@query("notes_to_metrics", f"""
-{COHORT_CTE}, g AS ({_ranked_sql('SELECT subject_id, y FROM coh', 'subject_id', '')})
-SELECT CAST(g.y AS VARCHAR) AS class, CAST(COUNT(*) AS DOUBLE) AS support, CAST(0.3 AS DOUBLE) AS threshold, 1 AS in_range
-FROM conversations c JOIN g ON c.conv_id = g.subject_id WHERE rn <= round(n * 0.2) GROUP BY g.y""")
+
+
+@query("notes_to_metrics")
 def q_notes_to_metrics(spark, sf):
-    """From raw notes to metrics in one path (cohort, TF-IDF, two side columns, subject-level split, recipe v2):
-    the test notes of each class, the threshold, and whether all other metrics lie in [0, 1]."""
+    """From raw notes to metrics in one path (cohort, TF-IDF, two side columns, subject-level split, recipe v2)."""
     notes = conversation_notes(spark, sf)
     notes = notes.select("subject_id", (F.col("subject_id") * 100_000 + F.col("note_id")).alias("note_id"), "text",
                          F.col("note_id").cast("int").alias("turn"), "role")
-    m = rc.notes_to_metrics(notes, KEYWORDS, PREVALENCE, side_cols=("turn", "role"))
-    others = m.agg(
-        F.max(F.when(F.col("metric") == "threshold", F.col("value"))).alias("threshold"),
-        F.min(F.when(~F.col("metric").isin("threshold", "support"), F.col("value").between(0, 1).cast("int"))).alias("in_range"))
-    facts = others.select(F.struct("threshold", "in_range").alias("f")).scalar()
-    return (m.where(F.col("class").isin("0", "1") & (F.col("metric") == "support"))
-             .select("class", F.col("value").alias("support"), facts["threshold"].alias("threshold"),
-                     facts["in_range"].alias("in_range")))
+    return rc.notes_to_metrics(notes, KEYWORDS, PREVALENCE, side_cols=("turn", "role"))
