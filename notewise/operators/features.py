@@ -5,9 +5,10 @@ labels through a join on the key, never by row position.
 
 Encoders turn cleaned text into one fixed-length vector per note:
 
-* ``hashed_tfidf``: ``HashingTF`` -> ``IDF`` -> L2 ``Normalizer`` (Spark ML;
-  the IDF fit is one distributed aggregation).
-* ``hashed_vectors``: mean of per-word hashed sign vectors; no vocabulary.
+* ``hashed_tfidf``: words hashed (MD5) into buckets, counted row by row once, IDF from
+  one aggregate over the written counts, L2-normalised.
+* ``hashed_vectors``: mean of per-word hashed sign vectors, row by row; no vocabulary.
+* :mod:`notewise.operators.word_vectors`: word vectors trained on the notes themselves.
 * :class:`ExternalEncoder`: any batch encoder (e.g. a transformer checkpoint)
   run by ``mapInPandas`` over Arrow batches; the model is built once per
   Python worker on first use, never per batch.
@@ -15,12 +16,12 @@ Encoders turn cleaned text into one fixed-length vector per note:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from notewise.functions.numeric import safe_div
 from notewise.functions.text import clean_text, tokenize, truncate_tokens
+from notewise.session import materialize, ship_package
 
 
 def class_weight_column(df: DataFrame, y: str = "y", out_col: str = "weight",
@@ -77,36 +79,91 @@ def tokens_of(df: DataFrame, text_col: str = "text", cleaned: bool = False,
     return df.withColumn("tokens", truncate_tokens(tokenize(txt, cleaned=True), max_tokens))
 
 
-def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str = "note_id",
-                 cleaned: bool = False, max_tokens: int | None = None) -> DataFrame:
-    """Hashed bag of words, IDF-weighted, L2-normalised, as array<float>. Null texts are dropped."""
+#: Notes whose words are held at once in a kernel.
+_NOTES = 256
+
+
+def word_batches(batches, key: str) -> Iterator[tuple]:
+    """(keys, distinct words, index of each word, offsets of the notes) of rows (key, tokens), some notes at a time."""
+    for b in batches:
+        for i in range(0, len(b), _NOTES):
+            part = b.slice(i, _NOTES)
+            tokens = part.column("tokens")
+            words = tokens.flatten().dictionary_encode()
+            sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            yield part.column(key), words.dictionary.to_pylist(), words.indices.to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def vector_batch(keys, vectors: np.ndarray, key: str, out_col: str) -> pa.RecordBatch:
+    """Rows (key, vector) with the vectors' own type of number."""
+    n, width = vectors.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(vectors.ravel()))
+    return pa.RecordBatch.from_arrays([keys, lists], names=[key, out_col])
+
+
+def _digest(seed, word: str) -> str:
+    """The MD5 that :func:`notewise.functions.numeric.hash_unit` takes its digits from."""
+    return hashlib.md5(f"{seed}:{word}".encode()).hexdigest()
+
+
+def bucket_counts(df: DataFrame, dim: int, text_col: str = "text", key: str = "note_id", cleaned: bool = False,
+                  max_tokens: int | None = None, seed: int = 42) -> DataFrame:
+    """key, counts: how many of a note's words fall into each of ``dim`` buckets (hash_unit(seed, word) % dim)."""
+    ship_package(df.sparkSession)
     t = tokens_of(df.where(F.col(text_col).isNotNull()).select(key, text_col), text_col, cleaned, max_tokens)
-    pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dim),
-                            IDF(inputCol="tf", outputCol="tfidf"),
-                            Normalizer(inputCol="tfidf", outputCol="vec", p=2.0)])
-    out = pipe.fit(t).transform(t)
-    return out.select(key, F.lit("hashed_tfidf").alias("encoder"),
-                      vector_to_array("vec", "float32").alias("embedding"))
+
+    def run(batches):
+        for keys, words, index, offsets in word_batches(batches, key):
+            bucket = np.array([int(_digest(seed, w)[:8], 16) % dim for w in words], dtype=np.int64)
+            row = np.repeat(np.arange(len(keys)), np.diff(offsets))
+            at = row * dim + bucket[index] if len(index) else row
+            counts = np.bincount(at, minlength=len(keys) * dim).reshape(len(keys), dim)
+            yield vector_batch(keys, counts.astype(np.float32), key, "counts")
+    return t.select(key, "tokens").mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, counts array<float>")
+
+
+def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str = "note_id",
+                 cleaned: bool = False, max_tokens: int | None = None, seed: int = 42) -> DataFrame:
+    """Hashed bag of words, weighted by ln((notes + 1) / (notes with the bucket + 1)), L2-normalised, as array<float>.
+
+    Texts are cleaned and counted once; the counts are written and read twice. Null texts are dropped."""
+    tf = materialize(bucket_counts(df, dim, text_col, key, cleaned, max_tokens, seed))
+    seen = tf.agg(Summarizer.numNonZeros(array_to_vector(F.col("counts").cast("array<double>"))).alias("df"), F.count(F.lit(1)).alias("n"))
+    idf = seen.select(F.transform(vector_to_array("df"), lambda d: F.log((F.col("n") + 1) / (d + 1))).alias("idf")).first()
+    idf = F.lit([float(x) for x in idf["idf"] or [0.0] * dim])  # one number a bucket
+    weighted = tf.withColumn("v", F.zip_with(F.col("counts").cast("array<double>"), idf, lambda a, b: a * b))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0).cast("float"))
+    return weighted.withColumn("norm", norm).select(key, F.lit("hashed_tfidf").alias("encoder"), unit.alias("embedding"))
+
+
+def word_signs(words: Sequence[str], dim: int, seed: int) -> np.ndarray:
+    """One row of +1 and -1 a word: the bits of its MD5 digits (128 a seed, seeds counted up)."""
+    parts = []
+    for k, a in enumerate(range(0, dim, 128)):
+        digests = np.frombuffer(b"".join(bytes.fromhex(_digest(seed + k, w)) for w in words), dtype=np.uint8).reshape(len(words), 16)
+        parts.append(np.unpackbits(digests, axis=1)[:, :min(128, dim - a)])
+    return np.concatenate(parts, axis=1).astype(np.int8) * 2 - 1
 
 
 def hashed_vectors(df: DataFrame, dim: int = 64, text_col: str = "text", key: str = "note_id",
                    cleaned: bool = False, seed: int = 42) -> DataFrame:
     """Mean of the note's word vectors, where a word's vector is ``dim`` signs drawn from
-    its hash, scaled to unit length: a dense encoder of every word without a vocabulary,
-    so nothing is collected or broadcast. Null texts are dropped; a note without words is 0."""
+    its hash, scaled to unit length: a dense encoder of every word without a vocabulary or a
+    shuffle. Null texts are dropped; a note without words is 0."""
+    ship_package(df.sparkSession)
     t = tokens_of(df.where(F.col(text_col).isNotNull()).select(key, text_col), text_col, cleaned)
-    word = F.explode("tokens").alias("word")
-    signs = F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(min(64, dim - a) - 1)), lambda i, a=a: F.when(
-        F.getbit(F.xxhash64(F.lit(seed + a), "word"), i) == 1, 1.0).otherwise(-1.0))
-        for a in range(0, dim, 64)])
-    # a word's signs are computed once per (note, word), then summed per note and dimension by Summarizer
-    words = t.select(key, word).groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    vecs = words.select(key, array_to_vector(signs).alias("v"), "n").groupBy(key).agg(
-        Summarizer.mean(F.col("v"), F.col("n")).alias("m"))
-    mean = F.transform(vector_to_array("m"), lambda x: (x / F.lit(float(dim) ** 0.5)).cast("float"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    out = t.select(key).join(vecs.select(key, mean.alias("embedding")), key, "left")
-    return out.select(key, F.lit("hashed_vectors").alias("encoder"), F.coalesce("embedding", zero).alias("embedding"))
+
+    def run(batches):
+        for keys, words, index, offsets in word_batches(batches, key):
+            out = np.zeros((len(keys), dim))
+            signs = word_signs(words, dim, seed) if words else np.zeros((0, dim), np.int8)
+            for r in np.flatnonzero(np.diff(offsets)):
+                used, times = np.unique(index[offsets[r]:offsets[r + 1]], return_counts=True)
+                out[r] = times @ signs[used].astype(np.int64) / times.sum() / np.sqrt(dim)
+            yield vector_batch(keys, out.astype(np.float32), key, "embedding")
+    out = t.select(key, "tokens").mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+    return out.select(key, F.lit("hashed_vectors").alias("encoder"), "embedding")
 
 
 _WORKER_MODELS: dict = {}
