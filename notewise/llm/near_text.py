@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewise.llm import groups, textbuf
-from notewise.llm.staging import id_and_text, staged
+from notewise.llm.staging import freed, id_and_text, staged
 
 WORDS = 5
 REGISTER_BITS = 7
@@ -199,7 +199,7 @@ def _subsets(classes: DataFrame) -> DataFrame:
                      pa.array(np.repeat(ids[at], len(masks)))], names=["shared", "k1", "k2", "n", "id"])
 
     few = classes.where("few is not null").select("id", "n", "few")
-    return few.mapInArrow(run, "shared int, k1 long, k2 long, n int, id long")
+    return few.mapInArrow(freed(run), "shared int, k1 long, k2 long, n int, id long")
 
 
 def few_links(classes: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                  pa.array(regs, pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "n", "d1", "d2", "registers", "few"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, registers binary, few binary")
+    return rows.mapInArrow(freed(run), "doc_id long, n long, d1 long, d2 long, registers binary, few binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                      pa.array(band_keys(reg).ravel().view(np.int64)),
                      pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["band", "key", "id"])
 
-    return classes.select("id", "registers").mapInArrow(run, "band int, key long, id long")
+    return classes.select("id", "registers").mapInArrow(freed(run), "band int, key long, id long")
 
 
 def _likely(met: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _likely(met: DataFrame) -> DataFrame:
             if keep.any():
                 yield from t.select(names).filter(pa.array(keep)).to_batches()
 
-    return met.mapInArrow(run, "bucket long, lo int, hi int, side int, id long")
+    return met.mapInArrow(freed(run), "bucket long, lo int, hi int, side int, id long")
 
 
 def _links(met: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def _links(met: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[[x for x, _ in tree]]), pa.array(ids[[y for _, y in tree]])],
                                                  names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(freed(run), "a long, b long")
 
 
 def _elements(rows: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _elements(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())],
                                              names=["id", "elements"])
 
-    return rows.mapInArrow(run, "id long, elements binary")
+    return rows.mapInArrow(freed(run), "id long, elements binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

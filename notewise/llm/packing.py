@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewise.llm import textbuf
-from notewise.llm.staging import id_and_text
+from notewise.llm.staging import freed, id_and_text
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -78,9 +78,9 @@ class ByteBpe:
     starts afresh). Texts with code points outside the class table or with a
     special token's string go to the tokenizer whole."""
 
-    SLOTS_LOG2 = 21
+    SLOTS_LOG2 = 19
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -332,7 +332,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 1024, end_id: int
         packer.flush()
         yield packer.take(names)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(freed(run), SCHEMA)
 
 
 def unpack(pieces: DataFrame) -> DataFrame:

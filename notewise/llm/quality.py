@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.llm import textbuf
-from notewise.llm.staging import free_name, staged
+from notewise.llm.staging import free_name, freed, staged
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -89,7 +89,7 @@ def trained_counts(trusted: DataFrame) -> DataFrame:
         if grams:
             yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], names=["g", "n"])
 
-    return trusted.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInArrow(freed(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -249,7 +249,7 @@ def _one_shard(df: DataFrame, model: DataFrame, own: list[int], number: int, n_s
                 cols = [*b.columns[:k], pa.array(b.column(k).to_numpy() + sums), *b.columns[k + 1:]]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(freed(run), T.StructType(fields))
 
 
 def _known(model: DataFrame) -> np.ndarray:

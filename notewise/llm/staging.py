@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +65,27 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that hands free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def freed(run):
+    """``run`` (a function over batches) that gives its memory back when its task ends.
+
+    Spark reuses its Python workers; what a task has freed would otherwise stay with its worker through all
+    later stages, several workers an executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if _trim() is not None:
+                _trim()(0)
+    return wrapped

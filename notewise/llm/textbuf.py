@@ -22,7 +22,6 @@ def _mod_inverse(p: int) -> int:
     return pow(p, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def acc(base):
         a = np.full(n, base, dtype=_U)
@@ -31,10 +30,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return acc(_P), acc(_mod_inverse(_P))
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * SLICE_BYTES)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^0.. and P^-0.., at least n of each; sizes are rounded up so that few are kept."""
-    bits = max(18, int(n).bit_length())
-    return _powers(1 << bits + bits % 2)
+    """P^0.. and P^-0.., at least n of each; those of a common slice are kept, those of a longer text are not."""
+    return _kept_powers() if n <= 2 * SLICE_BYTES else _powers(n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.llm import textbuf
-from notewise.llm.staging import free_name, id_and_text, staged
+from notewise.llm.staging import free_name, freed, id_and_text, staged
 
 SIZES = (4, 6, 7)
 BUCKET_BITS = 20
@@ -137,7 +137,7 @@ def class_counts(sample: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(seen[1][bucket]),
                                           pa.array(seen[0][bucket])], names=["bucket", "p", "q"])
 
-    return (sample.mapInArrow(run, "bucket int, p long, q long").groupBy("bucket")
+    return (sample.mapInArrow(freed(run), "bucket int, p long, q long").groupBy("bucket")
             .agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
 
 
@@ -178,7 +178,7 @@ def _regression(model: Model, sample: DataFrame, weight: dict, l2: float, rounds
                 lists += [feature[ends[i]:ends[i + 1]].astype(np.int32) for i in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["y", "f"])
 
-    rows = sample.mapInArrow(run, "y int, f array<int>").toArrow()
+    rows = sample.mapInArrow(freed(run), "y int, f array<int>").toArrow()
     y = rows.column(0).to_numpy().astype(float)
     lists = rows.column(1).combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
@@ -214,7 +214,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
             got = shared.value.scores(b.column(at), table)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(freed(run), T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
