@@ -35,33 +35,70 @@ def notes_per_subject(df: DataFrame, subject_col: str = "subject_id") -> DataFra
     return df.groupBy(subject_col).agg(F.count(F.lit(1)).alias("n_notes"))
 
 
+#: Size of the KLL sketch behind the quartiles' brackets (rank error well below BRACKET), and half a bracket's width in ranks.
+SKETCH_K, BRACKET = 4096, 0.002
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def describe_numeric(df: DataFrame, col: str, approx_accuracy: int | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear interpolation), max.
+    """count, mean, sample std, min, quartiles (linear interpolation), max, of the values that aren't null or NaN.
 
-    Everything comes from one table of value counts, written once. A quartile
-    lies between the two values whose running counts pass its rank, found with
-    bucketed running totals, so no task holds all distinct values.
+    Two passes over the column, written once, and no shuffle of it: the first takes the moments and a bounded
+    sketch, which brackets each quartile; the second counts what lies below, between and above the brackets and
+    keeps the counts of the values inside (less than 2% of the ranks), among which the exact ones are found by
+    bucketed running totals. Should a bracket miss its quartile, it is widened and the second pass repeated.
     ``approx_accuracy`` takes the quartiles from a bounded sketch instead.
     """
-    values = materialize(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x"))
-                         .agg(F.count(F.lit(1)).alias("n")))
-    x, n = F.col("x"), F.col("n")
-    mean = F.sum(x * n) / F.sum(n)
-    base = values.agg(F.struct(F.coalesce(F.sum(n), F.lit(0)).alias("n"), mean.alias("mean"))).scalar()
-    moments = values.agg(base["n"].alias("count"), base["mean"].alias("mean"),
-                         F.sqrt(F.try_divide(F.sum(n * (x - base["mean"]) * (x - base["mean"])), base["n"] - 1)).alias("std"),
-                         F.min(x).alias("min"), F.max(x).alias("max"))
+    x = F.col("x")
+    values = materialize(df.select(F.col(col).cast("double").alias("x")).where(x.isNotNull() & ~F.isnan("x")))
+    moments = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+               F.max("x").alias("max")]
     if approx_accuracy is not None:
-        q = df.agg(F.percentile_approx(F.col(col).cast("double"), [0.25, 0.5, 0.75], approx_accuracy).alias("q"))
-        quartiles = [q.select(F.col("q")[i]).scalar() for i in range(3)]
-    else:
-        placed = running_totals(values, "x", ["n"], prefix="upto_")
-        ranks = [(base["n"] - 1) * p for p in (0.25, 0.5, 0.75)]
-        ends = placed.agg(F.struct(*[F.min(F.when(F.col("upto_n") > at, x)).alias(f"{side}{i}")
-                                     for i, r in enumerate(ranks) for side, at in (("a", F.floor(r)), ("b", F.ceil(r)))])).scalar()
-        quartiles = [ends[f"a{i}"] + (r - F.floor(r)) * (ends[f"b{i}"] - ends[f"a{i}"]) for i, r in enumerate(ranks)]
-    return moments.select("count", "mean", "std", "min", quartiles[0].alias("p25"), quartiles[1].alias("p50"),
-                          quartiles[2].alias("p75"), "max")
+        out = values.agg(*moments, F.percentile_approx("x", list(QUARTILES), approx_accuracy).alias("q"))
+        return _described(out, [F.col("q")[i] for i in range(3)])
+    one = materialize(values.agg(*moments, F.kll_sketch_agg_double("x", SKETCH_K).alias("sketch")))
+    n = one.first()["count"]
+    if not n:
+        return _described(one, [F.lit(None).cast("double")] * 3)
+    ranks = [(n - 1) * p for p in QUARTILES]
+    width = BRACKET
+    while True:
+        sides = [min(max(p + s * width, 0.0), 1.0) for p in QUARTILES for s in (-1, 1)]
+        cuts = one.select(F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, sides))).alias("c"), "min", "max").first()
+        cuts = [cuts["min"] if s == 0 else cuts["max"] if s == 1 else c for s, c in zip(sides, cuts["c"])]
+        found = _at_ranks(values, cuts, ranks)
+        if found is not None:
+            return _described(one, [F.lit(a + (r - int(r)) * (b - a)) for r, (a, b) in zip(ranks, found)])
+        width = min(1.0, 8 * width)
+
+
+def _described(one: DataFrame, quartiles: Sequence) -> DataFrame:
+    return one.select("count", "mean", "std", "min", *[q.alias(n) for q, n in zip(quartiles, ("p25", "p50", "p75"))], "max")
+
+
+def _at_ranks(values: DataFrame, cuts: Sequence[float], ranks: Sequence[float]) -> list[tuple] | None:
+    """The values at the ranks' floor and ceiling, if they lie inside cuts[0]..cuts[1], cuts[2]..cuts[3], ..; else None."""
+    x = F.col("x")
+    region = F.lit(len(cuts))
+    for i in range(len(cuts) - 1, -1, -1):  # even regions lie before a bracket, odd ones inside
+        region = F.when(x <= cuts[i] if i % 2 else x < cuts[i], i).otherwise(region)
+    inside = region % 2 == 1
+    parts = materialize(values.groupBy(region.alias("region"), F.when(inside, x).alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = {r["region"]: r["n"] for r in parts.groupBy("region").agg(F.sum("n").alias("n")).collect()}  # at most 7 rows
+    wanted = sorted({int(v) for r in ranks for v in (r, -(-r // 1))})
+    start, of = 0, {}
+    for k in range(len(cuts) + 1):
+        for w in wanted:
+            if start <= w < start + sizes.get(k, 0):
+                of[w] = k
+        start += sizes.get(k, 0)
+    if any(of[w] % 2 == 0 for w in wanted):
+        return None
+    placed = running_totals(parts.where("region % 2 = 1").select("x", "n"), "x", ["n"], prefix="upto_")
+    outside = {w: sum(sizes.get(k, 0) for k in range(0, of[w], 2)) for w in wanted}
+    got = placed.agg(*[F.min(F.when(F.col("upto_n") + outside[w] > w, x)).alias(f"v{i}") for i, w in enumerate(wanted)]).first()
+    at = dict(zip(wanted, got))
+    return [(at[int(r)], at[int(-(-r // 1))]) for r in ranks]
 
 
 def count_positive(df: DataFrame, y_col: str = "y") -> DataFrame:

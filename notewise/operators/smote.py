@@ -1,16 +1,22 @@
 """SMOTE: exact k nearest minority neighbours and synthetic interpolation.
 
-Neighbour search is quadratic in the minority size by nature; this plan
-keeps it distributed and never materialises all pairs as rows:
-
-1. each minority row gets a block ``pmod(hash, B)`` with
-   ``B = ceil(m / block_rows)`` (a scalar subquery, no driver round trip);
-2. a block's vectors are packed into one row (ids and one matrix), so what is
-   shuffled per pair of blocks is two rows, and a row takes part in B + 1 of
-   the unordered pairs, not in 2B;
-3. each pair's distance matrix is computed once per direction with numpy
+Neighbour search compares blocks of rows, and only those that can matter:
+
+1. every row is keyed by its nearest pivot (chosen farthest-first from a bounded sample) and its
+   distance to it; ranges of (pivot, distance) are cut into blocks of at most ``block_rows`` rows,
+   so a crowd of near rows fills blocks of its own, whatever its size;
+2. a block's vectors are packed into one row (ids and one matrix) with the least and greatest
+   distance of its rows to every pivot; by the triangle inequality two blocks are at least as far
+   apart as these ranges are, for the pivot that tells most;
+3. each block is searched in itself first, which bounds its rows' k-th distances (for a block of
+   few rows, the nearest blocks' sizes and ranges do);
+4. a pair of blocks is joined only where the bound between them doesn't exceed the greatest k-th
+   distance of one of them, and searched only in the directions that need it, with numpy
    (float64, row chunks); only each row's local top-k is emitted;
-4. a window per query row (B * k candidates at most) keeps the global top-k.
+5. a window per query row keeps the global top-k.
+
+In the worst case (no structure at all) that is every pair of blocks once. What the driver and the
+tasks that list the pairs hold is two numbers a pivot and block (of 4,096 rows by default).
 
 Distances are ranked by ``round(distance, 9)`` then neighbour id, so the
 result is exact and reproducible by SQL.
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,44 +105,159 @@ def _local_topk(k: int, extra: int = 8, chunk: int = 512, tol: float = 1e-6):
     return run
 
 
+#: Rows that pivots are chosen from, and how many pivots.
+SAMPLE_ROWS, PIVOTS = 2048, 32
+
+
+def _farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to n different rows of x, each the farthest from those before it."""
+    chosen = [0]
+    far = ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _keyed(base: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
+    """i, v with the nearest pivot p and the distance r to it."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = _to_pivots(np.stack(pdf["v"].to_numpy()).astype(np.float64), pivots)
+                yield pd.DataFrame({"i": pdf["i"], "v": pdf["v"], "p": d.argmin(axis=1).astype(np.int32), "r": d.min(axis=1)})
+    return base.mapInPandas(run, f"i long, v array<{kind}>, p int, r double")
+
+
+def _blocks(keyed: DataFrame, n_blocks: int, block_rows: int, pivots: np.ndarray, number) -> DataFrame:
+    """One row a block: b, ids, mat, lo and hi (least and greatest distance to each pivot)."""
+
+    def packed(b, ids, vectors):
+        x = np.stack(vectors).astype(number)
+        d = _to_pivots(x.astype(np.float64), pivots)
+        return pd.DataFrame({"b": [b], "ids": [np.array(ids, np.int64).tobytes()], "mat": [x.tobytes()],
+                             "lo": [d.min(axis=0).tobytes()], "hi": [d.max(axis=0).tobytes()]})
+
+    def run(batches):
+        number_of, at, ids, vectors = TaskContext.get().partitionId() << 32, None, [], []
+        for pdf in batches:
+            for i, v, p in zip(pdf["i"], pdf["v"], pdf["p"]):
+                if ids and (p != at or len(ids) >= block_rows):
+                    yield packed(number_of, ids, vectors)
+                    number_of, ids, vectors = number_of + 1, [], []
+                at = p
+                ids.append(i)
+                vectors.append(v)
+        if ids:
+            yield packed(number_of, ids, vectors)
+
+    in_order = keyed.repartitionByRange(n_blocks, "p", "r", "i").sortWithinPartitions("p", "r", "i")
+    return in_order.mapInPandas(run, "b long, ids binary, mat binary, lo binary, hi binary")
+
+
+def _facts(packed: DataFrame, reach: DataFrame) -> dict:
+    """Per block, in order of b: ids, rows, reach, and the ranges of distances to the pivots (one row a block)."""
+    t = packed.select("b", "lo", "hi", (F.length("ids") / 8).cast("long").alias("rows")).join(reach, "b").orderBy("b").toArrow()
+    lo, hi = (np.array([np.frombuffer(v) for v in t[c].to_pylist()]) for c in ("lo", "hi"))
+    return {"b": t["b"].to_numpy(), "rows": t["rows"].to_numpy(), "reach": t["reach"].to_numpy(), "lo": lo, "hi": hi}
+
+
+def _bounded_reach(packed: DataFrame, facts: dict, k: int) -> np.ndarray:
+    """The reach of each block, at most the distance within which the blocks nearest to it hold k other rows."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for b in pdf["b"]:
+                at = int(np.searchsorted(facts["b"], b))
+                most = (facts["hi"][at] + facts["hi"]).min(axis=1)  # no two rows of the blocks are farther apart
+                order = np.argsort(most, kind="stable")
+                rows = facts["rows"].copy()
+                rows[at] -= 1
+                enough = np.flatnonzero(np.cumsum(rows[order]) >= k)
+                out.append(min(facts["reach"][at], most[order[enough[0]]] if len(enough) else np.inf))
+            yield pd.DataFrame({"b": pdf["b"], "reach": out})
+    got = packed.select("b").mapInPandas(run, "b long, reach double").orderBy("b").toArrow()  # one row a block
+    return got["reach"].to_numpy()
+
+
+def _pairs_to_search(packed: DataFrame, reach: DataFrame, k: int) -> DataFrame:
+    """a, b, ab, ba: pairs of different blocks, and which of them may hold neighbours of the other's rows."""
+    facts = _facts(packed, reach)
+    ids, lo, hi = facts["b"], facts["lo"], facts["hi"]
+    far = _bounded_reach(packed, facts, k) * (1 + 1e-9) + 1e-8  # rounding never hides a tie
+
+    def run(batches):
+        for pdf in batches:
+            for b in pdf["b"]:
+                at = int(np.searchsorted(ids, b))
+                later = slice(at + 1, None)
+                bound = np.maximum(np.maximum(lo[at] - hi[later], lo[later] - hi[at]).max(axis=1), 0)
+                ab, ba = bound <= far[at], bound <= far[later]
+                hit = np.flatnonzero(ab | ba)
+                yield pd.DataFrame({"a": b, "b": ids[later][hit], "ab": ab[hit], "ba": ba[hit]})
+    return packed.select("b").mapInPandas(run, "a long, b long, ab boolean, ba boolean")
+
+
 def smote_neighbors(rows: DataFrame, id_col: str = "note_id", vec_col: str = "embedding",
-                    k: int = 5, block_rows: int = 4096, seed=17) -> DataFrame:
+                    k: int = 5, block_rows: int = 4096, seed=17, stats: dict | None = None) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every row among ``rows``
-    (excluding itself): columns i, j, r (1..k), distance."""
-    ship_package(rows.sparkSession)
+    (excluding itself): columns i, j, r (1..k), distance.
+
+    ``stats``, if given, receives the number of blocks, of pairs of blocks that are searched and of all pairs."""
+    spark = rows.sparkSession
+    ship_package(spark)
     kind = rows.schema[vec_col].dataType.elementType.simpleString()
     number = np.float32 if kind == "float" else np.float64
-    base = rows.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
-    n_blocks = base.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)))
-                        .cast("int")).scalar()
-    blk = F.pmod(hash_unit(seed, F.col("i")), n_blocks).cast("int")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"b": pdf["b"].iloc[:1], "ids": [pdf["i"].to_numpy(np.int64).tobytes()],
-                             "mat": [np.stack(pdf["v"].to_numpy()).astype(number).tobytes()]})
-
-    # Written once: both sides of the join read the packed blocks.
-    packed = materialize(base.select(blk.alias("b"), "i", "v").groupBy("b")
-                         .applyInPandas(pack, "b int, ids binary, mat binary"))
-    left = packed.select(F.col("ids").alias("qi"), F.col("mat").alias("qm"), F.col("b").alias("a"),
-                         F.explode(F.sequence(F.col("b"), n_blocks - 1)).alias("b"))
-    pairs = left.join(packed, "b").select("a", "b", "qi", "qm", "ids", "mat")
+    base = materialize(rows.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")))
+    n = base.count()
+    if not n:
+        return spark.createDataFrame([], "i long, j long, r int, distance double")
+    sample = base.orderBy(hash_unit(seed, F.col("i")), "i").limit(SAMPLE_ROWS).toPandas()
+    pivots = _farthest_first(np.stack(sample["v"].to_numpy()).astype(np.float64), PIVOTS)
+    packed = materialize(_blocks(_keyed(base, pivots, kind), -(-n // block_rows), block_rows, pivots, number))
     local_topk = _local_topk(k)
 
     def unpack(ids, mat):
         i = np.frombuffer(ids, np.int64)
         return i, np.frombuffer(mat, number).reshape(len(i), -1).astype(np.float64)
 
+    def alone(batches):
+        for pdf in batches:
+            for b, ids, mat in pdf.itertuples(index=False):
+                block = unpack(ids, mat)
+                got = local_topk(*block, *block)
+                yield got.assign(b=b)[["b", "i", "j", "distance"]]
+                few = np.setdiff1d(block[0], got["i"].unique()) if k else block[0]
+                yield pd.DataFrame({"b": b, "i": few, "j": pd.array([None] * len(few), dtype="Int64"),
+                                    "distance": np.full(len(few), np.inf)})
+
+    own = materialize(packed.select("b", "ids", "mat").mapInPandas(alone, f"b long, {NEIGHBOR_SCHEMA}"))
+    kth = own.groupBy("b", "i").agg(F.max("distance").alias("far"), F.count("j").alias("n"))
+    reach = kth.groupBy("b").agg(F.max(F.when(F.col("n") < k, float("inf")).otherwise(F.col("far"))).alias("reach"))
+    pairs = _pairs_to_search(packed, reach, k)
+    if stats is not None:
+        pairs = materialize(pairs)
+        n_blocks = packed.count()
+        stats.update(blocks=n_blocks, pairs=pairs.count(), all_pairs=n_blocks * (n_blocks - 1) // 2)
+    first = packed.select(F.col("b").alias("a"), F.col("ids").alias("qi"), F.col("mat").alias("qm"))
+    met = pairs.join(first, "a").join(packed.select("b", "ids", "mat"), "b").select("ab", "ba", "qi", "qm", "ids", "mat")
+
     def run(batches):
         for pdf in batches:
-            for a, b, qi, qm, ci, cm in pdf.itertuples(index=False):
-                first = unpack(qi, qm)
-                second = first if a == b else unpack(ci, cm)
-                yield local_topk(*first, *second)
-                if a != b:
-                    yield local_topk(*second, *first)
-
-    local = pairs.mapInPandas(run, NEIGHBOR_SCHEMA)
+            for ab, ba, qi, qm, ci, cm in pdf.itertuples(index=False):
+                one, other = unpack(qi, qm), unpack(ci, cm)
+                if ab:
+                    yield local_topk(*one, *other)
+                if ba:
+                    yield local_topk(*other, *one)
+
+    local = own.where("j is not null").select("i", "j", "distance").unionByName(met.mapInPandas(run, NEIGHBOR_SCHEMA))
     w = Window.partitionBy("i").orderBy(F.round("distance", 9), F.col("j"))
     return (local.withColumn("r", F.row_number().over(w))
                  .where(F.col("r") <= k)
