@@ -130,11 +130,15 @@ def hashed_tfidf(df: DataFrame, dim: int = 256, text_col: str = "text", key: str
     tf = materialize(bucket_counts(df, dim, text_col, key, cleaned, max_tokens, seed))
     seen = tf.agg(Summarizer.numNonZeros(array_to_vector(F.col("counts").cast("array<double>"))).alias("df"), F.count(F.lit(1)).alias("n"))
     idf = seen.select(F.transform(vector_to_array("df"), lambda d: F.log((F.col("n") + 1) / (d + 1))).alias("idf")).first()
-    idf = F.lit([float(x) for x in idf["idf"] or [0.0] * dim])  # one number a bucket
-    weighted = tf.withColumn("v", F.zip_with(F.col("counts").cast("array<double>"), idf, lambda a, b: a * b))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0).cast("float"))
-    return weighted.withColumn("norm", norm).select(key, F.lit("hashed_tfidf").alias("encoder"), unit.alias("embedding"))
+    idf = np.array(idf["idf"] or [0.0] * dim, dtype=np.float64)  # one number a bucket
+
+    def run(batches):
+        for b in batches:
+            v = np.asarray(b.column("counts").flatten(), dtype=np.float64).reshape(len(b), dim) * idf
+            size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield vector_batch(b.column(key), (v / np.where(size > 0, size, 1)).astype(np.float32), key, "embedding")
+    out = tf.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+    return out.select(key, F.lit("hashed_tfidf").alias("encoder"), "embedding")
 
 
 def word_signs(words: Sequence[str], dim: int, seed: int) -> np.ndarray:

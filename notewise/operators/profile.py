@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.functions.text import clean_text
-from notewise.operators.ranking import running_totals
 from notewise.session import materialize
 
 
@@ -46,32 +45,37 @@ def describe_numeric(df: DataFrame, col: str, approx_accuracy: int | None = None
     Two passes over the column, written once, and no shuffle of it: the first takes the moments and a bounded
     sketch, which brackets each quartile; the second counts what lies below, between and above the brackets and
     keeps the counts of the values inside (less than 2% of the ranks), among which the exact ones are found by
-    bucketed running totals. Should a bracket miss its quartile, it is widened and the second pass repeated.
+    running totals in each bracket. Should a bracket miss its quartile, it is widened and the second pass repeated.
     ``approx_accuracy`` takes the quartiles from a bounded sketch instead.
     """
     x = F.col("x")
-    values = materialize(df.select(F.col(col).cast("double").alias("x")).where(x.isNotNull() & ~F.isnan("x")))
+    # filtered after it is written: pushed below, the filter would compute the column a second time
+    values = materialize(df.select(F.col(col).cast("double").alias("x"))).where(x.isNotNull() & ~F.isnan("x"))
     moments = [F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
                F.max("x").alias("max")]
     if approx_accuracy is not None:
         out = values.agg(*moments, F.percentile_approx("x", list(QUARTILES), approx_accuracy).alias("q"))
         return _described(out, [F.col("q")[i] for i in range(3)])
-    one = materialize(values.agg(*moments, F.kll_sketch_agg_double("x", SKETCH_K).alias("sketch")))
-    n = one.first()["count"]
-    if not n:
-        return _described(one, [F.lit(None).cast("double")] * 3)
-    ranks = [(n - 1) * p for p in QUARTILES]
     width = BRACKET
     while True:
         sides = [min(max(p + s * width, 0.0), 1.0) for p in QUARTILES for s in (-1, 1)]
-        cuts = one.select(F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, sides))).alias("c"), "min", "max").first()
-        cuts = [cuts["min"] if s == 0 else cuts["max"] if s == 1 else c for s, c in zip(sides, cuts["c"])]
-        found = _at_ranks(values, cuts, ranks)
+        sketch = F.kll_sketch_agg_double("x", SKETCH_K)
+        got = values.agg(*moments, F.when(F.count("x") > 0, F.kll_sketch_get_quantile_double(
+            sketch, F.array(*map(F.lit, sides)))).alias("cuts")).first()
+        n = got["count"]
+        ranks = [(n - 1) * p for p in QUARTILES]
+        cuts = [got["min"] if s == 0 else got["max"] if s == 1 else c for s, c in zip(sides, got["cuts"] or [])]
+        found = _at_ranks(values, cuts, ranks) if n else [(None, None)] * 3
         if found is not None:
-            return _described(one, [F.lit(a + (r - int(r)) * (b - a)) for r, (a, b) in zip(ranks, found)])
+            q = [a if a is None else float(a + (r - int(r)) * (b - a)) for r, (a, b) in zip(ranks, found)]
+            row = (n, got["mean"], got["std"], got["min"], *q, got["max"])
+            return df.sparkSession.createDataFrame([row], DESCRIPTION)
         width = min(1.0, 8 * width)
 
 
+DESCRIPTION = "count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+
+
 def _described(one: DataFrame, quartiles: Sequence) -> DataFrame:
     return one.select("count", "mean", "std", "min", *[q.alias(n) for q, n in zip(quartiles, ("p25", "p50", "p75"))], "max")
 
@@ -94,9 +98,12 @@ def _at_ranks(values: DataFrame, cuts: Sequence[float], ranks: Sequence[float])
         start += sizes.get(k, 0)
     if any(of[w] % 2 == 0 for w in wanted):
         return None
-    placed = running_totals(parts.where("region % 2 = 1").select("x", "n"), "x", ["n"], prefix="upto_")
-    outside = {w: sum(sizes.get(k, 0) for k in range(0, of[w], 2)) for w in wanted}
-    got = placed.agg(*[F.min(F.when(F.col("upto_n") + outside[w] > w, x)).alias(f"v{i}") for i, w in enumerate(wanted)]).first()
+    # a bracket holds some thousandths of the ranks
+    inside_so_far = F.sum("n").over(Window.partitionBy("region").orderBy("x"))
+    before = {k: sum(sizes.get(j, 0) for j in range(k)) for k in range(len(cuts) + 1)}
+    placed = parts.where("region % 2 = 1").withColumn("upto", inside_so_far)
+    got = placed.agg(*[F.min(F.when((F.col("region") == of[w]) & (F.col("upto") + before[of[w]] > w), x)).alias(f"v{i}")
+                       for i, w in enumerate(wanted)]).first()
     at = dict(zip(wanted, got))
     return [(at[int(r)], at[int(-(-r // 1))]) for r in ranks]
 

@@ -139,7 +139,7 @@ def _blocks(keyed: DataFrame, n_blocks: int, block_rows: int, pivots: np.ndarray
 
     def packed(b, ids, vectors):
         x = np.stack(vectors).astype(number)
-        d = _to_pivots(x.astype(np.float64), pivots)
+        d = _to_pivots(x.astype(np.float64), pivots) if len(pivots) else np.zeros((1, 0))
         return pd.DataFrame({"b": [b], "ids": [np.array(ids, np.int64).tobytes()], "mat": [x.tobytes()],
                              "lo": [d.min(axis=0).tobytes()], "hi": [d.max(axis=0).tobytes()]})
 
@@ -156,8 +156,11 @@ def _blocks(keyed: DataFrame, n_blocks: int, block_rows: int, pivots: np.ndarray
         if ids:
             yield packed(number_of, ids, vectors)
 
-    in_order = keyed.repartitionByRange(n_blocks, "p", "r", "i").sortWithinPartitions("p", "r", "i")
-    return in_order.mapInPandas(run, "b long, ids binary, mat binary, lo binary, hi binary")
+    if n_blocks > 1:
+        dealt = keyed.repartitionByRange(n_blocks, "p", "r", "i")
+    else:
+        dealt = keyed.repartition(F.pmod(F.xxhash64("i"), F.lit(1)))  # at most a block of rows, by one key
+    return dealt.sortWithinPartitions("p", "r", "i").mapInPandas(run, "b long, ids binary, mat binary, lo binary, hi binary")
 
 
 def _facts(packed: DataFrame, reach: DataFrame) -> dict:
@@ -218,9 +221,12 @@ def smote_neighbors(rows: DataFrame, id_col: str = "note_id", vec_col: str = "em
     n = base.count()
     if not n:
         return spark.createDataFrame([], "i long, j long, r int, distance double")
-    sample = base.orderBy(hash_unit(seed, F.col("i")), "i").limit(SAMPLE_ROWS).toPandas()
-    pivots = _farthest_first(np.stack(sample["v"].to_numpy()).astype(np.float64), PIVOTS)
-    packed = materialize(_blocks(_keyed(base, pivots, kind), -(-n // block_rows), block_rows, pivots, number))
+    if n > block_rows:
+        sample = base.orderBy(hash_unit(seed, F.col("i")), "i").limit(SAMPLE_ROWS).toPandas()
+        pivots = _farthest_first(np.stack(sample["v"].to_numpy()).astype(np.float64), PIVOTS)
+        packed = materialize(_blocks(_keyed(base, pivots, kind), -(-n // block_rows), block_rows, pivots, number))
+    else:  # one block: no pair to rule out
+        packed = _blocks(base.withColumns({"p": F.lit(0), "r": F.lit(0.0)}), 1, block_rows, np.zeros((0, 0)), number)
     local_topk = _local_topk(k)
 
     def unpack(ids, mat):
@@ -237,7 +243,19 @@ def smote_neighbors(rows: DataFrame, id_col: str = "note_id", vec_col: str = "em
                 yield pd.DataFrame({"b": b, "i": few, "j": pd.array([None] * len(few), dtype="Int64"),
                                     "distance": np.full(len(few), np.inf)})
 
-    own = materialize(packed.select("b", "ids", "mat").mapInPandas(alone, f"b long, {NEIGHBOR_SCHEMA}"))
+    w = Window.partitionBy("i").orderBy(F.round("distance", 9), F.col("j"))
+
+    def ranked(local: DataFrame) -> DataFrame:
+        return (local.withColumn("r", F.row_number().over(w))
+                     .where(F.col("r") <= k)
+                     .select("i", "j", F.col("r").cast("int").alias("r"), "distance"))
+
+    own = packed.select("b", "ids", "mat").mapInPandas(alone, f"b long, {NEIGHBOR_SCHEMA}")
+    if n <= block_rows:
+        if stats is not None:
+            stats.update(blocks=1, pairs=0, all_pairs=0)
+        return ranked(own.where("j is not null").select("i", "j", "distance"))
+    own = materialize(own)
     kth = own.groupBy("b", "i").agg(F.max("distance").alias("far"), F.count("j").alias("n"))
     reach = kth.groupBy("b").agg(F.max(F.when(F.col("n") < k, float("inf")).otherwise(F.col("far"))).alias("reach"))
     pairs = _pairs_to_search(packed, reach, k)
@@ -258,10 +276,7 @@ def smote_neighbors(rows: DataFrame, id_col: str = "note_id", vec_col: str = "em
                     yield local_topk(*other, *one)
 
     local = own.where("j is not null").select("i", "j", "distance").unionByName(met.mapInPandas(run, NEIGHBOR_SCHEMA))
-    w = Window.partitionBy("i").orderBy(F.round("distance", 9), F.col("j"))
-    return (local.withColumn("r", F.row_number().over(w))
-                 .where(F.col("r") <= k)
-                 .select("i", "j", F.col("r").cast("int").alias("r"), "distance"))
+    return ranked(local)
 
 
 def smote_oversample(df: DataFrame, id_col: str = "note_id", vec_col: str = "embedding",
