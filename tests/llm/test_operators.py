@@ -6,6 +6,7 @@ import json
 import math
 import random
 import zlib
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -236,6 +237,37 @@ def test_vector_links_equal_brute_force(spark):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_caps_equal_all_directions_above_the_bar(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for number in range(near_vectors.CODES):
+        turn, cut, (w1, w2) = near_vectors.code(10, 64, number)
+        y = x @ turn
+        scores = (y[:, :cut] @ w1.T)[:, :, None] + (y[:, cut:] @ w2.T)[:, None, :]
+        height = NormalDist().inv_cdf(1 - near_vectors.CAPS / 64 ** 2) / np.sqrt(10) * np.sqrt(2)
+        for top in (near_vectors._TOP, 6):  # with few scores combined at first the rest is listed by search
+            monkeypatch.setattr(near_vectors, "_TOP", top)
+            monkeypatch.setattr(near_vectors, "LEAST", 6)
+            for got, s in zip(near_vectors.caps(x, 64, number), scores.reshape(40, -1)):
+                bar = min(height, np.sort(s)[-6])
+                assert (got == np.flatnonzero(s >= bar - 1e-12) + number * 64 ** 2).all()
+            monkeypatch.undo()
+
+
+def test_codewords_grow_without_a_limit_and_codes_cover_each_other():
+    assert [near_vectors.codewords(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 10)] == [64, 16384, 131072, 2097152]
+    rng = np.random.default_rng(6)
+    x, z = rng.standard_normal((2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98 ** 2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = np.zeros(len(x), bool)
+    for number in range(near_vectors.CODES):
+        met |= [len(np.intersect1d(a, b)) > 0 for a, b in zip(*(near_vectors.caps(v, 4096, number) for v in (x, y)))]
+    assert met.all()
+
+
 def test_large_groups_are_dealt_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(groups, "BLOCK", 16)
     members = spark.createDataFrame([(1, 60, i) for i in range(60)], "bucket long, n long, id long")
