@@ -1,7 +1,9 @@
 """Quality: interpolated modified Kneser-Ney language model trained on trusted text.
 
-Symbols are code points in ``SYMBOL_BITS`` bits; an n-gram is one integer, so
-its context is a shift and its suffix a mask. Counts of the highest order come
+Symbols are numbers of ``SYMBOL_BITS`` bits: the ``RARE`` code points that are
+commonest in the trusted rows (of equal ones the lower) have one each, all other
+code points share the symbol ``RARE``. An n-gram is one integer, so its context is
+a shift and its suffix a mask. Counts of the highest order come
 from all trusted rows (summed per task, then by n-gram); the counts of a lower
 order are the numbers of distinct n-grams one longer that end in it. Each
 order's three discounts come from its counts of counts. A table's counts are
@@ -11,7 +13,7 @@ probabilities, all keyed and sharded by n-gram, to give
     p(w | c) = (count - D) / total(c) + gamma(c) * p(w | c without its first).
 
 The result is a table of log probabilities by n-gram and of log gammas by
-context. It is cut into shards by the symbol before the predicted one, so that
+context, with the alphabet in rows of their own. It is cut into shards by the symbol before the predicted one, so that
 an n-gram, its contexts and all it backs off to share a shard; a shard of at
 most ``shard_rows`` rows is broadcast at a time and adds its part of each
 document's log probability.
@@ -44,16 +46,47 @@ from notewise.llm.staging import free_name, freed, staged
 ORDER = 5
 SYMBOL_BITS = 12
 START = (1 << SYMBOL_BITS) - 1  # stands before a text's first symbol
+RARE = START - 1
+ALPHABET = ORDER + 1  # level of the model's rows (code point, symbol)
 PRIOR = 100.0
 _MASK = (1 << SYMBOL_BITS) - 1
 MAX_BROADCAST_IDS = 4_000_000
 _MERGE_AT = 4_000_000
+_POINTS = 0x110000
 
 
-def symbols(data: np.ndarray, off: np.ndarray):
-    """n-gram (highest order) that ends at each code point, and the rows' offsets."""
+def _points(data: np.ndarray, off: np.ndarray):
     cp, at = textbuf.code_points(data, off)
-    sym = np.where(cp < START, cp, cp % np.uint32(START)).astype(np.int64)
+    return np.minimum(cp, _POINTS - 1), at
+
+
+def alphabet(trusted: DataFrame, size: int = RARE) -> np.ndarray:
+    """The ``size`` commonest code points of (text), sorted; the symbol of each is its place."""
+
+    def run(batches):
+        seen = np.zeros(_POINTS, dtype=np.int64)
+        for b in batches:
+            for _, data, off in textbuf.slices(b.column(0)):
+                n = np.bincount(_points(data, off)[0])
+                seen[:len(n)] += n
+        cp = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cp), pa.array(seen[cp])], names=["cp", "n"])
+
+    counts = trusted.select("text").mapInArrow(freed(run), "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n"))
+    return np.sort(counts.orderBy(F.desc("n"), "cp").limit(size).toArrow().column(0).to_numpy())
+
+
+def symbol_table(points: np.ndarray) -> np.ndarray:
+    """Symbol of each code point under an alphabet."""
+    table = np.full(_POINTS, RARE, dtype=np.uint16)
+    table[points] = np.arange(len(points), dtype=np.uint16)
+    return table
+
+
+def symbols(data: np.ndarray, off: np.ndarray, table: np.ndarray):
+    """n-gram (highest order) that ends at each code point, and the rows' offsets."""
+    cp, at = _points(data, off)
+    sym = table[cp].astype(np.int64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     place = np.arange(len(cp)) - at[row]
     code = np.zeros(len(cp), dtype=np.int64)
@@ -64,10 +97,11 @@ def symbols(data: np.ndarray, off: np.ndarray):
     return code, at
 
 
-def trained_counts(trusted: DataFrame) -> DataFrame:
+def trained_counts(trusted: DataFrame, points: np.ndarray) -> DataFrame:
     """(g, n) of the highest order over (text); summed per task before the shuffle."""
 
     def run(batches):
+        table = symbol_table(points)
         grams, counts, held = [], [], 0
 
         def merged():
@@ -76,7 +110,7 @@ def trained_counts(trusted: DataFrame) -> DataFrame:
 
         for b in batches:
             for _, data, off in textbuf.slices(b.column(0)):
-                u, n = np.unique(symbols(data, off)[0], return_counts=True)
+                u, n = np.unique(symbols(data, off, table)[0], return_counts=True)
                 grams.append(u)
                 counts.append(n)
                 held += len(u)
@@ -102,15 +136,19 @@ def discounts(counts: DataFrame) -> list[float]:
             for k, at, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def train(trusted: DataFrame, name: str = "lm") -> DataFrame:
+def train(trusted: DataFrame, name: str = "lm", alphabet_size: int = RARE) -> DataFrame:
     """Rows (level, g, v): log probability of n-gram g of order ``level``, or, at level
     -k, log gamma of the context g of k symbols; level 0 holds log(1 / alphabet) scaled
-    by the unigrams' gamma, for symbols never seen."""
-    counts = {ORDER: staged(trained_counts(trusted), f"{name}-counts")}
+    by the unigrams' gamma, for symbols never seen. Level ``ALPHABET`` holds the symbols
+(v) of the alphabet's code points (g)."""
+    points = alphabet(trusted, alphabet_size)
+    counts = {ORDER: staged(trained_counts(trusted, points), f"{name}-counts")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("g").bitwiseAND((1 << SYMBOL_BITS * k) - 1)
         counts[k] = counts[k + 1].groupBy(suffix.alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    parts, lower = [], None
+    lower = None
+    parts = [trusted.sparkSession.createDataFrame([(ALPHABET, p, float(i)) for i, p in enumerate(points.tolist())],
+                                                  "level int, g long, v double")]
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(counts[k])
         context = F.shiftright("g", SYMBOL_BITS)
@@ -186,7 +224,7 @@ class Shard:
 def shards(model: DataFrame, shard_rows: int) -> list[list[int]]:
     """Symbols (those before the predicted one) dealt to shards of about ``shard_rows`` rows.
     Unigrams belong to every shard."""
-    before = F.when(F.col("level") > 1, F.shiftright("g", SYMBOL_BITS).bitwiseAND(_MASK)).when(
+    before = F.when(F.col("level").between(2, ORDER), F.shiftright("g", SYMBOL_BITS).bitwiseAND(_MASK)).when(
         F.col("level") < 0, F.col("g").bitwiseAND(_MASK))
     sizes = model.select(before.alias("s")).where("s is not null").groupBy("s").count().collect()  # one row per symbol
     out, room = [[]], shard_rows
@@ -204,16 +242,18 @@ def with_logp(df: DataFrame, model: DataFrame, text_col: str = "text", shard_row
     under the model, and its number of symbols. One pass over the texts per shard."""
     total, size = free_name(df.columns, "logp"), free_name(df.columns, "n_symbols")
     at = df.columns.index(text_col)
+    points = np.sort(model.where(F.col("level") == ALPHABET).select("g").toArrow().column(0).to_numpy())
     dealt = shards(model, shard_rows)
     for i, own in enumerate(dealt):
-        df = _one_shard(df, model, own, i, len(dealt), at, total, size)
+        df = _one_shard(df, model, own, i, len(dealt), at, total, size, points)
     return df, total, size
 
 
 def _one_shard(df: DataFrame, model: DataFrame, own: list[int], number: int, n_shards: int, at: int, total: str,
-               size: str) -> DataFrame:
-    before = F.when(F.col("level") > 1, F.shiftright("g", SYMBOL_BITS).bitwiseAND(_MASK)).otherwise(F.col("g").bitwiseAND(_MASK))
-    rows = model if n_shards == 1 else model.where(F.col("level").isin(0, 1) | before.isin(own))
+               size: str, points: np.ndarray) -> DataFrame:
+    before = F.when(F.col("level").between(2, ORDER), F.shiftright("g", SYMBOL_BITS).bitwiseAND(_MASK)).otherwise(F.col("g").bitwiseAND(_MASK))
+    rows = model.where(F.col("level") <= ORDER)
+    rows = rows if n_shards == 1 else rows.where(F.col("level").isin(0, 1) | before.isin(own))
     got = rows.select(F.col("level").cast("byte").alias("level"), "g", F.col("v").cast("float").alias("v")).toArrow()
     shared = df.sparkSession.sparkContext.broadcast(tuple(c.to_numpy() for c in got.columns))
     # a context's symbol that no shard owns is scored by the first
@@ -226,11 +266,11 @@ def _one_shard(df: DataFrame, model: DataFrame, own: list[int], number: int, n_s
     known = None if n_shards == 1 else _known(model)
 
     def run(batches):
-        shard = Shard(*shared.value)
+        shard, table = Shard(*shared.value), symbol_table(points)
         for b in batches:
             sums, sizes = [], []
             for _, data, off in textbuf.slices(b.column(at)):
-                codes, ends = symbols(data, off)
+                codes, ends = symbols(data, off, table)
                 if others is None:
                     logp = shard.logp(codes)
                 else:

@@ -577,6 +577,29 @@ def test_language_model_equals_a_plain_one(spark, monkeypatch):
             assert math.isclose(r[total], want, rel_tol=1e-5, abs_tol=1e-6) and r[size] == len(r.text)
 
 
+def test_rare_code_points_share_one_symbol_and_common_ones_do_not(spark):
+    staging.prepare(spark)
+    texts = ["中文字 中文 한국어 😀", "中文 abc 한국", "abc ab a"]
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = collections.Counter("".join(texts))
+    for size in (quality.RARE, 5):
+        points = quality.alphabet(trusted, size)
+        want = sorted(ord(c) for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size])
+        assert points.tolist() == want
+        model = staging.staged(quality.train(trusted, alphabet_size=size), "lm-rare")
+        known = set(want)
+        coded = ["".join(c if ord(c) in known else "\0" for c in t) for t in texts]  # rare ones folded beforehand
+        same = staging.staged(quality.train(spark.createDataFrame([(t,) for t in coded], "text string")), "lm-coded")
+        new = ["文字 中", "日本 語", "한 abc 😀", "Zz"]
+        folded = ["".join(c if ord(c) in known else "\0" for c in t) for t in new]
+        sums = []
+        for m, rows in ((model, new), (same, folded)):
+            docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+            scored, total, _ = quality.with_logp(docs, m)
+            sums.append([r[total] for r in scored.orderBy("doc_id").collect()])
+        assert np.allclose(*sums, rtol=1e-6)
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     got = {r.doc_id: r.kept for r in Q.op10_quality_classifier(spark, SF01).collect()}
     known = spark.read.parquet(f"{SF01}/labels.parquet").collect()
