@@ -6,7 +6,7 @@ log-count ratio r = log((p + 1) / (n1 + 2)) - log((q + 1) / (n0 + 2)), from the
 numbers p and q of labelled texts of either class that contain it. The values
 of a text are scaled to unit length and a logistic regression is fitted on
 them. Buckets whose two rates differ by less than ``min_z`` standard errors
-carry no evidence and are left out.
+carry no evidence and are left out; all others (at most ``BUCKETS``) are kept.
 
 It is fitted on a sample of at most ``max_rows`` labelled rows, half of each
 class (those with the smallest hash of the id), weighted back to the classes'
@@ -26,6 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,8 +143,8 @@ def class_counts(sample: DataFrame) -> DataFrame:
             .agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 1 << 13, min_z: float = 3.0,
-        folds: int = 5, l2: float = 1e-5, rounds: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_z: float = 3.0,
+        folds: int = 5, l2: float = 1e-5, rounds: int = 100) -> Model:
     """Fit on (doc_id, text) and (doc_id, y); see the module's text."""
     sample, sizes = labelled_sample(docs, labels, max_rows, folds)
     none = np.zeros(0)
@@ -157,48 +159,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features
     error = F.sqrt(rate1 * (1 - rate1) / F.lit(n1 + 2.0) + rate0 * (1 - rate0) / F.lit(n0 + 2.0))
     z = F.abs(rate1 - rate0) / error
     best = (class_counts(sample).select("bucket", F.log(rate1 / rate0).alias("ratio"), z.alias("z"))
-            .where(F.col("z") >= min_z).orderBy(F.desc("z"), "bucket").limit(max_features).toArrow())
+            .where(F.col("z") >= min_z).toArrow())
     order = np.argsort(best.column(0).to_numpy())
     model = Model(best.column(0).to_numpy()[order].astype(np.int64), best.column(1).to_numpy()[order],
                   np.zeros(len(order)), 0.0)
+    if not len(order):  # no evidence: the share of the class
+        return Model(model.buckets, model.ratio, model.weight, float(np.log((sizes[1] + 1) / (sizes[0] + 1))))
     return _regression(model, sample, {1: sizes[1] / max(n1, 1), 0: sizes[0] / max(n0, 1)}, l2, rounds)
 
 
 def _regression(model: Model, sample: DataFrame, weight: dict, l2: float, rounds: int) -> Model:
-    """Weighted logistic regression on the sample's scaled values (at most ``max_rows`` sparse rows, on the driver)."""
-    buckets = model.buckets
+    """Weighted logistic regression on the sample's scaled values: L-BFGS, gradients summed in tasks."""
+    buckets, ratio = model.buckets, model.ratio
+    vector = T.StructField("x", VectorUDT.sqlType())
 
     def run(batches):
         table = Model(buckets, None, None, 0.0).place()
         for b in batches:
-            lists = []
+            lists, values = [], []
             for _, data, off in textbuf.slices(b.column(0)):
+                n = len(off) - 1
                 row, feature = distinct(data, off, table)
-                ends = np.searchsorted(row, np.arange(len(off)))
-                lists += [feature[ends[i]:ends[i + 1]].astype(np.int32) for i in range(len(off) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["y", "f"])
-
-    rows = sample.mapInArrow(freed(run), "y int, f array<int>").toArrow()
-    y = rows.column(0).to_numpy().astype(float)
-    lists = rows.column(1).combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    size = np.diff(lists.offsets.to_numpy())
-    feature = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
-    value = model.ratio[feature].astype(np.float32)
-    norm = np.sqrt(np.bincount(row, value * value, len(y)))
-    value /= norm[row].astype(np.float32)
-    share = np.where(y == 1, weight[1], weight[0])
-    share /= share.sum()
-    k = len(buckets)
-    w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    for t in range(1, rounds + 1):  # Adam on the full gradient
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(row, value * w[feature], len(y)) + w[k], -500, 500)))
-        e = (p - y) * share
-        g = np.append(np.bincount(feature, value * e[row], k) + l2 * w[:k], e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-    return Model(model.buckets, model.ratio, w[:k], float(w[k]))
+                norm = np.sqrt(np.bincount(row, ratio[feature] ** 2, n))
+                value = ratio[feature] / norm[row]
+                ends = np.searchsorted(row, np.arange(n + 1))
+                lists += [feature[ends[i]:ends[i + 1]].astype(np.int32) for i in range(n)]
+                values += [value[ends[i]:ends[i + 1]] for i in range(n)]
+            kind = pa.list_(pa.int32()), pa.list_(pa.float64())
+            n = len(lists)
+            x = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(buckets), np.int32)), pa.array(lists, kind[0]),
+                 pa.array(values, kind[1])], names=["type", "size", "indices", "values"])
+            y = b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(float)), pa.array(np.where(y == 1, weight[1], weight[0])), x],
+                                             names=["y", "w", "x"])
+
+    plain = T.StructType([T.StructField("y", T.DoubleType()), T.StructField("w", T.DoubleType()), vector])
+    written = staged(sample.mapInArrow(freed(run), plain), "toxic-values")
+    as_vectors = T.StructType([*plain.fields[:2], T.StructField("x", VectorUDT())])  # the same columns, read as vectors
+    rows = sample.sparkSession.read.schema(as_vectors).parquet(*written.inputFiles())
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=l2, maxIter=rounds, standardization=False).fit(rows)
+    return Model(buckets, ratio, fitted.coefficients.toArray(), float(fitted.intercept))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -98,6 +98,59 @@ def test_toxicity_finds_held_out_rows_and_ignores_their_labels(spark):
     assert all(math.isclose(again[i], got[i].score, abs_tol=1e-9) for i in again)
 
 
+def _plain_buckets(text):
+    """Buckets of a text's n-grams, one character at a time."""
+    low = [ord(c.lower()) if len(c.lower()) == 1 and ord(c) < 0x10000 else ord(c) for c in text]
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(low) - n + 1):
+            h = low[i] + 1
+            for c in low[i + 1:i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + c + 1) % 2 ** 64
+            out.add((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2 ** 64 >> 64 - toxicity.BUCKET_BITS)
+    return out
+
+
+def test_toxicity_model_equals_a_plain_one(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(160):
+        words = [rnd.choice(["alpha", "Beta", "gämma", "delta", "中文字符", "epsilon"]) for _ in range(12)]
+        y = int(i % 4 == 0)
+        words += [rnd.choice(["HORRID", "wretched"] if rnd.random() < (0.9 if y else 0.1) else ["lovely"])]
+        rows.append((i, " ".join(words), y))
+    staging.prepare(spark)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, y int")
+    l2 = 1e-3
+    model = toxicity.fit(docs, labels, l2=l2)
+    learnt = [(_plain_buckets(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    n1 = sum(y for _, y in learnt)
+    n0 = len(learnt) - n1
+    p, q = (collections.Counter(b for s, y in learnt if y == c for b in s) for c in (1, 0))
+    ratio = {}
+    for b in sorted(p.keys() | q.keys()):
+        r1, r0 = (p[b] + 1) / (n1 + 2), (q[b] + 1) / (n0 + 2)
+        if abs(r1 - r0) >= 3 * math.sqrt(r1 * (1 - r1) / (n1 + 2) + r0 * (1 - r0) / (n0 + 2)):
+            ratio[b] = math.log(r1 / r0)
+    assert model.buckets.tolist() == list(ratio) and np.allclose(model.ratio, list(ratio.values()))
+    place = {b: k for k, b in enumerate(ratio)}
+
+    def scaled(buckets):
+        x = np.zeros(len(ratio))
+        for b in buckets & ratio.keys():
+            x[place[b]] = ratio[b]
+        return x / (np.linalg.norm(x) or 1)
+
+    x, y = np.array([scaled(s) for s, _ in learnt]), np.array([y for _, y in learnt])
+    odds = 1 / (1 + np.exp(-(x @ model.weight + model.intercept)))
+    gradient = np.append(x.T @ (odds - y) / len(y) + l2 * model.weight, np.mean(odds - y))
+    assert np.abs(gradient).max() < 1e-4  # the one minimum of a convex loss
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t, _ in rows:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(scaled(_plain_buckets(t)) @ model.weight + model.intercept))), abs_tol=1e-9)
+
+
 def test_ngrams_do_not_cross_rows():
     col = pa.array(["abcdefgh", "", "zyxwvuts"])
     (_, data, off), = textbuf.slices(col)
