@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 
 import numpy as np
@@ -192,6 +193,56 @@ def test_one_class_and_few_rows(spark):
         assert all(len(t["node"]) == 1 for t in m.trees) and np.isfinite(m.margins(x)).all()
 
 
+def test_a_book_holds_the_new_rounds_alone(spark, tmp_path):
+    """What the driver writes after a block of rounds doesn't grow with the rounds before it."""
+    x, y = sample(120, 3, 6)
+    rows = bo.as_rows(frame(spark, x, y), "a", 0).unionByName(bo.as_rows(frame(spark, x, 1 - y), "b", 0))
+    p = bo.Params(rounds=6, leaves=5, min_rows=3, bins=8)
+    got = bo.fit_cells(rows, {"a": p, "b": p}, str(tmp_path), rounds_alone=2)
+    for i in range(1, 4):
+        lines = spark.read.parquet(f"{tmp_path}/book-{i}").collect()
+        assert [len(json.loads(r["facts"])["trees"]) for r in lines] == [2, 2]
+    again = bo.fit_cells(rows, {"a": p, "b": p}, str(tmp_path))
+    assert all(len(got[c].trees) == 6 and again[c].trees == got[c].trees for c in "ab")
+
+
+def test_a_node_that_can_not_split_is_not_summed():
+    """Both sides need min_hessian, so a node with less than twice as much is a leaf."""
+    x = np.repeat(np.arange(4, dtype=np.uint8), 3)[:, None]
+    asked = []
+    for least in (1.0, 0.7):
+        growth = bo.Growth(bo.Params(min_rows=1, min_hessian=least, bins=4), 0.0, 1.8, len(x))
+        asked.append(growth.wanted())
+    assert asked == [[], [0]]
+
+
+def test_blocks_are_dealt_evenly(spark):
+    x, y = sample(400, 4, 8)
+    blocks, facts = bo.pack(bo.as_rows(frame(spark, x, y), "c", 0), {"c": bo.Params(bins=8)}, block_rows=64)
+    sizes = [r["count"] for r in blocks.groupBy(F.spark_partition_id()).count().collect()]
+    assert facts["c"]["blocks"] == 50 and len(sizes) == min(50, spark.sparkContext.defaultParallelism)
+    assert max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("p", SETTINGS)
+def test_nodes_grown_whole_equal_those_grown_by_sums(spark, monkeypatch, p):
+    x, y = sample(300, 5, 9, missing=0.05)
+    rows = bo.as_rows(frame(spark, x, y), "c", 0)
+    passes, real = [], bo._splits
+
+    def counted(*a):
+        passes[-1] += 1
+        return real(*a)
+    monkeypatch.setattr(bo, "_splits", counted)
+    margins = []
+    for most in (0, 120, 20_000):
+        monkeypatch.setattr(bo, "ROWS_WHOLE", most)
+        passes.append(0)
+        margins.append(bo.fit_cells(rows, {"c": p}, block_rows=80)["c"].margins(x))
+    assert np.allclose(margins[0], margins[1], atol=1e-9) and np.allclose(margins[0], margins[2], atol=1e-9)
+    assert passes[2] == 2 * p.rounds < passes[0] and passes[2] <= passes[1] <= passes[0]
+
+
 # ---- attribution
 
 
