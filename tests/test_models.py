@@ -364,6 +364,26 @@ def test_training_in_blocks_equals_plain_steps(spark, norm):
     assert np.allclose([s for _, s in got], 1 / (1 + np.exp(-nets["p"].margins(x))))
 
 
+def test_masks_of_slices_are_those_of_the_block():
+    p = nw.Params(hidden=(7, 5, 3), dropout=(0.3, 0.0, 0.4))
+    rng = np.random.default_rng([1, 2, 3])
+    whole = {0: rng.random((11, 7)), 2: rng.random((11, 3))}
+    draws = nw.mask_draws(p, [1, 2, 3], 11)
+    assert draws[1][0] is None and [d[1:] for d in draws] == [(7, 0.3), (5, 0.0), (3, 0.4)]
+    for i, w in whole.items():
+        assert np.array_equal(np.concatenate([draws[i][0].random((k, w.shape[1])) for k in (4, 4, 3)]), w)
+
+
+def test_a_block_in_slices_has_the_same_network(spark, monkeypatch):
+    x, y = sample(90, 4, 7)
+    rows = bo.as_rows(frame(spark, x, y), "c", 0)
+    p = nw.Params(hidden=(6, 4), dropout=(0.3, 0.2), epochs=3, step=0.01, batch_norm=True)
+    whole = nw.fit_cells(rows, {"c": p})["c"]
+    monkeypatch.setattr(nw, "SLICE_ROWS", 16)
+    sliced = nw.fit_cells(rows, {"c": p})["c"]
+    assert np.allclose(whole.margins(x), sliced.margins(x), atol=1e-10)
+
+
 def test_a_network_learns_and_dropout_is_seeded(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 4))
