@@ -6,12 +6,14 @@ piece holds side by side (a letter and the next word's mark, for one): no piece
 can cross such a place, so words are encoded one by one, however long.
 
 Documents are dealt into chunks (runs of rows of an input split, about
-``CHUNK_BYTES`` of text). Each chunk asks for its distinct words once. The
-distinct words of all chunks are exploded into their substrings of bounded
-length, equi-joined to the piece table, grouped again by word, and folded with
-Spark's higher-order ``aggregate``. The answers go back to the chunks, where
-each document's ids are put together. What is shuffled is a row per chunk and
-distinct word, twice, and the texts once, compressed.
+``CHUNK_BYTES`` of text). Each chunk numbers its distinct words in the order in
+which they come and asks for each once. The distinct words of all chunks are
+exploded into their substrings of bounded length, equi-joined to the piece
+table, grouped again by word, and folded with Spark's higher-order ``aggregate``.
+The answers go back to the chunks, where each document's ids are put together
+from the numbers of its words. What is shuffled is a row per chunk and distinct
+word, twice (the word, then its ids), and the words' numbers once, compressed;
+the texts themselves don't travel.
 
 The fold is the model type's own. Unigram: Viterbi, the best sum of scores up
 to each position, then back from the end; of equal paths the one whose last
@@ -26,7 +28,8 @@ together folds them to the same answer by a heap of joins, or by Viterbi over
 lists, in memory that grows with the longest word.
 
 ``docs`` must deal the same rows to the same partition whenever it is run, as
-a table scan does; a word without an answer raises an error.
+a table scan does; a chunk's key holds a digest of its words, and a word without
+an answer raises an error.
 
 Cases: null and empty texts have no ids; texts may be of any length; a word
 mark in a text decodes as a space, as in the library; repeated rows are encoded
@@ -55,6 +58,7 @@ SHORT = 60  # words of up to so many characters keep their cuts in one integer
 CHUNK_BYTES = 8 << 20
 UNKNOWN = 10.0
 _SLICE = 1 << 17  # bytes of text handled at a time (a task has two Python workers here)
+_WORDS = 1 << 15  # words whose documents are put together at a time
 _USER_DEFINED = -1e8  # scores below are placeholders of user-defined pieces
 
 
@@ -156,7 +160,7 @@ def _without_marks(col):
 
 def _chunks(batches):
     """(number, doc ids, texts) of one task, about CHUNK_BYTES of text each."""
-    number, ids, texts, held = TaskContext.get().partitionId() << 24, [], [], 0
+    number, ids, texts, held = TaskContext.get().partitionId() << 16, [], [], 0
     for b in batches:
         text = _without_marks(b.column(1))
         ids.append(b.column(0))
@@ -169,25 +173,104 @@ def _chunks(batches):
         yield number, pa.concat_arrays(ids), pa.concat_arrays(texts)
 
 
+def _key(number: int, keys: np.ndarray) -> int:
+    """A chunk's key: its number and 20 bits of a digest of its distinct words in order."""
+    digest = np.bitwise_xor.reduce(textbuf.mix(keys + np.arange(len(keys), dtype=np.uint64))) if len(keys) else 0
+    return number << 20 | int(digest) & 0xFFFFF
+
+
+def _in_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each distinct key, in order, and the number of each key among the distinct ones."""
+    every = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+    _, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+    number = np.empty(len(first), dtype=np.int32)
+    number[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+    return np.sort(first), number[inverse]
+
+
+_SEEN = 1 << 18  # places in which a task remembers words that it met, the last one a place
+
+
 def _asked(rows: DataFrame, path: str) -> DataFrame:
-    """(chunk, h, word): each chunk's distinct words of up to MAX_WORD characters."""
+    """(chunk, at, word): each chunk's distinct words of up to MAX_WORD characters, and their numbers there."""
 
     def run(batches):
         for number, _, texts in _chunks(batches):
-            seen = np.zeros(0, dtype=np.uint64)
+            seen = (np.arange(_SEEN, dtype=np.uint64) + np.uint64(1)) % np.uint64(_SEEN)  # no word that belongs to the place
+            keys, short, spelt = [], [], []
             for _, data, off in textbuf.slices(texts, _SLICE):
                 units, starts, ends, _ = words(data, off, path)
-                short = ends - starts <= MAX_WORD
-                starts, ends = starts[short], ends[short]
-                h, at = np.unique(textbuf.span_hashes(units, starts, ends), return_index=True)
-                new = ~np.isin(h, seen, assume_unique=True)
-                h, at = h[new], at[new]
-                seen = np.concatenate([seen, h])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), number, dtype=np.int64)), pa.array(h.view(np.int64)),
-                     spelled(units, starts[at], ends[at])], names=["chunk", "h", "word"])
+                key = textbuf.span_hashes(units, starts, ends)
+                place = (key % np.uint64(_SEEN)).astype(np.intp)
+                at = np.flatnonzero(seen[place] != key)  # all that are new, and some met before
+                at = at[np.sort(np.unique(key[at], return_index=True)[1])]
+                seen[place[at]] = key[at]
+                few = ends[at] - starts[at] <= MAX_WORD
+                keys.append(key[at])
+                short.append(few)
+                spelt.append(spelled(units, starts[at], np.where(few, ends[at], starts[at])))
+            first, _ = _in_order(keys)
+            if not len(first):
+                continue
+            keys, at = np.concatenate(keys)[first], np.flatnonzero(np.concatenate(short)[first])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), _key(number, keys), dtype=np.int64)), pa.array(at.astype(np.int32)),
+                 pa.concat_arrays(spelt).take(pa.array(first[at]))], names=["chunk", "at", "word"])
+
+    return rows.mapInArrow(run, "chunk long, at int, word string")
+
+
+_BUNDLE = ("ids", "words", "planes", "long_at", "long")
 
-    return rows.mapInArrow(run, "chunk long, h long, word string")
+
+def _bundles(rows: DataFrame, path: str) -> DataFrame:
+    """(chunk, bundle): each chunk's doc ids, words a document, word numbers and words of over MAX_WORD characters.
+
+    A number that comes for the first time (it is the next one) is 0, others are one more; a byte a plane."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=5)
+        for number, ids, texts in _chunks(batches):
+            keys, local, sizes, long_keys, long = [], [], [], [], []
+            for _, data, off in textbuf.slices(texts, _SLICE):
+                units, starts, ends, of_row = words(data, off, path)
+                key = textbuf.span_hashes(units, starts, ends)
+                first, mine = _in_order([key])
+                keys.append(key[first])
+                local.append(mine)
+                sizes.append(np.diff(of_row).astype(np.int32))
+                one = first[ends[first] - starts[first] > MAX_WORD]
+                long_keys.append(key[one])
+                long.append(spelled(units, starts[one], ends[one]))
+            first, numbers = _in_order(keys)
+            edge = np.cumsum([0, *map(len, keys)])
+            every = np.concatenate(keys)[first] if keys else np.zeros(0, dtype=np.uint64)
+            at = np.concatenate([numbers[x:][mine] for x, mine in zip(edge, local)]) if keys else np.zeros(0, dtype=np.int32)
+            code = (at + 1).astype("<u4")
+            code[np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))] = 0
+            one, _ = _in_order(long_keys)
+            order = np.argsort(every)
+            long_at = order[np.searchsorted(every, np.concatenate(long_keys)[one], sorter=order)] if len(one) else one
+            lists = [ids, pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int32)),
+                     pa.array(np.ascontiguousarray(code.view(np.uint8).reshape(-1, 4).T).ravel()), pa.array(long_at.astype(np.int32)),
+                     pa.concat_arrays(long).take(pa.array(one)) if long else pa.array([], pa.string())]
+            batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists], names=_BUNDLE)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as w:
+                w.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([_key(number, every)], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())],
+                                             names=["chunk", "bundle"])
+
+    return rows.mapInArrow(run, "chunk long, bundle binary")
+
+
+def _unbundled(raw: bytes) -> list:
+    """Doc ids, words a document, word numbers, and numbers and texts of long words."""
+    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all().combine_chunks().to_batches()[0]
+    ids, sizes, planes, long_at, long = (batch.column(i).flatten() for i in range(len(_BUNDLE)))
+    code = np.ascontiguousarray(planes.to_numpy().reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    new = code == 0
+    return [ids, sizes.to_numpy(), np.where(new, np.cumsum(new) - 1, code - 1), long_at.to_numpy(), long.to_pylist()]
 
 
 # ---- the lattice
@@ -240,9 +323,16 @@ def merged_path(lattices: DataFrame) -> DataFrame:
     lambda reads travels in the state: an outer column's expression would be
     evaluated again in every step."""
     size = F.element_at("edges", -1)["end"]
-    rows = lattices.withColumn("size", size)
+    return merged_short(lattices.where(size <= SHORT)).unionByName(merged_longer(lattices.where(size > SHORT)))
+
 
-    # words of up to SHORT characters: the cuts are the bits of one long
+def _let(value, body):
+    return F.transform(F.array(value), body)[0]
+
+
+def merged_short(lattices: DataFrame) -> DataFrame:
+    """:func:`merged_path` of words of up to SHORT characters: the cuts are the bits of one long."""
+    rows = lattices.withColumn("size", F.element_at("edges", -1)["end"])
     masked = F.expr("""transform(edges, e -> struct(
         e.score as score, -e.start as left, shiftleft(1L, e.start) | shiftleft(1L, e.end) as ends,
         shiftleft(1L, e.end) - shiftleft(2L, e.start) as inside, e.ids as ids))""")
@@ -262,29 +352,29 @@ def merged_path(lattices: DataFrame) -> DataFrame:
         return F.flatten(F.transform(F.filter(pair["edges"], lambda e: (
             pair["cuts"].bitwiseAND(e["ends"]) == e["ends"]) & (pair["cuts"].bitwiseAND(e["inside"]) == 0)), lambda e: e["ids"]))
 
-    def let(value, body):
-        return F.transform(F.array(value), body)[0]
-
-    short = rows.where(F.col("size") <= SHORT).select("h", let(masked, lambda edges: let(
+    return rows.select("h", _let(masked, lambda edges: _let(
         F.struct(edges.alias("edges"), by_bits(edges).alias("cuts")), bit_ids)).alias("ids"))
 
-    # longer words: a sorted array of cuts
+
+def merged_longer(lattices: DataFrame) -> DataFrame:
+    """:func:`merged_path` of longer words: a sorted array of cuts."""
+    rows = lattices.withColumn("size", F.element_at("edges", -1)["end"])
+
     def step(acc, _):
         def joins_two(e):
             at = F.array_position(acc["cuts"], e["start"]).cast("int")
             return (at > 0) & (F.get(acc["cuts"], at + 1) == e["end"])
         best = F.array_max(F.transform(F.filter(acc["joins"], joins_two), lambda e: F.struct(
             e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-        cuts = let(best, lambda m: F.when(m.isNull(), acc["cuts"]).otherwise(
+        cuts = _let(best, lambda m: F.when(m.isNull(), acc["cuts"]).otherwise(
             F.filter(acc["cuts"], lambda c: (c <= -m["left"]) | (c >= m["end"]))))
         return F.struct(cuts.alias("cuts"), acc["joins"].alias("joins"))
 
     start = F.struct(F.sequence(F.lit(0), "size").alias("cuts"), F.filter("edges", lambda e: e["end"] - e["start"] > 1).alias("joins"))
     cuts = F.aggregate(F.sequence(F.lit(1), F.col("size") - 1), start, step, lambda acc: acc["cuts"])
-    long = rows.where(F.col("size") > SHORT).select("h", let(cuts, lambda c: F.flatten(F.transform(
+    return rows.select("h", _let(cuts, lambda c: F.flatten(F.transform(
         F.filter("edges", lambda e: F.get(c, F.array_position(c, e["start"]).cast("int")) == e["end"]),
         lambda e: e["ids"]))).alias("ids"))
-    return short.unionByName(long)
 
 
 def is_bpe(path: str) -> bool:
@@ -368,21 +458,29 @@ def best_long(word: str, table: dict, to_byte: list[int], unknown: float) -> lis
     return _ids_of(word, edges[::-1], table, to_byte)
 
 
-def long_answers(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str, bpe: bool) -> list[np.ndarray]:
-    """The ids of the word spans, folded one by one."""
+def long_answers(texts: list[str], path: str, bpe: bool) -> list[np.ndarray]:
+    """The ids of the words, folded one by one."""
     table, to_byte, unknown = piece_scores(path)
-    texts = (w.replace(" ", MARK) for w in spelled(units, starts, ends).to_pylist())
-    return [np.array(merged_long(w, table, to_byte) if bpe else best_long(w, table, to_byte, unknown), dtype=np.int32) for w in texts]
+    spelt = (w.replace(" ", MARK) for w in texts)
+    return [np.array(merged_long(w, table, to_byte) if bpe else best_long(w, table, to_byte, unknown), dtype=np.int32) for w in spelt]
 
 
 def encode_words(asked: DataFrame, path: str) -> DataFrame:
-    """(h, ids) of the distinct words of (h, word); rows of a word stay in one partition."""
+    """(h, ids) of the distinct words of (chunk, at, word, h); rows of an h stay in one partition.
+
+    All of a row is read here, as by the join with the answers, so that both read the same exchange."""
     pieces, to_byte, unknown = piece_table(asked.sparkSession, path)
     sp = model(path)
     longest = max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i))
-    distinct = asked.groupBy("h").agg(F.first("word").alias("word"))
-    fold = merged_path if is_bpe(path) else best_path
-    return fold(lattice(distinct, pieces, to_byte, unknown, longest))
+    distinct = asked.groupBy("h").agg(F.first("word").alias("word"), F.max("chunk").alias("chunk"), F.max("at").alias("at"))
+    distinct = distinct.where("chunk >= 0 and at >= 0").select("h", "word")
+
+    def edges(rows):
+        return lattice(rows, pieces, to_byte, unknown, longest)
+    if not is_bpe(path):
+        return best_path(edges(distinct))
+    size = F.char_length("word")  # before the lattice, which is so built once a word
+    return merged_short(edges(distinct.where(size <= SHORT))).unionByName(merged_longer(edges(distinct.where(size > SHORT))))
 
 
 def texts_of(ids: np.ndarray, edge: np.ndarray, path: str) -> list[str]:
@@ -399,61 +497,47 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     (as :func:`decode` would add it, without another Python worker per task)."""
     rows = id_and_text(docs, id_col, text_col)
     bpe = is_bpe(path)
-    asked = _asked(rows, path).repartition("h")
-    answers = asked.select("chunk", "h").join(encode_words(asked, path), "h").select("chunk", "h", "ids")
-
-    def bundles(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for number, ids, texts in _chunks(batches):
-            sink = pa.BufferOutputStream()
-            table = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
-            with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_batch(table)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())],
-                                             names=["chunk", "bundle"])
+    h = F.xxhash64("word")  # made after the exchange: it needs no room there
+    asked = _asked(rows, path).repartition(h).withColumn("h", h)
+    # in order, neighbours are alike and take less room on their way back
+    answers = asked.join(encode_words(asked, path), "h").select("chunk", "at", "ids").sortWithinPartitions("chunk", "at")
 
     def assemble(bundle: pa.Table, answer: pa.Table) -> pa.Table:
         none = {"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}
         out = [pa.table(none | ({"text": pa.array([], pa.string())} if decoded else {}))]
-        h = answer["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h = h[order]
         lists = answer["ids"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        begin = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()
-        begin, size = begin[:-1][order].astype(np.int64), np.diff(begin)[order].astype(np.int64)
+        edge, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         for raw in bundle["bundle"].to_pylist():
-            table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
-            for first, data, off in textbuf.slices(table["text"], _SLICE):
-                units, starts, ends, of_row = words(data, off, path)
-                key = textbuf.span_hashes(units, starts, ends)
-                long = np.flatnonzero(ends - starts > MAX_WORD)
-                new, one = np.unique(key[long], return_index=True)
-                one = long[one[~np.isin(new, h)]]
-                if len(one):  # the chunk's longer words, each folded once
-                    found = long_answers(units, starts[one], ends[one], path, bpe)
-                    more = np.array([len(x) for x in found], dtype=np.int64)
-                    h = np.concatenate([h, key[one]])
-                    begin = np.concatenate([begin, len(flat) + np.cumsum(more) - more])
-                    size, flat = np.concatenate([size, more]), np.concatenate([flat, *found])
-                    order = np.argsort(h)
-                    h, begin, size = h[order], begin[order], size[order]
-                at = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))
-                if len(key) and (not len(h) or (h[at] != key).any()):
-                    raise ValueError("a word has no answer: the input's partitions differ between two runs")
-                ids = flat[textbuf.ragged(begin[at], size[at])] if len(key) else np.zeros(0, np.int32)
-                upto = np.concatenate([[0], np.cumsum(size[at])]) if len(key) else np.zeros(1, np.int64)
-                offsets = pa.array(upto[of_row].astype(np.int32))
-                rows = {"doc_id": table["doc_id"].slice(first, len(off) - 1),
-                        "ids": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))}
+            doc_ids, n_words, numbers, long_at, long = _unbundled(raw)
+            begin, size = np.zeros((2, int(numbers.max(initial=-1)) + 1), dtype=np.int64)
+            known = np.zeros(len(begin), dtype=bool)
+            at = answer["at"].to_numpy()
+            if at.max(initial=-1) < len(begin):
+                begin[at], size[at], known[at] = edge[:-1], np.diff(edge), True
+            if len(long):  # the chunk's longer words, each folded once
+                found = long_answers(long, path, bpe)
+                more = np.array([len(x) for x in found], dtype=np.int64)
+                begin[long_at], size[long_at], known[long_at] = len(flat) + np.cumsum(more) - more, more, True
+                flat = np.concatenate([flat, *found])
+            if not known.all():
+                raise ValueError("a word has no answer: the input's partitions differ between two runs")
+            upto_word = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
+            first = 0
+            while first < len(n_words):
+                last = max(first + 1, int(np.searchsorted(upto_word, upto_word[first] + _WORDS, side="right")) - 1)
+                mine = numbers[upto_word[first]:upto_word[last]]
+                ids = flat[textbuf.ragged(begin[mine], size[mine])]
+                upto = np.concatenate([[0], np.cumsum(size[mine])])[upto_word[first:last + 1] - upto_word[first]]
+                rows = {"doc_id": doc_ids.slice(first, last - first),
+                        "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids.astype(np.int32)))}
                 if decoded:
-                    rows["text"] = pa.array(texts_of(ids.astype(np.int64), upto[of_row], path), pa.string())
+                    rows["text"] = pa.array(texts_of(ids.astype(np.int64), upto, path), pa.string())
                 out.append(pa.table(rows))
+                first = last
         return pa.concat_tables(out)
 
-    packed = rows.mapInArrow(bundles, "chunk long, bundle binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    return _bundles(rows, path).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         assemble, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
