@@ -12,8 +12,8 @@ exploded into their substrings of bounded length, equi-joined to the piece
 table, grouped again by word, and folded with Spark's higher-order ``aggregate``.
 The answers go back to the chunks, where each document's ids are put together
 from the numbers of its words. What is shuffled is a row per chunk and distinct
-word, twice (the word, then its ids), and the words' numbers once, compressed;
-the texts themselves don't travel.
+word, the answers, which a task packs into a row per chunk, and the words'
+numbers once, compressed; the texts themselves don't travel.
 
 The fold is the model type's own. Unigram: Viterbi, the best sum of scores up
 to each position, then back from the end; of equal paths the one whose last
@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewise.llm import textbuf
-from notewise.llm.staging import id_and_text
+from notewise.llm.staging import freed, id_and_text
 
 MARK = "▁"
 MAX_WORD = 512  # longer words are folded outside the lattice
@@ -217,7 +217,16 @@ def _asked(rows: DataFrame, path: str) -> DataFrame:
                 [pa.array(np.full(len(at), _key(number, keys), dtype=np.int64)), pa.array(at.astype(np.int32)),
                  pa.concat_arrays(spelt).take(pa.array(first[at]))], names=["chunk", "at", "word"])
 
-    return rows.mapInArrow(run, "chunk long, at int, word string")
+    return rows.mapInArrow(freed(run), "chunk long, at int, word string")
+
+
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """Unsigned little-endian numbers of 4 bytes, a byte a plane."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _of_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 _BUNDLE = ("ids", "words", "planes", "long_at", "long")
@@ -246,13 +255,13 @@ def _bundles(rows: DataFrame, path: str) -> DataFrame:
             edge = np.cumsum([0, *map(len, keys)])
             every = np.concatenate(keys)[first] if keys else np.zeros(0, dtype=np.uint64)
             at = np.concatenate([numbers[x:][mine] for x, mine in zip(edge, local)]) if keys else np.zeros(0, dtype=np.int32)
-            code = (at + 1).astype("<u4")
+            code = at + 1
             code[np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))] = 0
             one, _ = _in_order(long_keys)
             order = np.argsort(every)
             long_at = order[np.searchsorted(every, np.concatenate(long_keys)[one], sorter=order)] if len(one) else one
             lists = [ids, pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int32)),
-                     pa.array(np.ascontiguousarray(code.view(np.uint8).reshape(-1, 4).T).ravel()), pa.array(long_at.astype(np.int32)),
+                     pa.array(_planes(code)), pa.array(long_at.astype(np.int32)),
                      pa.concat_arrays(long).take(pa.array(one)) if long else pa.array([], pa.string())]
             batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists], names=_BUNDLE)
             sink = pa.BufferOutputStream()
@@ -261,18 +270,73 @@ def _bundles(rows: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_key(number, every)], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())],
                                              names=["chunk", "bundle"])
 
-    return rows.mapInArrow(run, "chunk long, bundle binary")
+    return rows.mapInArrow(freed(run), "chunk long, bundle binary")
 
 
 def _unbundled(raw: bytes) -> list:
     """Doc ids, words a document, word numbers, and numbers and texts of long words."""
     batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all().combine_chunks().to_batches()[0]
     ids, sizes, planes, long_at, long = (batch.column(i).flatten() for i in range(len(_BUNDLE)))
-    code = np.ascontiguousarray(planes.to_numpy().reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    code = _of_planes(planes.to_numpy())
     new = code == 0
     return [ids, sizes.to_numpy(), np.where(new, np.cumsum(new) - 1, code - 1), long_at.to_numpy(), long.to_pylist()]
 
 
+_ROWS = 64  # packed answers handed over at a time
+
+
+def _packed(answers: DataFrame) -> DataFrame:
+    """(chunk, answers) of (chunk, at, ids) in order: a partition's answers to a chunk, as steps from one word's
+    number to the next, numbers of ids, and ids."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=5)
+        chunk, held, done = None, [], []
+
+        def row():
+            at, size, ids = (np.concatenate(x) for x in zip(*held))
+            count = np.array([len(at)], dtype="<u4").tobytes()
+            raw = (_planes(x).tobytes() for x in (np.diff(at, prepend=0), size, ids))
+            return chunk, count + press.compress(b"".join(raw))
+
+        def batch():
+            chunks, answers = zip(*done)
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(answers, pa.binary())], names=["chunk", "answers"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, at, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            edge, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if held and of[x] != chunk:
+                    done.append(row())
+                    held = []
+                chunk = int(of[x])
+                held.append((at[x:y], np.diff(edge[x:y + 1]), flat[edge[x]:edge[y]]))
+            if len(done) >= _ROWS:
+                yield batch()
+                done = []
+        if held:
+            done.append(row())
+            yield batch()
+
+    return answers.mapInArrow(freed(run), "chunk long, answers binary")
+
+
+def _unpacked(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' numbers, numbers of ids, and ids of a chunk's packed answers."""
+    parts = [[np.zeros(0, dtype=np.int64)] * 3]
+    for raw in raws:
+        n = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4:]), dtype=np.uint8)
+        step, size, ids = (_of_planes(x) for x in np.split(planes, [4 * n, 8 * n]))
+        parts.append([np.cumsum(step), size, ids])
+    at, size, ids = (np.concatenate(x) for x in zip(*parts))
+    return at, size, ids
+
+
 # ---- the lattice
 
 def lattice(distinct: DataFrame, pieces: DataFrame, to_byte: list[int], unknown: float, longest: int) -> DataFrame:
@@ -472,15 +536,15 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
     pieces, to_byte, unknown = piece_table(asked.sparkSession, path)
     sp = model(path)
     longest = max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i))
-    distinct = asked.groupBy("h").agg(F.first("word").alias("word"), F.max("chunk").alias("chunk"), F.max("at").alias("at"))
-    distinct = distinct.where("chunk >= 0 and at >= 0").select("h", "word")
+    distinct = asked.groupBy("h", "word").agg(F.max("chunk").alias("chunk"), F.max("at").alias("at"), F.max(F.char_length("word")).alias("size"))
+    distinct = distinct.where("chunk >= 0 and at >= 0")
 
     def edges(rows):
-        return lattice(rows, pieces, to_byte, unknown, longest)
+        return lattice(rows.select("h", "word"), pieces, to_byte, unknown, longest)
     if not is_bpe(path):
         return best_path(edges(distinct))
-    size = F.char_length("word")  # before the lattice, which is so built once a word
-    return merged_short(edges(distinct.where(size <= SHORT))).unionByName(merged_longer(edges(distinct.where(size > SHORT))))
+    # told apart before the lattice, which is so built once a word, but after the exchange, which all read
+    return merged_short(edges(distinct.where(f"size <= {SHORT}"))).unionByName(merged_longer(edges(distinct.where(f"size > {SHORT}"))))
 
 
 def texts_of(ids: np.ndarray, edge: np.ndarray, path: str) -> list[str]:
@@ -499,22 +563,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     bpe = is_bpe(path)
     h = F.xxhash64("word")  # made after the exchange: it needs no room there
     asked = _asked(rows, path).repartition(h).withColumn("h", h)
-    # in order, neighbours are alike and take less room on their way back
-    answers = asked.join(encode_words(asked, path), "h").select("chunk", "at", "ids").sortWithinPartitions("chunk", "at")
+    # a row a chunk, packed: the ids alone would be the largest part of what is shuffled
+    answers = _packed(asked.join(encode_words(asked, path), "h").select("chunk", "at", "ids").sortWithinPartitions("chunk", "at"))
 
     def assemble(bundle: pa.Table, answer: pa.Table) -> pa.Table:
         none = {"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}
         out = [pa.table(none | ({"text": pa.array([], pa.string())} if decoded else {}))]
-        lists = answer["ids"].combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        edge, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        at, count, flat = _unpacked(answer["answers"].to_pylist())
         for raw in bundle["bundle"].to_pylist():
             doc_ids, n_words, numbers, long_at, long = _unbundled(raw)
             begin, size = np.zeros((2, int(numbers.max(initial=-1)) + 1), dtype=np.int64)
             known = np.zeros(len(begin), dtype=bool)
-            at = answer["at"].to_numpy()
             if at.max(initial=-1) < len(begin):
-                begin[at], size[at], known[at] = edge[:-1], np.diff(edge), True
+                begin[at], size[at], known[at] = np.cumsum(count) - count, count, True
             if len(long):  # the chunk's longer words, each folded once
                 found = long_answers(long, path, bpe)
                 more = np.array([len(x) for x in found], dtype=np.int64)
