@@ -91,10 +91,12 @@ def caps(x: np.ndarray, k: int, number: int = 0) -> list[np.ndarray]:
 
 
 def _exceeding(a: np.ndarray, b: np.ndarray, bar: float) -> np.ndarray:
-    """Pairs (numbered i * len(b) + j) with a[i] + b[j] >= bar; visits no other pair."""
+    """Pairs (numbered i * len(b) + j) with a[i] + b[j] >= bar; visits no other pair but those within rounding."""
     order = np.argsort(-b)
-    n = np.searchsorted(-b[order], a - bar, side="right")  # the first n of ``order`` exceed with a[i]
-    return np.repeat(np.arange(len(a)), n) * np.int64(len(b)) + order[textbuf.ragged(np.zeros(len(a), np.int64), n)]
+    n = np.searchsorted(-b[order], a - bar + 1e-12, side="right")  # among the first n of ``order`` are all that exceed with a[i]
+    i, j = np.repeat(np.arange(len(a)), n), order[textbuf.ragged(np.zeros(len(a), np.int64), n)]
+    exceeds = a[i] + b[j] >= bar  # bar may be one of these sums; a[i] - bar, rounded, may miss it
+    return i[exceeds] * np.int64(len(b)) + j[exceeds]
 
 
 def unit(rows: list) -> np.ndarray:

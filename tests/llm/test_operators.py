@@ -308,6 +308,15 @@ def test_caps_equal_all_directions_above_the_bar(monkeypatch):
             monkeypatch.undo()
 
 
+def test_a_bar_that_is_a_sum_is_exceeded_by_that_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = rng.standard_normal((2, 30)) / 6
+        sums = (a[:, None] + b[None, :]).ravel()
+        bar = np.sort(sums)[-6]  # whether a[i] - bar is rounded up or down
+        assert np.sort(near_vectors._exceeding(a, b, bar)).tolist() == np.flatnonzero(sums >= bar).tolist()
+
+
 def test_codewords_grow_without_a_limit_and_codes_cover_each_other():
     assert [near_vectors.codewords(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 10)] == [64, 16384, 131072, 2097152]
     rng = np.random.default_rng(6)
